@@ -46,4 +46,25 @@ cut AS (SELECT *, (r * 24) // n AS shard FROM placed)
 SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'rows' AS law, shard::INTEGER AS shard,
   (r - (shard * n + 23) // 24)::BIGINT AS slot, NULL::INTEGER AS grown_shard
 FROM cut""",
+        "op8_suffix_automaton_decontamination": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w
+  FROM documents),
+b AS (
+  SELECT item_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w
+  FROM benchmark),
+item AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') AS win
+  FROM b, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS u(i) WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT n FROM item),
+win AS (
+  SELECT r, n, i, array_to_string(w[i : i + n - 1], ' ') AS win
+  FROM d, sizes, unnest(range(1, len(w) - n + 2)) AS u(i)),
+hit AS (SELECT r, win.n, i, item_id FROM win JOIN item USING (n, win)),
+word AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT r, n, i FROM hit), unnest(range(i, i + n)) AS u(p) GROUP BY r),
+ids AS (SELECT r, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids FROM (SELECT DISTINCT r, item_id::VARCHAR AS s FROM hit) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN word USING (r) LEFT JOIN ids USING (r)""",
     }

@@ -17,5 +17,20 @@ def op2_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_suffix_automaton_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioflow.llm.decontam import report
+
+    return report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioflow.llm.ogg import media_column
+
+    got = media_column(table(spark, sf_dir, "documents"))
+    n = F.octet_length("payload").cast("long")
+    tail = F.expr("substring(payload, octet_length(payload) - 63, 64)")
+    return got.select("doc_id", "n_bytes", n.alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(tail).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
