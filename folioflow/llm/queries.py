@@ -17,6 +17,12 @@ def op2_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioflow.llm.langid import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op8_suffix_automaton_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioflow.llm.decontam import report
 
