@@ -17,6 +17,13 @@ def op2_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioflow.llm.toxicity import classify
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return classify(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted", "lang_told", "flagged")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioflow.llm.langid import identify
 
