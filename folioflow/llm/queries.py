@@ -24,6 +24,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted", "lang_told", "flagged")
 
 
+def op6_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioflow.llm.quality import assess
+
+    return assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioflow.llm.langid import identify
 
