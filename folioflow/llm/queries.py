@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from folioflow.llm.common import table
 
 
+def op1_mincut_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioflow.llm.mincut import extract
+
+    return extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op2_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioflow.llm.hilbert import shard_documents
 
