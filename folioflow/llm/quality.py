@@ -110,7 +110,7 @@ def train(texts: pa.Array, labels: list[int], prior: float, epochs: int = 60, ba
     p["d"][0] = np.log(prior / (1 - prior))
     if not len(y) or y.min() == y.max():
         return model
-    parts = [passages(*buffers(texts.slice(i, 500))) for i in range(0, len(texts), 500)]
+    parts = [passages(*buffers(texts.slice(i, 100))) for i in range(0, len(texts), 100)]
     x = np.concatenate([a for a, _ in parts])
     counts = np.concatenate([np.diff(b) for _, b in parts])
     poff = np.concatenate([[0], np.cumsum(counts)])
