@@ -36,6 +36,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted", "lang_told", "flagged")
 
 
+def op5_compact_window_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioflow.llm.passages import repeats
+
+    return repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioflow.llm.quality import assess
 
