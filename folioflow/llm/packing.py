@@ -17,13 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioflow.llm.bpe import LONGEST, Merger
 from folioflow.llm.common import ranked, written
 from folioflow.llm.kernels import NOT_SPACE, chunks, span_hash, spans
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
-#: Words kept with their ids in a worker; the store starts anew when it is full.
-STORE_WORDS = 300_000
+#: Slots for units whose ids are kept in a worker, and how many ids are kept before the store starts anew.
+STORE_BITS, STORE_IDS = 18, 1 << 22
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -32,56 +33,110 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+# Kinds of bytes: white space, letters, digits, marks, and all that is left to the library.
+_KIND = np.full(256, 4, np.uint8)
+_KIND[0x21:0x7F] = 3
+_KIND[0x30:0x3A] = 2
+_KIND[0x41:0x5B] = _KIND[0x61:0x7B] = 1
+_KIND[[0x27, 0x3C]] = 4  # an apostrophe joins letters to it; < may begin a special token
+_KIND[~NOT_SPACE] = 0
+
+
+def units(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes with simple letters in lower case; starts, ends and kinds of the units; and the n + 1 offsets of each text's units.
+
+    In words of ASCII and Latin-1 letters a unit is a run of letters, one digit or a run of marks, as the tokenizer's pattern
+    has it; any other word is one unit of kind 4.
+    """
+    kind = _KIND[data]
+    if len(data) > 1:
+        pair = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0xBF) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+        kind[:-1][pair] = 1
+        kind[1:][pair] = 1
+    starts, ends, _ = spans(data, off, NOT_SPACE)
+    odd = np.flatnonzero(kind == 4)
+    if len(odd):  # the whole word is left to the library
+        word = np.unique(np.searchsorted(starts, odd, "right") - 1)
+        mark = np.zeros(len(data) + 1, np.int32)
+        np.add.at(mark, starts[word], 1)
+        np.add.at(mark, ends[word], -1)
+        kind[np.cumsum(mark[:-1]) > 0] = 4
+    low = data.copy()
+    letter = kind == 1
+    low[letter & (data >= 0x41) & (data <= 0x5A)] += 32
+    if len(data) > 1:
+        low[1:][letter[1:] & (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E)] += 32
+    edge = np.ones(len(data) + 1, bool)
+    edge[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+    edge[off] = True
+    at = np.flatnonzero(edge[:-1])
+    to = np.append(at[1:], len(data))
+    full = kind[at] > 0 if len(data) else np.zeros(0, bool)
+    at, to = at[full], to[full]
+    return low, at, to, kind[at], np.searchsorted(at, off)
+
+
 class Encoder:
-    """Token ids of whole texts, worked out once per distinct word.
+    """Token ids of whole texts, worked out once for each distinct unit that a chunk has and the store lacks.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are those of its words one after the other.
+    The tokenizer drops white space and never joins across it, so a text's ids are those of its units one after the other.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self._empty()
-
-    def _empty(self) -> None:
-        self.at: dict[int, int] = {}
-        self.start, self.size, self.pool, self.used, self.n = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32), 0, 0
-
-    def _learn(self, hashes: list[int], texts: list[str]) -> None:
-        for i in range(0, len(texts), 20_000):
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts[i : i + 20_000], add_special_tokens=False)]
-            sizes = np.array([len(x) for x in ids])
-            flat = np.fromiter((t for x in ids for t in x), np.uint32, int(sizes.sum()))
-            while self.used + len(flat) > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-            while self.n + len(ids) > len(self.start):
-                self.start, self.size = np.concatenate([self.start, 0 * self.start]), np.concatenate([self.size, 0 * self.size])
-            self.pool[self.used : self.used + len(flat)] = flat
-            self.start[self.n : self.n + len(ids)] = self.used + np.cumsum(sizes) - sizes
-            self.size[self.n : self.n + len(ids)] = sizes
-            self.at.update(zip(hashes[i : i + 20_000], range(self.n, self.n + len(ids)), strict=True))
-            self.used, self.n = self.used + len(flat), self.n + len(ids)
+        self.tokenizer, self.merger = Tokenizer.from_file(path), Merger(path)
+        self.keys = np.zeros(1 << STORE_BITS, np.uint64)
+        self.start, self.size = np.zeros(1 << STORE_BITS, np.int64), np.zeros(1 << STORE_BITS, np.int64)
+        self.pool, self.used = np.zeros(STORE_IDS, np.uint32), 0
+
+    def _learn(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start in the pool, size) of the ids of new units."""
+        ids, sizes = np.zeros(0, np.uint32), np.zeros(len(starts), np.int64)
+        short = (kinds < 4) & (ends - starts <= LONGEST)
+        a, b = np.flatnonzero(short), np.flatnonzero(~short)
+        merged, sizes[a] = self.merger.ids(low, starts[a], (ends - starts)[a])
+        raw = low.tobytes()
+        rest = [e.ids for e in self.tokenizer.encode_batch_fast([raw[x:y].decode() for x, y in zip(starts[b], ends[b], strict=True)], add_special_tokens=False)] if len(b) else []
+        sizes[b] = [len(x) for x in rest]
+        ids = np.concatenate([merged, *(np.array(x, np.uint32) for x in rest)])
+        order = np.concatenate([a, b])
+        if self.used + len(ids) > len(self.pool):
+            self.keys[:] = 0
+            self.used = 0
+            if len(ids) > len(self.pool):
+                self.pool = np.zeros(2 * len(ids), np.uint32)
+        self.pool[self.used : self.used + len(ids)] = ids
+        at = np.zeros(len(starts), np.int64)
+        at[order] = self.used + np.cumsum(sizes[order]) - sizes[order]
+        self.used += len(ids)
+        return at, sizes
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids one after the other, each text followed by id 0; and the n + 1 offsets."""
-        starts, ends, woff = spans(data, off, NOT_SPACE)
-        kinds, first, inverse = np.unique(span_hash(data, starts, ends), return_index=True, return_inverse=True)
-        keys = kinds.tolist()
-        if self.n + len(keys) > STORE_WORDS and self.n:
-            self._empty()
-        new = [i for i, k in enumerate(keys) if k not in self.at]
-        raw = data.tobytes()
-        self._learn([keys[i] for i in new], [raw[starts[first[i]] : ends[first[i]]].decode() for i in new])
-        word = np.fromiter((self.at[k] for k in keys), np.int64, len(keys))[inverse]
-        sizes = self.size[word]
-        total = np.concatenate([[0], np.cumsum(sizes)])
+        low, starts, ends, kinds, uoff = units(data, off)
+        h = span_hash(low, starts, ends)
+        slot = (h >> np.uint64(64 - STORE_BITS)).astype(np.int64)
+        new = np.flatnonzero(self.keys[slot] != h)
+        if len(new):
+            _, first, inverse = np.unique(h[new], return_index=True, return_inverse=True)
+            some = new[first]
+            used = self.used
+            at, sizes = self._learn(low, starts[some], ends[some], kinds[some])
+            if self.used < used:  # the store was emptied, and with it what this chunk had found there
+                return self.encode(data, off)
+            start, size = self.start[slot], self.size[slot]
+            start[new], size[new] = at[inverse], sizes[inverse]
+            self.keys[slot[some]], self.start[slot[some]], self.size[slot[some]] = h[some], at, sizes
+        else:
+            start, size = self.start[slot], self.size[slot]
+        total = np.concatenate([[0], np.cumsum(size)])
         n = len(off) - 1
-        ends_at = total[woff]  # in ids without terminators
+        ends_at = total[uoff]  # in ids without terminators
         ids = np.zeros(int(total[-1]) + n, np.uint32)
-        within = np.arange(int(total[-1])) - np.repeat(total[:-1], sizes)
-        doc = np.repeat(np.arange(n), np.diff(ends_at))
-        ids[np.arange(int(total[-1])) + doc] = self.pool[np.repeat(self.start[word], sizes) + within]
+        real = np.ones(len(ids), bool)
+        real[ends_at[1:] + np.arange(n)] = False
+        ids[real] = self.pool[np.repeat(start - total[:-1], size) + np.arange(int(total[-1]))]
         return ids, ends_at + np.arange(n + 1)
 
 
