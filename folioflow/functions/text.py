@@ -158,7 +158,7 @@ def paper_id(file_name: Column | str) -> Column:
 
 def stem(path: Column | str) -> Column:
     name = F.regexp_extract(_c(path), r"([^/\\]*)\z", 1)
-    return F.when(name.rlike(r"^.+\.[^.]*$"), F.regexp_extract(name, r"\A(.+)\.[^.]*\z", 1)).otherwise(name)
+    return F.when(name.rlike(r"(?s)\A.+\.[^.]*\z"), F.regexp_extract(name, r"(?s)\A(.+)\.[^.]*\z", 1)).otherwise(name)
 
 
 def suffix(path: Column | str) -> Column:
@@ -183,6 +183,14 @@ def mask_secret(c: Column | str) -> Column:
     return F.when(c == "", "").when(F.length(c) <= 8, "****").otherwise(F.concat(F.lit("****"), F.right(c, F.lit(4))))
 
 
+ACCENTED, UNACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿß", "aaaaaaceeeeiiiinooooouuuuyys"
+
+
+def fold_accents(c: Column | str) -> Column:
+    """Lower case, Latin-1 letters without their accents."""
+    return F.translate(F.lower(_c(c)), ACCENTED, UNACCENTED)
+
+
 def escape_html(c: Column | str) -> Column:
     t = _c(c)
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):

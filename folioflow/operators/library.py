@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.functions.text import strip
+from folioflow.functions.text import fold_accents, strip
 
 AUTHOR_SEPARATORS = "[,;、]"
 
@@ -65,11 +67,11 @@ def ordered(items: DataFrame, mode: str = "time") -> DataFrame:
 
 
 def fuzzy_distance(c: Column | str, needle: str) -> Column:
-    """The least edit distance of the needle to a run of as many characters of the text, as a share of its length; case and place do not matter."""
-    c = F.lower(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")))
+    """The least edit distance of the needle to a run of as many characters of the text, as a share of its length; case, accents and place do not matter."""
+    c = fold_accents(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")))
     n = len(needle)
     starts = F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1)))
-    runs = F.transform(starts, lambda i: F.levenshtein(F.substr(c, i, F.lit(n)), F.lit(needle.lower())))
+    runs = F.transform(starts, lambda i: F.levenshtein(F.substr(c, i, F.lit(n)), fold_accents(F.lit(needle))))
     return F.array_min(runs) / F.lit(float(n))
 
 
@@ -86,13 +88,20 @@ def fuzzy_search(items: DataFrame, needle: str, weights: dict[str, float] | None
 
 
 def occurrences(pages: DataFrame, needle: str, text: str = "text") -> DataFrame:
-    """Every place of the needle in the text, any case, overlapping ones too: char_start, char_end, match."""
+    """Every place of the needle in the text, any case, overlapping ones too: char_start, char_end, match.
+
+    The text is split before each place, so places follow from the pieces' lengths in one pass.
+    """
     needle = needle.strip()
     lowered, n = F.lower(F.col(text)), len(needle)
-    places = F.filter(F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(0))), lambda i: F.substr(lowered, i + 1, F.lit(n)) == needle.lower())
     rows = pages.where(F.contains(lowered, F.lit(needle.lower()))) if needle else pages.limit(0)
+    pieces = F.transform(F.split(lowered, f"(?={re.escape(needle.lower())})", -1), F.length)
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    ends = F.aggregate(F.slice(pieces, 1, F.size(pieces) - 1), zero, lambda s, x: F.struct((s["at"] + x).alias("at"), F.array_append(s["out"], s["at"] + x).alias("out")), lambda s: s["out"])
+    places = F.when(F.startswith(lowered, F.lit(needle.lower())), F.concat(F.array(F.lit(0)), ends)).otherwise(ends)
     others = [c for c in pages.columns if c != text]
-    return rows.select(*others, text, F.explode(places).alias("char_start")).select(*others, "char_start", (F.col("char_start") + n).alias("char_end"), F.substr(F.col(text), F.col("char_start") + 1, F.lit(n)).alias("match"))
+    found = rows.select(*others, text, F.explode(places).alias("char_start"))
+    return found.select(*others, "char_start", (F.col("char_start") + n).alias("char_end"), F.substr(F.col(text), F.col("char_start") + 1, F.lit(n)).alias("match"))
 
 
 def search_messages(messages: DataFrame, needle: str, session: str | None = None, k: int = 50) -> DataFrame:

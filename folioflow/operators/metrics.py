@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 STAGE_WEIGHTS = {"transforming": 25, "vlm_enriching": 10, "cleaning": 10, "chunking": 15, "embedding": 20, "indexing": 20}
 
 
+def _micros(start: Column | str, end: Column | str) -> Column:
+    start, end = (F.col(c) if isinstance(c, str) else c for c in (start, end))
+    return F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))
+
+
 def latency_stats(rows: DataFrame, operation: str = "operation", duration: str = "duration_ms", success: str = "success") -> DataFrame:
     """Per operation count, avg, p50, p95, p99 and success_rate; a percentile q is the value at place int(n * q) of the sorted values.
 
@@ -47,14 +52,14 @@ def stage_durations(events: DataFrame) -> DataFrame:
     end = F.col("event").isin("complete", "fail", "degrade")
     rows = events.groupBy("task_id", "stage").agg(F.min(F.when(F.col("event") == "start", F.col("ts"))).alias("started"), F.max(F.when(end, F.col("ts"))).alias("ended"), F.max_by(F.when(end, F.col("event")), F.when(end, F.col("ts"))).alias("_end"))
     status = F.when(F.col("_end") == "complete", "completed").when(F.col("_end") == "fail", "failed").when(F.col("_end") == "degrade", "degraded").otherwise("running")
-    return rows.select("task_id", "stage", "started", "ended", (F.unix_micros("ended") - F.unix_micros("started")).alias("micros"), status.alias("status"))
+    return rows.select("task_id", "stage", "started", "ended", (_micros("started", "ended")).alias("micros"), status.alias("status"))
 
 
 def task_status(stages: DataFrame) -> DataFrame:
     """Per task: failed if a stage failed, degraded if one did, else completed; and how long it took."""
     s = F.col("status")
     status = F.when(F.bool_or(s == "failed"), "failed").when(F.bool_or(s == "degraded"), "degraded").otherwise("completed")
-    return stages.groupBy("task_id").agg(status.alias("status"), (F.unix_micros(F.max("ended")) - F.unix_micros(F.min("started"))).alias("micros"))
+    return stages.groupBy("task_id").agg(status.alias("status"), _micros(F.min("started"), F.max("ended")).alias("micros"))
 
 
 def progress_percent(stage: Column, event: Column, done: Column, total: Column) -> Column:
