@@ -4,33 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
+from folioflow import session
 
-
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Gives this package to every executor's Python, once per application: Spark's file server carries it there."""
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    root = Path(__file__).resolve().parents[1]
-    into = Path(tempfile.mkdtemp(prefix="folioflow-")) / "folioflow_package.zip"
-    with zipfile.ZipFile(into, "w") as z:
-        for f in sorted(root.rglob("*.py")):
-            z.write(f, f.relative_to(root.parent))
-    sc.addPyFile(str(into))
-    _shipped.add(sc.applicationId)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["dropped", "fetched", "ranked", "required", "shared_dir", "ship", "table", "written"]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,6 +28,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def required(ddl: str, *optional: str) -> StructType:
+    """A schema without nulls but in the ``optional`` columns; joins then add no null filters, which would part plans that could share a shuffle."""
+    return StructType([StructField(f.name, f.dataType, f.name in optional) for f in StructType.fromDDL(ddl)])
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The frame, written once as a table in the shared folder and read back: its lineage ends there, so lost executors cost no recomputation and no part is computed twice."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
@@ -63,6 +48,41 @@ def dropped(frame: DataFrame) -> None:
         path.getFileSystem(frame.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+#: Texts that go to a Python worker at once. Small, since the JVM, Arrow and the worker each hold a copy.
+BATCH_BYTES, BATCH_ROWS = 8 << 20, 4000
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives executors this package, and bounds the batches that their Python workers get."""
+    session.ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Bits of the filter that fetched() sends to the scan: so many maps of 32768 bits.
+_MAPS = 256
+
+
+def fetched(docs: DataFrame, need: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows of docs whose key is in ``need`` (distinct keys), without moving the others.
+
+    A bitmap of the needed keys' hashes, of fixed size, goes to the scan and drops most other rows; the
+    join proper decides. As keys grow beyond the bitmap it lets more rows through, and nothing else changes.
+    """
+    bits = _MAPS * 32768
+    place = F.pmod(F.xxhash64(key), F.lit(bits))
+    maps = need.select(place.alias("_p")).groupBy(F.floor(F.col("_p") / 32768).alias("_m")).agg(F.bitmap_construct_agg(F.pmod(F.col("_p"), F.lit(32768))).alias("_bits"))
+    at = F.pmod(place, F.lit(32768))
+    byte = F.conv(F.hex(F.expr("substring(_bits, cast(_at div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    rows = docs.withColumns({"_m": F.floor(place / 32768), "_at": at}).join(F.broadcast(maps), "_m")
+    return rows.where(byte.bitwiseAND(F.expr("cast(shiftleft(1, cast(_at % 8 as int)) as int)")) != 0).drop("_m", "_at", "_bits").join(need, key)
+
+
 def ranked(df: DataFrame, group: list[str], order: list[str], rank: str, salts: int = 256) -> DataFrame:
     """Adds ``rank``: 0, 1, ... within each group, in the order (salt, order), where the salt is a hash of the order columns.
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import written
+from folioflow.llm.common import fetched, required, written
 from folioflow.llm.graph import components
 from folioflow.llm.kernels import NOT_SPACE, chunks, mix, shingle_set, shingles, words
 
@@ -154,7 +154,7 @@ def postings(docs: DataFrame, hot: np.ndarray, k: int = SHINGLE, percent: int =
             most = np.concatenate([r[2] for r in rows]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(salt.astype(np.int32)), pa.array(cls), pa.array(n), pa.array(most)], names=["key", "salt", "cls", "n", "most"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "key long, salt int, cls long, n int, most int")
+    return docs.select("doc_id", "text").mapInArrow(run, required("key long, salt int, cls long, n int, most int"))
 
 
 def lists(posted: DataFrame) -> DataFrame:
@@ -165,9 +165,10 @@ def lists(posted: DataFrame) -> DataFrame:
     spark = posted.sparkSession
     dealt = posted.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key", "salt")
     head = F.min(F.struct((F.col("n") - F.col("most")).alias("before"), F.col("cls").alias("cls"), F.col("n").alias("n"), F.col("most").alias("most"))).alias("head")
-    part = dealt.groupBy("key", "salt").agg(head, F.min("cls").alias("low"), F.max("cls").alias("high"))
-    common = part.where("salt >= 0").groupBy("key").agg(F.min("head").alias("_head"), F.min("low").alias("_low"), F.max("high").alias("_high"))
-    part = part.where("salt >= 0 or low < high").join(common, "key", "left")
+    part = dealt.groupBy("key", "salt").agg(head, F.min("cls").alias("low"), F.max("cls").alias("high"), F.max("salt").alias("common"))
+    # a filter on the counted salt stays above the shuffle, so that all three uses read the same one
+    common = part.where("common >= 0").groupBy("key").agg(F.min("head").alias("_head"), F.min("low").alias("_low"), F.max("high").alias("_high"))
+    part = part.where("common >= 0 or low < high").join(common, "key", "left")
     part = part.select("key", "salt", F.coalesce("_head", "head").alias("head"), F.coalesce("_low", "low").alias("low"), F.coalesce("_high", "high").alias("high")).where("low < high").drop("low", "high")
     return dealt.join(part, ["key", "salt"]).select("key", "cls", "n", "most", "head")
 
@@ -194,7 +195,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int = SHI
     two = classes.select(F.col("cls").alias("b"), F.col("doc_id").alias("db"), F.col("n").alias("nb"), F.col("counts").alias("cb"))
     left = written(pairs.join(one, "a").join(two, "b").select("a", "b", "da", "db", "na", "nb", "ca", "cb").mapInArrow(bounded, "a long, b long, da long, db long"), "candidates")
     need = left.select(F.col("da").alias("doc_id")).union(left.select("db")).distinct()
-    texts = written(docs.select("doc_id", "text").join(need, "doc_id"), "texts")
+    texts = written(fetched(docs.select("doc_id", "text"), need), "texts")
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: dict[int, list[np.ndarray]] = {}
