@@ -70,7 +70,7 @@ def _built(per_doc: DataFrame, id_col: str) -> DataFrame:
     out = per_doc.select(id_col, "items", F.posexplode(ends).alias("chunk_index", "to"), ends.alias("_ends"))
     start = F.when(F.col("chunk_index") == 0, 0).otherwise(F.element_at("_ends", F.col("chunk_index")) + 1)
     out = out.withColumn("part", F.slice("items", start + 1, F.col("to") - start + 1)).where(F.size("part") > 0)
-    head = F.filter("part", lambda x: x["is_heading"])[0]
+    head = F.get(F.filter("part", lambda x: x["is_heading"]), F.lit(0))
     content = F.array_join(F.transform("part", lambda x: x["sentence"]), "\n")
     title = F.regexp_replace(head["sentence"], r"(?U)\A#+\s*", "")
     return out.select(
