@@ -194,9 +194,6 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int = SHI
     one = classes.select(F.col("cls").alias("a"), F.col("doc_id").alias("da"), F.col("n").alias("na"), F.col("counts").alias("ca"))
     two = classes.select(F.col("cls").alias("b"), F.col("doc_id").alias("db"), F.col("n").alias("nb"), F.col("counts").alias("cb"))
     left = written(pairs.join(one, "a").join(two, "b").select("a", "b", "da", "db", "na", "nb", "ca", "cb").mapInArrow(bounded, "a long, b long, da long, db long"), "candidates")
-    need = left.select(F.col("da").alias("doc_id")).union(left.select("db")).distinct()
-    texts = written(fetched(docs.select("doc_id", "text"), need), "texts")
-
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: dict[int, list[np.ndarray]] = {}
         for batch, data, off in chunks(batches, "ta"):
@@ -215,8 +212,11 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int = SHI
                 keep.append(enough(shared, len(s), len(t), percent) and class_of(s) == a[i] and class_of(t) == b[i])
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    joined = left.join(texts.select(F.col("doc_id").alias("da"), F.col("text").alias("ta")), "da").join(texts.select(F.col("doc_id").alias("db"), F.col("text").alias("tb")), "db")
-    return joined.select("a", "b", "ta", "tb").mapInArrow(exact, "a long, b long").distinct()
+    # each side's texts move once to meet their pairs, and those of the pairs' first texts once more to meet the others
+    texts = docs.select("doc_id", "text")
+    ta = fetched(texts, left.select(F.col("da").alias("doc_id")).distinct()).select(F.col("doc_id").alias("da"), F.col("text").alias("ta"))
+    tb = fetched(texts, left.select(F.col("db").alias("doc_id")).distinct()).select(F.col("doc_id").alias("db"), F.col("text").alias("tb"))
+    return left.join(ta, "da").join(tb, "db").select("a", "b", "ta", "tb").mapInArrow(exact, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

@@ -110,11 +110,18 @@ def words(data: np.ndarray, off: np.ndarray, word: np.ndarray, lower: bool = Tru
 
 
 def shingles(wh: np.ndarray, k: int) -> np.ndarray:
-    """The hash of the k words from each word on; the last k - 1 run over the end and are void."""
-    out = np.zeros(len(wh), np.uint64)
-    for j in range(k):
-        out[: len(wh) - j] = out[: len(wh) - j] * np.uint64(0x100000001B3) + wh[j:]
-    return mix(out)
+    """The hash of the k words from each word on; the last k - 1 run over the end and are void.
+
+    A difference of prefix sums of a polynomial, so long runs cost no more than short ones.
+    """
+    n = len(wh)
+    out = np.zeros(n, np.uint64)
+    if n >= k:
+        p, q = _power(n)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(wh * p[:n], dtype=np.uint64, out=sums[1:])
+        out[: n - k + 1] = mix((sums[k:] - sums[: n - k + 1]) * q[: n - k + 1])
+    return out
 
 
 def shingle_set(wh: np.ndarray, sh: np.ndarray, k: int) -> np.ndarray:

@@ -180,8 +180,8 @@ def test_near_passages():
     x = w[:100] + [f"x{i}" for i in range(50)]
     y = [f"y{i}" for i in range(40)] + w[:45] + ["edit"] + w[46:100]
     h = lambda v: np.array([hash(t) & 0xFFFFFFFFFFFFFFFF for t in v], np.uint64)
-    assert rng and [p[:4] for p in passages.common_passages(h(x), h(y))] == [(0, 100, 40, 140)]
-    assert passages.common_passages(h(w[:49]), h(w[:49])) == [] and passages.common_passages(h(w), h(x[100:])) == []
+    assert rng and [p[:4] for p in passages.common_passages(h(x), passages.Text(h(y)))] == [(0, 100, 40, 140)]
+    assert passages.common_passages(h(w[:49]), passages.Text(h(w[:49]))) == [] and passages.common_passages(h(w), passages.Text(h(x[100:]))) == []
 
 
 def test_cuts(spark):
