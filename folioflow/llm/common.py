@@ -8,9 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
+
 from folioflow import session
 
-__all__ = ["dropped", "fetched", "ranked", "required", "shared_dir", "ship", "table", "written"]
+__all__ = ["Scratch", "dropped", "fetched", "ranked", "required", "shared_dir", "ship", "table", "written"]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,35 +34,53 @@ def required(ddl: str, *optional: str) -> StructType:
     return StructType([StructField(f.name, f.dataType, f.name in optional) for f in StructType.fromDDL(ddl)])
 
 
+_paths: dict[str, str] = {}
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The frame, written once as a table in the shared folder and read back: its lineage ends there, so lost executors cost no recomputation and no part is computed twice."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """The frame, written once as a table in the shared folder and read back: its lineage ends there, so lost executors cost no recomputation and no part is computed twice.
+
+    The table goes when dropped() is called for the frame, and at the latest when the application ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    fs, where = _at(spark, path)
+    fs.deleteOnExit(where)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table = path
+    _paths[path] = name
+    return out
+
+
+def _at(spark: SparkSession, path: str) -> tuple:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), where
 
 
-def dropped(frame: DataFrame) -> None:
-    """Removes the files of a frame from written()."""
-    jvm = frame.sparkSession._jvm
-    for f in {x.rsplit("/", 1)[0] for x in frame.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(frame.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+def dropped(*frames: DataFrame) -> None:
+    """Removes the tables of frames from written() that nothing reads any more."""
+    for f in frames:
+        _remove(f.sparkSession, f._table)
 
 
-#: Texts that go to a Python worker at once. Small, since the JVM, Arrow and the worker each hold a copy.
-BATCH_BYTES, BATCH_ROWS = 8 << 20, 4000
+def _remove(spark: SparkSession, path: str) -> None:
+    fs, where = _at(spark, path)
+    fs.delete(where, True)
+    _paths.pop(path, None)
 
 
-def ship(spark: SparkSession) -> None:
-    """Gives executors this package, and bounds the batches that their Python workers get."""
-    session.ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+class Scratch:
+    """Tables that are written while it is open; settled() writes a result and removes all others."""
 
+    def __init__(self) -> None:
+        self.before = set(_paths)
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    def settled(self, df: DataFrame, name: str) -> DataFrame:
+        out = written(df, name)
+        for path in set(_paths) - self.before - {out._table}:
+            _remove(df.sparkSession, path)
+        return out
 
 
 #: Bits of the filter that fetched() sends to the scan: so many maps of 32768 bits.

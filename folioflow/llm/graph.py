@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import written
+from folioflow.llm.common import dropped, written
 
 
 def _min_of_neighbours(both: DataFrame) -> DataFrame:
@@ -37,5 +37,6 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         if tuple(mark) == told or not mark[0]:
             break
         told = tuple(mark)
-        now = written(_star(_star(now, large=True), large=False), "edges")
+        last, now = now, written(_star(_star(now, large=True), large=False), "edges")
+        dropped(last)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

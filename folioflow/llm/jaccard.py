@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import fetched, required, written
+from folioflow.llm.common import dropped, fetched, required, written
 from folioflow.llm.graph import components
 from folioflow.llm.kernels import NOT_SPACE, chunks, mix, shingle_set, shingles, words
 
@@ -216,7 +216,9 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int = SHI
     texts = docs.select("doc_id", "text")
     ta = fetched(texts, left.select(F.col("da").alias("doc_id")).distinct()).select(F.col("doc_id").alias("da"), F.col("text").alias("ta"))
     tb = fetched(texts, left.select(F.col("db").alias("doc_id")).distinct()).select(F.col("doc_id").alias("db"), F.col("text").alias("tb"))
-    return left.join(ta, "da").join(tb, "db").select("a", "b", "ta", "tb").mapInArrow(exact, "a long, b long").distinct()
+    links = written(left.join(ta, "da").join(tb, "db").select("a", "b", "ta", "tb").mapInArrow(exact, "a long, b long").distinct(), "links")
+    dropped(left)
+    return links
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -236,21 +238,25 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
     listed = written(lists(postings(docs, hot, k, percent)), "lists")
     star = listed.where("cls <> head.cls").where(_feasible("n", "most", "head.n", "head.most", percent)).select(F.col("cls").alias("x"), F.col("head.cls").alias("y"))
     star = written(_pairs(star), "pairs")
-    links = written(verified(star, classes, docs, k, percent), "links")
+    links = verified(star, classes, docs, k, percent)
     roots = components(links, "a", "b")
 
     # Lists that those links leave in several components: the pairs between components that no bound rules out.
     rooted = listed.select("key", "cls", "n", "most").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    open_ = written(rooted, "rooted")
-    span = open_.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("most").alias("top"), F.min("n").alias("least")).where("low < high").drop("low", "high")
-    open_ = open_.join(span, "key").where(enough(F.least("most", "top"), F.col("n"), F.col("least"), percent)).drop("top", "least")
+    rooted = written(rooted, "rooted")
+    dropped(listed)
+    span = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("most").alias("top"), F.min("n").alias("least")).where("low < high").drop("low", "high")
+    span = written(span, "span")  # so that the join reads two plain shuffles, whose large parts Spark can split
+    open_ = rooted.join(span, "key").where(enough(F.least("most", "top"), F.col("n"), F.col("least"), percent)).drop("top", "least")
     left, right = (open_.select("key", *(F.col(c).alias(c + s) for c in ("cls", "n", "most", "root"))) for s in "12")
     rest = left.join(right, "key").where("root1 < root2").where(_feasible("n1", "most1", "n2", "most2", percent)).select(F.col("cls1").alias("x"), F.col("cls2").alias("y"))
     rest = written(_pairs(rest).join(star, ["a", "b"], "left_anti"), "pairs")
     if not rest.isEmpty():
-        more = written(verified(rest, classes, docs, k, percent), "links")
+        more = verified(rest, classes, docs, k, percent)
         if not more.isEmpty():
             roots = components(links.unionByName(more), "a", "b")
+        dropped(more)
+    dropped(star, rest, rooted, span, links)
 
     named = classes.select("cls", "doc_id").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
