@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioflow.llm.common import ship, table, written
+from folioflow.llm.common import Scratch, dropped, ship, table
 from folioflow.llm.decontam import decontaminate
 from folioflow.llm.jaccard import one_of_each
 from folioflow.llm.packing import pack_documents
@@ -57,7 +57,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        scratch = Scratch()
+        docs = scratch.settled(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if last is not None:
+            dropped(last)
+        last = docs
     return docs
