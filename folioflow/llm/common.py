@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql.types import StructField, StructType
 
 from folioflow import session
 
-__all__ = ["Scratch", "dropped", "fetched", "ranked", "required", "shared_dir", "ship", "table", "written"]
+__all__ = ["Scratch", "aside", "dropped", "fetched", "ranked", "required", "shared_dir", "ship", "table", "written"]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -118,6 +119,12 @@ def fetched(docs: DataFrame, need: DataFrame, key: str = "doc_id") -> DataFrame:
     return rows.where(byte.bitwiseAND(F.expr("cast(shiftleft(1, cast(_at % 8 as int)) as int)")) != 0).drop("_m", "_at", "_bits").join(need, key)
 
 
+def aside(df: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The frame with its columns of these names under others, and the function that brings a result back to the frame's own columns."""
+    clash = {c: f"_own_{c}" for c in df.columns if c in names}
+    return df.withColumnsRenamed(clash), lambda out: out.drop(*clash).withColumnsRenamed({v: k for k, v in clash.items()}).select(*df.columns)
+
+
 def ranked(df: DataFrame, group: list[str], order: list[str], rank: str, salts: int = 256) -> DataFrame:
     """Adds ``rank``: 0, 1, ... within each group, in the order (salt, order), where the salt is a hash of the order columns.
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import written
+from folioflow.llm.common import aside, written
 from folioflow.llm.kernels import ALNUM, LOWER, buffers, chunks, shingles, span_hash, spans
 
 WINDOW = 10
@@ -224,10 +224,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, max_coverage: float = 0
                 batch = batch.set_column(at, names[at], pa.array(texts, pa.string()))
             yield batch
 
+    docs, back = aside(docs, ("n_words", "hits", "items"))
     found = scan(docs, benchmark)
     covered = F.aggregate("hits", F.lit(0).cast("long"), lambda n, h: n + h["end"] - h["start"])
     found = found.where(covered <= max_coverage * F.col("n_words"))
     found = found.mapInArrow(cut, found.schema)
     if "n_chars" in docs.columns:
         found = found.withColumn("n_chars", F.when(F.size("hits") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return found.select(*docs.columns)
+    return back(found)

@@ -1,18 +1,19 @@
 """Vectorised text kernels over the UTF-8 buffers of Arrow string columns.
 
-Every function works on whole texts. Batches are cut into chunks of a few megabytes of text so that
+Every function works on whole texts. Batches are cut into chunks of a quarter megabyte of text so that
 the numpy temporaries of a Python worker stay bounded whatever the batch size is; one text longer
 than the chunk makes a chunk of its own.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import ctypes
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _PINV = np.uint64(pow(int(_P), -1, 1 << 64))
 _rng = np.random.default_rng(20240607)
@@ -56,6 +57,15 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BY
             j = max(i + 1, int(np.searchsorted(off, off[i] + limit, "right")) - 1)
             yield batch.slice(i, j - i), data[off[i] : off[j]], off[i : j + 1] - off[i]
             i = j
+    release()
+
+
+def release() -> None:
+    """Gives freed memory back to the system: Spark keeps idle workers, and they count against the executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -135,8 +145,3 @@ def shingle_set(wh: np.ndarray, sh: np.ndarray, k: int) -> np.ndarray:
             h = np.uint64((int(h) * 0x100000001B3 + int(x)) & 0xFFFFFFFFFFFFFFFF)
         return mix(np.array([h ^ np.uint64(0x5BD1E995)], np.uint64))
     return np.unique(sh[: n - k + 1])
-
-
-def mapped(df, fn: Callable, schema: str):
-    """mapInArrow over small batches: rows of a batch are few enough for the longest texts."""
-    return df.mapInArrow(fn, schema)

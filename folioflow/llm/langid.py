@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.kernels import LOWER, buffers, chunks
+from folioflow.llm.kernels import LOWER, buffers, chunks, release
 from folioflow.llm.learn import MAX_ROWS, Adagrad, column_sample, held_out, temperature
 
 BUCKETS, DIM = 1 << 15, 16
@@ -136,6 +136,7 @@ def identify(docs: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     text, one without a letter, and every text where no language was learned: ``und``, 0, not accepted.
     """
     shared = docs.sparkSession.sparkContext.broadcast(train(*column_sample(docs, "lang", max_rows)))
+    release()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.kernels import LOWER, NOT_SPACE, buffers, chunks, span_hash, spans
+from folioflow.llm.kernels import LOWER, NOT_SPACE, buffers, chunks, release, span_hash, spans
 from folioflow.llm.learn import MAX_ROWS, held_out, labelled_sample, sigmoid
 
 PASSAGE, HIDDEN, GATE = 48, 24, 12
@@ -168,6 +168,7 @@ def assess(docs: DataFrame, labels: DataFrame, cut: float = 0.3, max_rows: int =
     good labels.
     """
     shared = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, max_rows))
+    release()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value

@@ -78,6 +78,12 @@ def test_spans_go(spark):
     assert got == {1: (want, len(want)), 3: ("Clean  text.\n", 13), 4: (None, None)}
 
 
+def test_clashing_columns_stay(spark):
+    d = spark.createDataFrame([(1, "a b", "mine", 5)], "doc_id long, text string, items string, n_words int")
+    got = decontam.decontaminate(d, spark.createDataFrame([(1, "b")], "item_id long, text string"), 1.0)
+    assert got.columns == d.columns and got.first() == (1, "a ", "mine", 5)
+
+
 def test_empty_tables(spark):
     d, b = spark.createDataFrame([(1, "a b")], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert decontam.report(d, b).first().n_words == 2 and decontam.report(d.limit(0), b).count() == 0
