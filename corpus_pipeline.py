@@ -13,16 +13,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioflow.llm.common import Scratch, dropped, ship, table
+from folioflow.llm.common import Scratch, aside, dropped, ship, table
 from folioflow.llm.decontam import decontaminate
 from folioflow.llm.jaccard import one_of_each
 from folioflow.llm.packing import pack_documents
 from folioflow.llm.passages import cut_repeats
-from folioflow.llm.toxicity import classify
+from folioflow.llm.toxicity import ADDED, classify
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return classify(docs, table(spark, sf_dir, "labels")).where("not flagged").select(*docs.columns)
+    own, back = aside(docs, ADDED)
+    return back(classify(own, table(spark, sf_dir, "labels")).where("not flagged"))
 
 
 def keep_one_near_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
