@@ -43,9 +43,11 @@ def bm25(posted: DataFrame, lengths: DataFrame, queries: DataFrame, k: int, allo
     Queries are a stated set, so their terms go to the postings, and only matching postings are shuffled.
     """
     n, avgdl = lengths.agg(F.count(F.lit(1)), F.avg("dl")).first()
-    idf = term_stats(posted, n).join(F.broadcast(queries.select("token").distinct()), "token")
+    asked = F.broadcast(queries.select("token").distinct())
+    idf = term_stats(posted, n).join(asked, "token")
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(float(avgdl or 1))))
-    met = posted.join(F.broadcast(queries), "token").join(F.broadcast(idf), "token").join(lengths, id_col)
+    # the semi-join goes below the counting of postings, so other terms are never shuffled
+    met = posted.join(asked, "token", "left_semi").join(F.broadcast(queries), "token").join(F.broadcast(idf), "token").join(lengths, id_col)
     scored = met.groupBy("query_id", id_col).agg(F.round(F.sum(part), 6).alias("score"))
     if allowed is not None:
         scored = scored.join(allowed, ["query_id", id_col], "left_semi")
