@@ -12,7 +12,7 @@ from pyspark.sql.types import StructField, StructType
 
 from folioflow import session
 
-__all__ = ["Scratch", "aside", "dropped", "fetched", "ranked", "required", "shared_dir", "ship", "table", "written"]
+__all__ = ["Scratch", "aside", "dropped", "fetched", "ranked", "required", "screened", "shared_dir", "ship", "table", "written"]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,7 +36,7 @@ def required(ddl: str, *optional: str) -> StructType:
 
 
 #: Texts that go to a Python worker at once. Small, since the JVM, Arrow and the worker each hold a copy.
-BATCH_BYTES, BATCH_ROWS = 8 << 20, 4000
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 2000
 
 
 def ship(spark: SparkSession) -> None:
@@ -104,19 +104,23 @@ class Scratch:
 _MAPS = 256
 
 
-def fetched(docs: DataFrame, need: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows of docs whose key is in ``need`` (distinct keys), without moving the others.
+def screened(docs: DataFrame, need: DataFrame, key: str = "doc_id") -> DataFrame:
+    """docs with ``_maybe``: false where the key is surely not in ``need``, told without moving rows.
 
-    A bitmap of the needed keys' hashes, of fixed size, goes to the scan and drops most other rows; the
-    join proper decides. As keys grow beyond the bitmap it lets more rows through, and nothing else changes.
+    A bitmap of the needed keys' hashes, of fixed size, goes to the scan. As keys grow beyond it more rows are let through.
     """
     bits = _MAPS * 32768
     place = F.pmod(F.xxhash64(key), F.lit(bits))
     maps = need.select(place.alias("_p")).groupBy(F.floor(F.col("_p") / 32768).alias("_m")).agg(F.bitmap_construct_agg(F.pmod(F.col("_p"), F.lit(32768))).alias("_bits"))
-    at = F.pmod(place, F.lit(32768))
     byte = F.conv(F.hex(F.expr("substring(_bits, cast(_at div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    rows = docs.withColumns({"_m": F.floor(place / 32768), "_at": at}).join(F.broadcast(maps), "_m")
-    return rows.where(byte.bitwiseAND(F.expr("cast(shiftleft(1, cast(_at % 8 as int)) as int)")) != 0).drop("_m", "_at", "_bits").join(need, key)
+    rows = docs.withColumns({"_m": F.floor(place / 32768), "_at": F.pmod(place, F.lit(32768))}).join(F.broadcast(maps), "_m", "left")
+    maybe = byte.bitwiseAND(F.expr("cast(shiftleft(1, cast(_at % 8 as int)) as int)")) != 0
+    return rows.withColumn("_maybe", F.coalesce(maybe, F.lit(False))).drop("_m", "_at", "_bits")
+
+
+def fetched(docs: DataFrame, need: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows of docs whose key is in ``need`` (distinct keys); most others are never moved, and the join decides."""
+    return screened(docs, need, key).where("_maybe").drop("_maybe").join(need, key)
 
 
 def aside(df: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.llm.common import aside, written
-from folioflow.llm.kernels import ALNUM, LOWER, buffers, chunks, shingles, span_hash, spans
+from folioflow.llm.kernels import ALNUM, LOWER, buffers, chunks, release, shingles, span_hash, spans
 
 WINDOW = 10
 #: Words of items in one automaton; the items of a larger benchmark are dealt to several, read one after the other.
@@ -223,6 +223,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, max_coverage: float = 0
                         texts[i] = (b"".join(parts) + raw[last:]).decode()
                 batch = batch.set_column(at, names[at], pa.array(texts, pa.string()))
             yield batch
+        release()
 
     docs, back = aside(docs, ("n_words", "hits", "items"))
     found = scan(docs, benchmark)

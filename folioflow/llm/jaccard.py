@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from folioflow.llm.common import dropped, fetched, required, written
 from folioflow.llm.graph import components
-from folioflow.llm.kernels import NOT_SPACE, chunks, mix, shingle_set, shingles, words
+from folioflow.llm.kernels import NOT_SPACE, buffers, chunks, mix, release, shingle_set, shingles, words
 
 SHINGLE, PERCENT = 5, 80
 HOT_BITS = 20
@@ -190,6 +190,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int = SHI
             n = (np.asarray(batch.column("na")) + np.asarray(batch.column("nb"))).tolist()
             keep = pa.array([enough(overlap_bound(x, y), m, 0, percent) for x, y, m in zip(a, b, n, strict=True)], pa.bool_())
             yield batch.select(["a", "b", "da", "db"]).filter(keep)
+        release()
 
     one = classes.select(F.col("cls").alias("a"), F.col("doc_id").alias("da"), F.col("n").alias("na"), F.col("counts").alias("ca"))
     two = classes.select(F.col("cls").alias("b"), F.col("doc_id").alias("db"), F.col("n").alias("nb"), F.col("counts").alias("cb"))
@@ -203,8 +204,6 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int = SHI
             keep = []
             for i, s in enumerate(mine):
                 if b[i] not in last:
-                    from folioflow.llm.kernels import buffers
-
                     last = {b[i]: sets(*buffers(other.slice(i, 1)), k)}
                 t = last[b[i]][0]
                 shared = len(s) + len(t) - len(np.union1d(s, t))

@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK_BYTES = 1 << 18
+# Arrow's own allocators keep what is freed; the system's gives it back.
+pa.set_memory_pool(pa.system_memory_pool())
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _PINV = np.uint64(pow(int(_P), -1, 1 << 64))
 _rng = np.random.default_rng(20240607)
