@@ -19,12 +19,12 @@ from pyspark.sql import functions as F
 
 from folioflow.llm.bpe import LONGEST, Merger
 from folioflow.llm.common import ranked, written
-from folioflow.llm.kernels import NOT_SPACE, chunks, span_hash, spans
+from folioflow.llm.kernels import NOT_SPACE, chunks, release, span_hash, spans
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
 #: Slots for units whose ids are kept in a worker, and how many ids are kept before the store starts anew.
-STORE_BITS, STORE_IDS = 18, 1 << 22
+STORE_BITS, STORE_IDS = 18, 1 << 21
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -83,13 +83,21 @@ class Encoder:
     """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.merger = Tokenizer.from_file(path), Merger(path)
+        self.path, self.merger, self._tokenizer = path, Merger(path), None
+        release()  # what reading the file took
         self.keys = np.zeros(1 << STORE_BITS, np.uint64)
         self.start, self.size = np.zeros(1 << STORE_BITS, np.int64), np.zeros(1 << STORE_BITS, np.int64)
         self.pool, self.used = np.zeros(STORE_IDS, np.uint32), 0
 
+    @property
+    def tokenizer(self):
+        """The library's tokenizer, read when the first unit needs it."""
+        if self._tokenizer is None:
+            from tokenizers import Tokenizer
+
+            self._tokenizer = Tokenizer.from_file(self.path)
+        return self._tokenizer
+
     def _learn(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(start in the pool, size) of the ids of new units."""
         ids, sizes = np.zeros(0, np.uint32), np.zeros(len(starts), np.int64)
