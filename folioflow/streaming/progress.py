@@ -64,7 +64,7 @@ class Context(StatefulProcessor):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("context", "content string, version long", ttl_duration_ms=self.ttl_ms)
+        self.state = handle.getValueState("context", "content string, version long", ttlDurationMs=self.ttl_ms)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
         content, version = self.state.get() if self.state.exists() else (None, 0)

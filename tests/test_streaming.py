@@ -1,3 +1,5 @@
+import time
+import uuid
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -10,18 +12,25 @@ def stream(spark, tmp_path, rows, schema):
     return spark.readStream.schema(schema).json(str(tmp_path / "in"))
 
 
-def run(spark, df, tmp_path, mode):
-    q = df.writeStream.outputMode(mode).format("memory").queryName("out").option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.processAllAvailable()
-    got = [tuple(r) for r in spark.table("out").collect()]
-    q.stop()
-    return got
+def run(spark, df, tmp_path, mode, want):
+    """The rows of the stream once there are as many as wanted; timers keep such a query alive, so it is stopped then."""
+    name = f"out_{uuid.uuid4().hex}"
+    q = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", str(tmp_path / "cp")).start()
+    try:
+        for _ in range(120):
+            if q.exception() or spark.table(name).count() >= want:
+                break
+            time.sleep(0.5)
+        assert not q.exception()
+        return [tuple(r) for r in spark.table(name).collect()]
+    finally:
+        q.stop()
 
 
 def test_progress_ends_at_the_end(spark, tmp_path):
     events = [("t", "stage", 10, 1), ("t", "completed", 100, 3), ("t", "late", 5, 4), ("u", "stage", 7, 1)]
     df = p.progress(stream(spark, tmp_path, events, "task_id string, event string, percent int, ts long"))
-    assert sorted(run(spark, df, tmp_path, "append")) == [("t", "completed", 100, 2), ("t", "stage", 10, 1), ("u", "stage", 7, 1)]
+    assert sorted(run(spark, df, tmp_path, "append", 3)) == [("t", "completed", 100, 2), ("t", "stage", 10, 1), ("u", "stage", 7, 1)]
 
 
 def test_timeout():
@@ -44,7 +53,7 @@ def test_timeout():
 def test_newest_context(spark, tmp_path):
     updates = [("s", "a", 1), ("s", "b", 2), ("r", "c", 1)]
     df = p.contexts(stream(spark, tmp_path, updates, "session_id string, content string, ts long"))
-    assert sorted(run(spark, df, tmp_path, "update")) == [("r", "c", 1), ("s", "b", 2)]
+    assert sorted(run(spark, df, tmp_path, "update", 2)) == [("r", "c", 1), ("s", "b", 2)]
 
 
 def test_debounce(spark):
