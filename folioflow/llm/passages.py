@@ -3,15 +3,17 @@
 Under one hash function, the Cartesian tree over the hashes of a text's tokens parts all its
 subsequences of at least t tokens into compact windows, one for each tree node that spans t tokens: all
 subsequences in a window have the node's token as their least. Texts that post the same least token are
-brought together. One function works on runs of 25 words with windows of 26 runs: any two texts with
-a passage of 50 words in common post a common run. ``HASHES`` more work on five-word shingles with
-windows of a passage's length, for passages that are alike but not the same; of these, ``AGREE`` must meet.
-
-Each text of a list is compared with the list's head; both whole texts decide. A list of an exact run in which
-a text fails this has all its members post every 50-word window around the run, and equal
-windows are repeats. So no list is ever expanded to pairs, and every exact repeat is found; only where two texts
-go on alike after the end of what both share with the head, fewer than 50 words of that may stay. A passage
-at similarity 0.8 is missed when fewer than ``AGREE`` functions meet, or when it meets only a head without it.
+brought together. One function works on runs of 13 words with windows of 13 runs: any two texts with
+25 words in common post a common run. That is complete for near copies too: each place where two passages differ
+costs nine of both sides' shingles at least, of which a ninth may differ, so k such places take 81 k shingles or more
+and leave, in k + 1 stretches, one of 21 shingles, which is 25 words (texts that repeat their own shingles aside).
+``HASHES`` more functions work on five-word shingles with windows of a passage's length; of these, ``AGREE`` must meet.
+
+Each text of a list is compared with the list's head; both whole texts decide. Where a later text of a list of runs
+has no passage there, those of its members that share shingles near the run which the head lacks there are compared
+too. Last, members of lists that still lack a passage post every 50-word window around the run, and equal windows are
+repeats. Only where two texts go on alike after the end of what both share with others, fewer than 50 words of
+that may stay.
 """
 
 from __future__ import annotations
@@ -28,10 +30,14 @@ from folioflow.llm.jaccard import HOT_BITS, HOT_LEAST, HOT_SALTS, HOT_SIGMAS
 from folioflow.llm.kernels import NOT_SPACE, buffers, chunks, mix, release, shingles, span_hash, spans, words
 
 LEAST_WORDS, SHINGLE, PERCENT = 50, 5, 80
-RUN = LEAST_WORDS // 2
+#: A passage at ``PERCENT`` holds an exact run of so many words, and any such run a posted gram of so many. See above.
+WHOLE = LEAST_WORDS // 2
+RUN = (WHOLE + 1) // 2
 HASHES, AGREE = 3, 2
 #: Words between two matching stretches of one passage, at most.
 GAP = 30
+#: Words from a run to the next shingle of its passage, at most, if the run is no passage itself.
+NEAR = LEAST_WORDS + GAP + SHINGLE
 _SEEDS = np.array([0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 
 
@@ -60,7 +66,7 @@ def anchors(wh: np.ndarray, woff: np.ndarray) -> list[tuple[int, np.ndarray, np.
     """(function, places, keys) of all texts: 0 for exact runs, the others for shingles. Places are words."""
     out = []
     for f in range(HASHES + 1):
-        k, t = (RUN, LEAST_WORDS - RUN + 1) if f == 0 else (SHINGLE, LEAST_WORDS - SHINGLE + 1)
+        k, t = (RUN, WHOLE - RUN + 1) if f == 0 else (SHINGLE, LEAST_WORDS - SHINGLE + 1)
         grams = shingles(wh, k)
         # grams that run over a text's end are taken out, and the offsets follow
         size = np.maximum(np.diff(woff) - k + 1, 0)
@@ -279,6 +285,58 @@ def exact_windows(members: DataFrame, docs: DataFrame) -> DataFrame:
     return met.select("a", "b", "start", (F.col("last") + LEAST_WORDS).alias("end"), (F.col("start") + F.col("shift")).alias("other_start"), (F.col("last") + F.col("shift") + LEAST_WORDS).alias("other_end"), F.lit(100).alias("percent"))
 
 
+def unsettled(rows: DataFrame, found: DataFrame, firsts: DataFrame) -> DataFrame:
+    """Those rows (key, cls, first, start, end) whose list of three texts or more has a later one without a passage found around start to end; with ``open``, whether the row is such, and the list's ``head``."""
+    a, b = firsts.select(F.col("cls").alias("a"), F.col("first").alias("da")), firsts.select(F.col("cls").alias("b"), F.col("first").alias("db"))
+    # only the later text of a pair gets its passage as a row
+    later = found.join(a, "a").join(b, "b").select(F.when(F.col("da") > F.col("db"), F.struct(F.col("a").alias("cls"), "start", "end")).otherwise(F.struct(F.col("b").alias("cls"), F.col("other_start").alias("start"), F.col("other_end").alias("end"))).alias("s"))
+    spans_of = later.groupBy("s.cls").agg(F.collect_set(F.struct("s.start", "s.end")).alias("spans"))
+    inside = F.exists("spans", lambda s: (s["start"] <= F.col("start")) & (F.col("end") <= s["end"]))
+    marked = written(rows.join(spans_of, "cls", "left").withColumn("open", ~F.coalesce(inside, F.lit(False))).drop("spans"), "marked")
+    heads = marked.groupBy("key").agg(F.min(F.struct("first", "cls")).alias("head"), F.max(F.when(F.col("open"), F.col("first"))).alias("top"), F.countDistinct("cls").alias("texts")).where("top > head.first and texts > 2").drop("top", "texts")
+    out = written(marked.join(written(heads, "heads"), "key"), "unsettled")
+    dropped(marked)
+    return out
+
+
+def near_rest(listed: DataFrame, named: DataFrame, tried: DataFrame, found: DataFrame, docs: DataFrame) -> DataFrame:
+    """``found`` and the passages that texts share with others than their lists' heads.
+
+    What two texts share around a run beyond what the head has too, they share by shingles near it that the head lacks there.
+    So members of a run's list meet again by those, and later texts that lack a passage are compared with all earlier ones they meet.
+    """
+    firsts = written(named.select("cls", "first").distinct(), "firsts")
+    rows = listed.where("f = 0").join(named.select("doc_id", "cls", "first"), "doc_id")
+    runs = unsettled(rows.select("key", "cls", "first", F.col("place").alias("start"), (F.col("place") + RUN).alias("end")).distinct(), found, firsts)
+    by_doc = runs.select(F.col("first").alias("doc_id"), "cls", "key", "start", "open", (F.col("first") == F.col("head.first")).alias("heads")).groupBy("doc_id", "cls").agg(F.collect_set(F.struct("key", "start", "open", "heads")).alias("runs"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, off in chunks(batches, "text"):
+            cls = span_hash(data, off[:-1], off[1:]).view(np.int64)
+            wh, woff = words(data, off, NOT_SPACE)
+            for i, (c, d) in enumerate(zip(batch.column("cls").to_pylist(), batch.column("doc_id").to_pylist(), strict=True)):
+                if cls[i] != c:
+                    continue
+                sh = shingles(wh[woff[i] : woff[i + 1]], SHINGLE)[: int(woff[i + 1] - woff[i]) - SHINGLE + 1]
+                for r in batch.column("runs")[i].as_py():
+                    near = np.unique(sh[max(0, r["start"] - NEAR) : r["start"] + RUN + NEAR])
+                    n = len(near)
+                    yield pa.RecordBatch.from_arrays([pa.array(mix(near ^ mix(np.array([r["key"]], np.int64).view(np.uint64))).view(np.int64)), pa.array(np.full(n, c, np.int64)), pa.array(np.full(n, d, np.int64)), pa.array(np.full(n, r["open"])), pa.array(np.full(n, r["heads"]))], names=["key", "cls", "first", "open", "heads"])
+
+    texts = fetched(docs.select("doc_id", "text"), by_doc.select("doc_id").distinct()).join(by_doc, "doc_id")
+    near = written(texts.select("doc_id", "cls", "text", "runs").mapInArrow(run, "key long, cls long, first long, open boolean, heads boolean"), "near")
+    keys = near.groupBy("key").agg(F.min("first").alias("low"), F.max(F.when(F.col("open"), F.col("first"))).alias("top"), F.max("heads").alias("heads")).where("not heads and top > low").select("key")
+    met = written(near.join(written(keys, "keys"), "key").select("key", "cls", "first", "open").distinct(), "met")
+    late = met.where("open").select("key", F.col("cls").alias("a"), F.col("first").alias("da"))
+    pairs = late.join(met.select("key", F.col("cls").alias("b"), F.col("first").alias("db")), "key").where("a <> b and db < da").select("a", "da", "b", "db").distinct()
+    tried = tried.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
+    pairs = written(pairs.withColumns({"x": F.least("a", "b"), "y": F.greatest("a", "b")}).join(tried, ["x", "y"], "left_anti").drop("x", "y"), "pairs")
+    if not pairs.isEmpty():
+        found = found.unionByName(written(compared(pairs, docs), "passages"))
+    dropped(runs, near, met, pairs, firsts)
+    return found
+
+
 def repeats(docs: DataFrame) -> DataFrame:
     """Per repeated passage: doc_id, start, end (words), other_id, other_start, other_end, percent (similarity of their shingles).
 
@@ -302,6 +360,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     met = met.where("a <> b").groupBy("a", "da", "b", "db").agg(F.bit_or("met").alias("met"))
     pairs = written(met.where((F.col("met").bitwiseAND(F.lit(1)) != 0) | (F.bit_count("met") >= AGREE)).drop("met"), "pairs")
     found = written(compared(pairs, docs), "passages")
+    found = near_rest(listed, named, pairs, found, docs)
     dropped(profiled, pairs)
 
     # Exact runs that no passage found so far covers: their whole lists go on to windows.

@@ -184,6 +184,36 @@ def test_near_passages():
     assert passages.common_passages(h(w[:49]), passages.Text(h(w[:49]))) == [] and passages.common_passages(h(w), passages.Text(h(x[100:]))) == []
 
 
+def test_near_partners_behind_other_heads(spark):
+    rng = random.Random(5)
+    text = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    heads, pairs = [], []
+    for _ in range(12):
+        p = text(50)
+        heads += [text(45) + p[i : i + 5] + text(45) for i in range(46) for _ in range(2)]
+        pairs += [text(30) + p + text(30), text(30) + p[:24] + ["edit"] + p[25:] + text(30)]
+    docs = [(i, " ".join(w)) for i, w in enumerate(heads + pairs)]
+    got = {(r.other_id, r.doc_id) for r in passages.repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()}
+    n = len(heads)
+    missed = [i for i in range(0, len(pairs), 2) if (n + i, n + i + 1) not in got]
+    assert missed == []
+
+
+def test_recall_of_near_passages(spark):
+    rng = random.Random(6)
+    text = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    docs = []
+    for i in range(400):
+        p = text(rng.randrange(50, 61))
+        at = len(p) // 2
+        docs += [(2 * i, text(30) + p + text(30)), (2 * i + 1, text(30) + p[:at] + ["edit"] + p[at + 1 :] + text(30))]
+    h = lambda v: np.array([hash(t) & 0xFFFFFFFFFFFFFFFF for t in v], np.uint64)
+    want = {(a[0], b[0]) for a, b in zip(docs[::2], docs[1::2], strict=True) if passages.common_passages(h(b[1]), passages.Text(h(a[1])))}
+    frame = spark.createDataFrame([(d, " ".join(w)) for d, w in docs], "doc_id long, text string")
+    got = {(r.other_id, r.doc_id) for r in passages.repeats(frame.repartition(4)).collect()}
+    assert len(want) == 400 and got <= want and len(got) >= 0.99 * len(want), len(got)
+
+
 def test_cuts(spark):
     rng = random.Random(4)
     text = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
