@@ -98,8 +98,8 @@ class Encoder:
             self._tokenizer = Tokenizer.from_file(self.path)
         return self._tokenizer
 
-    def _learn(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(start in the pool, size) of the ids of new units."""
+    def _learn(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+        """(start in the pool, size) of the ids of new units, and whether the store was emptied for them."""
         ids, sizes = np.zeros(0, np.uint32), np.zeros(len(starts), np.int64)
         short = (kinds < 4) & (ends - starts <= LONGEST)
         a, b = np.flatnonzero(short), np.flatnonzero(~short)
@@ -109,7 +109,8 @@ class Encoder:
         sizes[b] = [len(x) for x in rest]
         ids = np.concatenate([merged, *(np.array(x, np.uint32) for x in rest)])
         order = np.concatenate([a, b])
-        if self.used + len(ids) > len(self.pool):
+        emptied = self.used + len(ids) > len(self.pool)
+        if emptied:
             self.keys[:] = 0
             self.used = 0
             if len(ids) > len(self.pool):
@@ -118,7 +119,7 @@ class Encoder:
         at = np.zeros(len(starts), np.int64)
         at[order] = self.used + np.cumsum(sizes[order]) - sizes[order]
         self.used += len(ids)
-        return at, sizes
+        return at, sizes, emptied
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids one after the other, each text followed by id 0; and the n + 1 offsets."""
@@ -129,10 +130,12 @@ class Encoder:
         if len(new):
             _, first, inverse = np.unique(h[new], return_index=True, return_inverse=True)
             some = new[first]
-            used = self.used
-            at, sizes = self._learn(low, starts[some], ends[some], kinds[some])
-            if self.used < used:  # the store was emptied, and with it what this chunk had found there
-                return self.encode(data, off)
+            at, sizes, emptied = self._learn(low, starts[some], ends[some], kinds[some])
+            if emptied and len(new) < len(h):  # gone too is what this chunk had found there, so now all of it is new
+                some = np.unique(h, return_index=True)[1]
+                new, inverse = np.arange(len(h)), np.unique(h, return_inverse=True)[1]
+                self.used = 0
+                at, sizes, _ = self._learn(low, starts[some], ends[some], kinds[some])
             start, size = self.start[slot], self.size[slot]
             start[new], size[new] = at[inverse], sizes[inverse]
             self.keys[slot[some]], self.start[slot[some]], self.size[slot[some]] = h[some], at, sizes

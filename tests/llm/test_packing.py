@@ -34,6 +34,14 @@ def test_odd_texts(encoder):
     assert ids_of(encoder, texts) == [encoder.tokenizer.encode(t or "", add_special_tokens=False).ids + [0] for t in texts]
 
 
+def test_a_text_that_empties_the_store(encoder, monkeypatch):
+    monkeypatch.setattr(packing, "STORE_IDS", 64)
+    small = packing.Encoder(PATH)
+    first = "alpha beta gamma delta " * 3
+    for texts in ([first], [first + " ".join(f"x{chr(97 + i % 26)}q{chr(97 + i // 26)}z" for i in range(60))], [first], [first + " ".join(f"z{chr(97 + i % 26)}k{chr(97 + i // 26)}w" for i in range(300))], [first]):
+        assert ids_of(small, texts) == [encoder.tokenizer.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+
+
 def check(histogram, runs, capacity, docs, cost):
     bins = {}
     for length, low, high, first, each, base in runs:
