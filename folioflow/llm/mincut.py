@@ -40,6 +40,7 @@ NEXT_EDGE, SIBLING_EDGE, SCALE = 1.0, 1.5, 1000
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^"'>]|"[^"]*"|'[^']*')*)>""", re.S)
 _ATTR = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_RAW_END = {t: re.compile("</" + t, re.I | re.A) for t in RAW}
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -74,7 +75,7 @@ def blocks(html: str) -> list[Block]:
     found: list[Block] = []
     stack: list[tuple[str, int, float]] = []  # tag, element number, summed weight
     block: Block | None = None
-    n, at, anchor, pos, low = 0, 0, 0, 0, html.lower()
+    n, at, anchor, pos = 0, 0, 0, 0
 
     def add(text: str) -> None:
         nonlocal block
@@ -101,8 +102,8 @@ def blocks(html: str) -> list[Block]:
         tag = tag.lower()
         if not close:
             if tag in RAW and not attrs.endswith("/"):
-                end = low.find("</" + tag, pos)
-                end = len(html) if end < 0 else end
+                found_end = _RAW_END[tag].search(html, pos)
+                end = found_end.start() if found_end else len(html)
                 stop = html.find(">", end)
                 at = pos = len(html) if stop < 0 else stop + 1
                 continue

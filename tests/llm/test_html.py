@@ -25,6 +25,12 @@ def test_odd_pages():
     assert [b.text for b in blocks("a<p>b<p>c<div>d</div>e</p>f")] == ["a", "b", "c", "d", "e", "f"]
 
 
+def test_raw_elements_end_where_they_end():
+    text = "A sentence of the article that is long enough to be kept as content, with no link in it at all."
+    page = f"<article><p>{'İ' * 40} {text}</p><sCript>var a = 1;</ScripT><p>Second: {text}</p><p>Third: {text}</p></article>"
+    assert [b.text[:6] for b in blocks(page)] == ["İ" * 6, "Second", "Third:"]
+
+
 def brute(gain, ties):
     n = len(gain)
     cost = {}
