@@ -19,30 +19,43 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def _drawn(rows: DataFrame, label: str, shares: dict | None, max_rows: int) -> DataFrame:
-    """About ``max_rows`` of the rows, drawn by a hash of doc_id; ``shares`` of them by label, or as many of each."""
-    counts = {r[0]: r[1] for r in rows.groupBy(label).count().orderBy(F.desc("count")).limit(64).collect()}
-    if not counts:
-        return rows.limit(0)
+    """About ``max_rows`` of the rows, drawn by a hash of doc_id; ``shares`` of them by label, or as many of each, however many labels there are."""
     scale = 1_000_000
-    bound = F.lit(0)
-    for value, n in counts.items():
-        want = max_rows * (shares.get(value, 0) if shares else 1 / len(counts))
-        bound = F.when(F.col(label) == value, int(min(1, want / n) * scale)).otherwise(bound)
-    return rows.where(F.pmod(F.xxhash64(F.col("doc_id")), F.lit(scale)) < bound)
+    counts = rows.groupBy(label).count()
+    if shares:
+        share = F.lit(0.0)
+        for value, part in shares.items():
+            share = F.when(F.col(label) == value, float(part)).otherwise(share)
+    else:
+        share = F.lit(1 / max(1, counts.count()))
+    bound = F.when(share > 0, F.greatest(F.lit(1), F.floor(F.least(F.lit(1.0), share * max_rows / F.col("count")) * scale))).otherwise(0)
+    bounds = counts.select(label, bound.alias("_bound"))  # a row for each label
+    return rows.join(F.broadcast(bounds), label).where(F.pmod(F.xxhash64(F.col("doc_id")), F.lit(scale)) < F.col("_bound")).select(*rows.columns)
 
 
 def _collected(rows: DataFrame) -> tuple[pa.Array, list]:
-    """Texts and labels, ordered by doc_id so that training is the same each time; one of each text."""
-    got = rows.where(F.col("text").isNotNull()).withColumn("_len", F.octet_length("text"))
-    got = got.select("doc_id", "text", "label").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
-    texts, labels, seen, size = [], [], set(), 0
-    for text, label in zip(got["text"].to_pylist(), got["label"].to_pylist(), strict=True):
-        if text not in seen and size + len(text) <= MAX_BYTES:
-            seen.add(text)
-            size += len(text)
-            texts.append(text)
-            labels.append(label)
-    return pa.array(texts, pa.string()), labels
+    """Texts and labels, ordered by doc_id so that training is the same each time; one of each text.
+
+    Where they pass ``MAX_BYTES``, each label has an equal share of them, taken in the order of a hash of doc_id, and what labels leave of theirs goes to the rest in that order.
+    """
+    got = rows.where(F.col("text").isNotNull()).withColumns({"_len": F.octet_length("text"), "_hash": F.xxhash64("doc_id")})
+    got = got.select("doc_id", "text", "label", "_len", "_hash").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
+    texts, labels = got["text"].to_pylist(), got["label"].to_pylist()
+    sizes, hashes = got["_len"].to_pylist(), got["_hash"].to_pylist()
+    first = sorted({t: i for i, t in reversed(list(enumerate(texts)))}.values(), key=lambda i: (hashes[i], i))
+    kept, size, by_label = set(), 0, {}
+    part = MAX_BYTES // max(1, len(set(labels)))
+    for i in first:
+        if by_label.get(labels[i], 0) + sizes[i] <= part:
+            by_label[labels[i]] = by_label.get(labels[i], 0) + sizes[i]
+            size += sizes[i]
+            kept.add(i)
+    for i in first:
+        if i not in kept and size + sizes[i] <= MAX_BYTES:
+            size += sizes[i]
+            kept.add(i)
+    at = sorted(kept)
+    return pa.array([texts[i] for i in at], pa.string()), [labels[i] for i in at]
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, shares: dict | None = None, max_rows: int = MAX_ROWS) -> tuple[pa.Array, list]:

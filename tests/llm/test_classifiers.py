@@ -115,3 +115,13 @@ def test_subwords_stay_in_their_text():
     assert (both[:, : off[1]] == langid.subwords(da, oa)).all()
     db, ob = buffers(pa.array([b]))
     assert (both[:, off[2] :] == langid.subwords(db, ob)).all()
+
+
+def test_every_label_is_drawn(spark, monkeypatch):
+    rows = [(i, f"text {i} " + "x" * 50, f"l{i % 80:02d}") for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert len(set(learn.column_sample(docs, "lang", 2000)[1])) == 80
+    monkeypatch.setattr(learn, "MAX_BYTES", 20_000)
+    late = spark.createDataFrame([(i, f"text {i} " + "x" * 50, "high" if i >= 3500 else "low") for i in range(4000)], "doc_id long, text string, lang string")
+    texts, labels = learn.column_sample(late, "lang", 4000)
+    assert set(labels) == {"low", "high"} and sum(len(t) for t in texts.to_pylist()) <= 20_000
