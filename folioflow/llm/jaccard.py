@@ -1,10 +1,12 @@
 """Exact Jaccard join of shingle sets: small sets by fixed-size subsets, large ones by inverted lists.
 
-All texts' tokens (shingles) are put into one order: those that are common in some part of the corpus
-last, the commoner the later. Two sets that are alike enough share the first two tokens they have in common
-within a short prefix of that order. A small set posts every pair of tokens of its prefix, a large one
-the single tokens; below which size pairs are posted follows from what posting and scanning cost.
-Sets near the boundary post both, since their partners may lie on the other side.
+All texts' tokens (shingles) are put into one order by how often the whole corpus holds them: rare ones
+first, the commoner the later. Two sets that are alike enough share the first tokens they have in common
+within a short prefix of that order. A small set posts every pair of tokens of its prefix, a large one the single
+tokens. For common tokens, whose lists are long, all but the very large sets post pairs too, of a first and
+an eighth common token, so that texts that share one sentence or line do not meet by it alone. Below which size pairs
+are posted, for rare tokens and for common ones, follows from the lengths of lists, which are counted over
+all documents. Sets near a boundary post both, since their partners may lie on the other side.
 
 Equal sets are one class from the start. Within a posting list not all pairs are taken: first every
 member against the member nearest to the front of the order, and then, of all others, those pairs whose
@@ -16,24 +18,25 @@ of the sets' hashes, and the exact sets of both texts decide a pair, in this ord
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import dropped, fetched, required, written
+from folioflow.llm.common import aside, dropped, fetched, required, screened, ship, written
 from folioflow.llm.graph import components
 from folioflow.llm.kernels import NOT_SPACE, buffers, chunks, mix, release, shingle_set, shingles, words
+from folioflow.llm.loads import HOT_BITS, bucket, bucket_loads, common_from, packed
 
 SHINGLE, PERCENT = 5, 80
-HOT_BITS = 20
-#: A bucket is common where one task counts this many of its tokens above what chance gives.
-HOT_LEAST, HOT_SIGMAS = 16, 6
 #: What comparing one member of a list costs against posting one row.
-SCAN_COST = 3.0
-#: Parts that the list of a common token is dealt to.
-HOT_SALTS = 64
+SCAN_UNIT = 0.25
+#: A list that may be as long is dealt to so many parts.
+SALT_FROM, HOT_SALTS = 1024, 64
+#: A pair of common tokens is that of the first and the GAP-th that two sets share; sets of up to LEAST_BORDER tokens always post plain pairs.
+GAP, LEAST_BORDER = 8, 12
 
 
 def sets(data: np.ndarray, off: np.ndarray, k: int = SHINGLE) -> list[np.ndarray]:
@@ -76,52 +79,103 @@ def prefix_length(n: int, shared: int, percent: int = PERCENT) -> int:
     return min(n, n + (-percent * n // 100) + shared)
 
 
-def boundary(percent: int = PERCENT, scan_cost: float = SCAN_COST) -> int:
+def boundary(scan_cost: float, percent: int = PERCENT) -> int:
     """The largest size for which posting pairs costs no more than posting single tokens and scanning their lists."""
-    n = 2
-    while True:
-        p = prefix_length(n + 1, 1, percent)
-        if p * (p + 1) / 2 > p * (1 + scan_cost):
-            return n
-        n += 1
+    p = 2 * (1 + scan_cost) - 1  # p (p + 1) / 2 = p (1 + scan_cost)
+    n = LEAST_BORDER
+    step = 1 << 24
+    while step:  # prefixes grow with the size
+        if prefix_length(n + step, 1, percent) <= p:
+            n += step
+        step >>= 1
+    return n
+
+
+@dataclass
+class Order:
+    """How common each bucket is (0: not told from chance; then by the logarithm of its tokens), and the sizes up to which sets post pairs of rare and of common tokens."""
+
+    level: np.ndarray
+    salted: int
+    rare: int
+    common: int
+
+
+def order_of(loads: np.ndarray, percent: int = PERCENT) -> Order:
+    """The order that the corpus's bucket counts make."""
+    cut = common_from(loads)
+    hot = loads >= cut
+    steps = lambda x: 1 + np.floor(8 * np.log2(x / cut))
+    level = np.zeros(len(loads), np.uint8)
+    level[hot] = np.clip(steps(loads[hot]), 1, 255)
+    cold = loads[~hot].astype(np.float64)
+    # the sum of squares of the tokens' counts: that of the buckets' without what chance puts together
+    alike = max(0.0, float((cold**2).sum() - cold.sum() ** 2 / max(1, len(cold))))
+    short = max(0.0, alike / max(1.0, cold.sum()) - 1)
+    long = float((loads[hot].astype(np.float64) ** 2).sum() / loads[hot].sum()) if hot.any() else 0.0
+    rare = boundary(SCAN_UNIT * short, percent)
+    return Order(level, int(max(1, steps(max(SALT_FROM, cut)))), rare, max(rare, boundary(SCAN_UNIT * long, percent)))
 
 
 def profile(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """Per document doc_id, n, cls and counts; and, with ``bucket`` set, how often each task found its common buckets."""
+    """Per document id (doc_id, or for a null one a hash of the text), doc_id, text_hash, n, cls and counts; and, with ``slice`` set, each task's counts of that slice of the buckets, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << HOT_BITS, np.int64)
-        m = np.uint64((1 << HOT_BITS) - 1)
-        names = ["doc_id", "n", "cls", "counts", "bucket", "times"]
+        total = np.zeros(1 << HOT_BITS, np.uint32)
+        names = ["id", "doc_id", "text_hash", "n", "cls", "counts", "slice", "loads"]
         seen: set[int] = set()
         for batch, data, off in chunks(batches, "text"):
             found = sets(data, off, k)
             cls = [class_of(s) for s in found]
             for c, s in zip(cls, found, strict=True):
-                if c not in seen and len(s):
-                    total[(s & m).astype(np.int64)] += 1
-            seen.update(cls)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([len(s) for s in found], pa.int64()), pa.array(cls, pa.int64()), pa.array([counts_of(s) for s in found], pa.binary()), pa.nulls(len(found), pa.int32()), pa.nulls(len(found), pa.int64())], names=names)
-        mean = total.mean()
-        hot = np.flatnonzero(total >= mean + HOT_SIGMAS * np.sqrt(mean) + HOT_LEAST)
-        if len(hot):
-            none = pa.nulls(len(hot), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(hot), pa.binary()), pa.array(hot, pa.int32()), pa.array(total[hot], pa.int64())], names=names)
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, cls long, counts binary, bucket int, times long")
-
-
-def postings(docs: DataFrame, hot: np.ndarray, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+                if c not in seen:
+                    seen.add(c)
+                    np.add.at(total, bucket(s), 1)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array([len(s) for s in found], pa.int64()), pa.array(cls, pa.int64()), pa.array([counts_of(s) for s in found], pa.binary()), pa.nulls(len(found), pa.int32()), pa.nulls(len(found), pa.binary())], names=names)
+        numbers, loads = packed(total)
+        none = pa.nulls(len(numbers), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, none, none, none, pa.nulls(len(numbers), pa.binary()), pa.array(numbers, pa.int32()), pa.array(loads, pa.binary())], names=names)
+
+    rows = docs.select(own_id(), F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
+    return rows.mapInArrow(run, "id long, doc_id long, text_hash long, n long, cls long, counts binary, slice int, loads binary")
+
+
+def own_id() -> Column:
+    """What a row's text is fetched by."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("id")
+
+
+def posted(s: np.ndarray, level: np.ndarray, order: Order, percent: int = PERCENT) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(keys, whether their lists may be long, most) of one set in the order; see postings()."""
+    n = len(s)
+    if n <= order.rare:
+        i, j = np.triu_indices(prefix_length(n, 2, percent), 1)
+        yield mix(s[i] * np.uint64(0x9E3779B97F4A7C15) + s[j]), level[i] >= order.salted, n - j + 1
+    if n * 100 <= order.rare * percent:
+        return
+    p = prefix_length(n, 1, percent)
+    first = int(np.searchsorted(level[:p], 1))  # of the common tokens
+    yield s[:first], np.zeros(first, bool), np.arange(n, n - first, -1)
+    if first == p:
+        return
+    if n <= order.common:
+        i, j = np.triu_indices(p - first)
+        i, j = first + i, first + j + GAP - 1
+        i, j = i[j < n], j[j < n]
+        yield mix(s[i] * np.uint64(0xC2B2AE3D27D4EB4F) + s[j]), level[i] >= order.salted, n - j + GAP - 1
+    if n * 100 > order.common * percent:
+        yield s[first:p], level[first:p] >= order.salted, np.arange(n - first, n - p, -1)
+
+
+def postings(docs: DataFrame, order: Order, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Rows (key, salt, cls, n, most): a set posts a key, and shares at most ``most`` tokens with a set whose first common key this is.
 
-    Keys that hold a common token are dealt to salts 0 and up; others have salt -1. A task posts a class once.
+    Keys of lists that may be long are dealt to salts 0 and up; others have salt -1. A task posts a class once.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(hot)
-    border = boundary(percent)
+    shared = docs.sparkSession.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = shared.value
-        m = np.uint64((1 << HOT_BITS) - 1)
+        order = shared.value
         seen: set[int] = set()
         for _, data, off in chunks(batches, "text"):
             rows: list[tuple] = []
@@ -131,25 +185,18 @@ def postings(docs: DataFrame, hot: np.ndarray, k: int = SHINGLE, percent: int =
                 if not n or cls in seen:
                     continue
                 seen.add(cls)
-                times = hot[(s & m).astype(np.int64)]
-                if times.any():
-                    order = np.lexsort((s, times))
-                    s, times = s[order], times[order]
-                if n * 100 > border * percent:  # it may meet a set above the border
-                    p = prefix_length(n, 1, percent)
-                    rows.append((s[:p], times[:p] > 0, np.arange(n, n - p, -1), cls, n))
-                if n <= border:
-                    p = prefix_length(n, 2, percent)
-                    i, j = np.triu_indices(p, 1)
-                    if len(i):
-                        rows.append((mix(s[i] * np.uint64(0x9E3779B97F4A7C15) + s[j]), times[i] > 0, n - j + 1, cls, n))
+                level = order.level[bucket(s)]
+                if level.any():
+                    by = np.lexsort((s, level))
+                    s, level = s[by], level[by]
+                rows += [(*r, cls, n) for r in posted(s, level, order, percent) if len(r[0])]
             if not rows:
                 continue
             sizes = [len(r[0]) for r in rows]
             key = np.concatenate([r[0] for r in rows])
-            common = np.concatenate([r[1] for r in rows])
+            long = np.concatenate([r[1] for r in rows])
             cls = np.repeat(np.array([r[3] for r in rows], np.int64), sizes)
-            salt = np.where(common, (mix(cls.view(np.uint64)) % np.uint64(HOT_SALTS)).astype(np.int32), np.int32(-1))
+            salt = np.where(long, (mix(cls.view(np.uint64)) % np.uint64(HOT_SALTS)).astype(np.int32), np.int32(-1))
             n = np.repeat(np.array([r[4] for r in rows], np.int32), sizes)
             most = np.concatenate([r[2] for r in rows]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(salt.astype(np.int32)), pa.array(cls), pa.array(n), pa.array(most)], names=["key", "salt", "cls", "n", "most"])
@@ -160,7 +207,7 @@ def postings(docs: DataFrame, hot: np.ndarray, k: int = SHINGLE, percent: int =
 def lists(posted: DataFrame) -> DataFrame:
     """The posting lists with at least two classes: key, cls, n, most, and the list's head: of its members the one with the fewest tokens before the key.
 
-    One shuffle deals rows by (key, salt); a common key's parts are put together from one row for each salt.
+    One shuffle deals rows by (key, salt); a long list's parts are put together from one row for each salt.
     """
     spark = posted.sparkSession
     dealt = posted.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key", "salt")
@@ -192,9 +239,10 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int = SHI
             yield batch.select(["a", "b", "da", "db"]).filter(keep)
         release()
 
-    one = classes.select(F.col("cls").alias("a"), F.col("doc_id").alias("da"), F.col("n").alias("na"), F.col("counts").alias("ca"))
-    two = classes.select(F.col("cls").alias("b"), F.col("doc_id").alias("db"), F.col("n").alias("nb"), F.col("counts").alias("cb"))
+    one = classes.select(F.col("cls").alias("a"), F.col("id").alias("da"), F.col("n").alias("na"), F.col("counts").alias("ca"))
+    two = classes.select(F.col("cls").alias("b"), F.col("id").alias("db"), F.col("n").alias("nb"), F.col("counts").alias("cb"))
     left = written(pairs.join(one, "a").join(two, "b").select("a", "b", "da", "db", "na", "nb", "ca", "cb").mapInArrow(bounded, "a long, b long, da long, db long"), "candidates")
+
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: dict[int, list[np.ndarray]] = {}
         for batch, data, off in chunks(batches, "ta"):
@@ -212,29 +260,22 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int = SHI
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     # each side's texts move once to meet their pairs, and those of the pairs' first texts once more to meet the others
-    texts = docs.select("doc_id", "text")
-    ta = fetched(texts, left.select(F.col("da").alias("doc_id")).distinct()).select(F.col("doc_id").alias("da"), F.col("text").alias("ta"))
-    tb = fetched(texts, left.select(F.col("db").alias("doc_id")).distinct()).select(F.col("doc_id").alias("db"), F.col("text").alias("tb"))
+    texts = docs.select(own_id(), "text")
+    ta = fetched(texts, left.select(F.col("da").alias("id")).distinct(), "id").select(F.col("id").alias("da"), F.col("text").alias("ta"))
+    tb = fetched(texts, left.select(F.col("db").alias("id")).distinct(), "id").select(F.col("id").alias("db"), F.col("text").alias("tb"))
     links = written(left.join(ta, "da").join(tb, "db").select("a", "b", "ta", "tb").mapInArrow(exact, "a long, b long").distinct(), "links")
     dropped(left)
     return links
 
 
-def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """Per row of docs: doc_id, n_shingles, component_id (the least doc_id that links reach).
-
-    Texts with fewer than k words are one shingle; null, empty and blank texts have none and stay alone.
-    Repeated doc_ids with different texts are different members with the same id. Only doc_id and text
-    are read. Hashes have 64 bits: two different shingles count as one with a chance of about n^2 / 2^65.
-    """
+def components_of(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """Per row of docs: doc_id, text_hash, n, and of sets that are not empty the component's ``root`` and its least doc_id."""
     profiled = written(profile(docs, k), "profile")
-    hot = np.zeros(1 << HOT_BITS, np.int64)
-    # as many rows as there are buckets at most
-    for r in profiled.where("bucket is not null").groupBy("bucket").agg(F.sum("times").alias("times")).toLocalIterator():
-        hot[r.bucket] = r.times
-    members = profiled.where("bucket is null").select("doc_id", "n", "cls", "counts")
-    classes = written(members.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min_by("counts", "doc_id").alias("counts")), "classes")
-    listed = written(lists(postings(docs, hot, k, percent)), "lists")
+    order = order_of(bucket_loads(profiled.where("slice is not null")), percent)
+    members = profiled.where("slice is null").select("id", "doc_id", "text_hash", "n", "cls", "counts")
+    least_id = F.coalesce(F.min("doc_id"), F.min("id"))
+    classes = written(members.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), least_id.alias("id"), F.min("n").alias("n"), F.min_by("counts", "id").alias("counts")), "classes")
+    listed = written(lists(postings(docs, order, k, percent)), "lists")
     star = listed.where("cls <> head.cls").where(_feasible("n", "most", "head.n", "head.most", percent)).select(F.col("cls").alias("x"), F.col("head.cls").alias("y"))
     star = written(_pairs(star), "pairs")
     links = verified(star, classes, docs, k, percent)
@@ -259,12 +300,42 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
 
     named = classes.select("cls", "doc_id").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(least, "root").select("cls", "component_id")
-    out = members.select("doc_id", F.col("n").alias("n_shingles"), "cls").join(named, "cls", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = named.join(least, "root").select("cls", "root", "component_id")
+    return members.select("doc_id", "text_hash", "n", "cls").join(named, "cls", "left").drop("cls")
+
+
+def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """Per row of docs: doc_id, n_shingles, component_id (the least doc_id that links reach).
+
+    Texts with fewer than k words are one shingle; null, empty and blank texts have none and stay alone.
+    Repeated doc_ids with different texts are different members with the same id. Rows with a null doc_id are
+    members too; a component of such rows alone has a null component_id. Only doc_id and text are read, whatever other
+    columns there are; an empty table gives no rows. Hashes have 64 bits: two different shingles count as one with a chance of about n^2 / 2^65.
+    """
+    ship(docs.sparkSession)
+    found = components_of(docs, k, percent)
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """Of each component the rows with its least doc_id, with all columns of docs; of rows alike in doc_id and component one stays."""
-    found = near_duplicates(docs, k, percent).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_semi").select(*docs.columns)
+    """Of each component one row, with all columns of docs: that with the least doc_id (null ids last; of several texts with this id that with the least hash).
+
+    Of rows alike in doc_id and text one stays. Rows without words are linked with nothing and all stay.
+    """
+    ship(docs.sparkSession)
+    found = written(components_of(docs, k, percent).where("n > 0"), "components")
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
+    rows = found.groupBy("root", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("times"))
+    kept = written(rows.groupBy("root").agg(F.min(F.struct(rank.alias("r"), "times")).alias("k")).select("k.r.doc_id", "k.r.text_hash", "k.times"), "kept")
+    docs, back = aside(docs, ("_key", "_maybe", "_m", "_at", "_bits", "_told", "_twice"))
+    key = F.xxhash64("doc_id", "text_hash")
+    go = rows.select(key.alias("_key")).distinct().join(kept.where("times = 1").select(key.alias("_key")), "_key", "left_anti")
+    twice = kept.where("times > 1").select(key.alias("_key"), F.lit(True).alias("_twice"))
+    # rows that surely stay go through unmoved; of all others this table decides
+    told = written(go.join(twice, "_key", "left"), "told")
+    keyed = docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text")))
+    seen = screened(keyed, told.select("_key"), "_key")
+    moved = seen.where("_maybe").drop("_maybe").join(told.withColumn("_told", F.lit(True)), "_key", "left")
+    stay = moved.where("_told is null").select(*docs.columns)
+    once = moved.where("_twice").dropDuplicates(["_key"]).select(*docs.columns)
+    return back(seen.where("not _maybe").select(*docs.columns).unionByName(stay).unionByName(once))

@@ -7,7 +7,8 @@ brought together. One function works on runs of 13 words with windows of 13 runs
 25 words in common post a common run. That is complete for near copies too: each place where two passages differ
 costs nine of both sides' shingles at least, of which a ninth may differ, so k such places take 81 k shingles or more
 and leave, in k + 1 stretches, one of 21 shingles, which is 25 words (texts that repeat their own shingles aside).
-``HASHES`` more functions work on five-word shingles with windows of a passage's length; of these, ``AGREE`` must meet.
+``HASHES`` more functions work on five-word shingles with windows of a passage's length; of these, ``AGREE`` must meet on
+windows that overlap by a passage in both texts, which an interval join tells.
 
 Each text of a list is compared with the list's head; both whole texts decide. Where a later text of a list of runs
 has no passage there, those of its members that share shingles near the run which the head lacks there are compared
@@ -25,9 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import dropped, fetched, required, screened, written
-from folioflow.llm.jaccard import HOT_BITS, HOT_LEAST, HOT_SALTS, HOT_SIGMAS
+from folioflow.llm.common import dropped, fetched, required, screened, ship, written
+from folioflow.llm.jaccard import HOT_SALTS, SALT_FROM
 from folioflow.llm.kernels import NOT_SPACE, buffers, chunks, mix, release, shingles, span_hash, spans, words
+from folioflow.llm.loads import HOT_BITS, bucket, bucket_loads, common_from, packed
 
 LEAST_WORDS, SHINGLE, PERCENT = 50, 5, 80
 #: A passage at ``PERCENT`` holds an exact run of so many words, and any such run a posted gram of so many. See above.
@@ -41,16 +43,18 @@ NEAR = LEAST_WORDS + GAP + SHINGLE
 _SEEDS = np.array([0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 
 
-def window_centres(tokens: np.ndarray, off: np.ndarray, t: int) -> np.ndarray:
-    """The places of all Cartesian tree nodes that span at least t tokens, in texts with the given n + 1 offsets.
+def windows(tokens: np.ndarray, off: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, left, right) of all Cartesian tree nodes that span at least t tokens, in texts with the given n + 1 offsets: the node is the least token from left to right, both included.
 
     Such a node is the least of some t consecutive tokens, and the other way round. Equal hashes count from the left.
     """
     n = len(tokens)
+    none = np.zeros(0, np.int64)
     if n < t:
-        return np.zeros(0, np.int64)
+        return none, none, none
     bits = np.uint64(max(20, int(n).bit_length()))
-    low = (tokens >> bits << bits) | np.arange(n, dtype=np.uint64)
+    order = (tokens >> bits << bits) | np.arange(n, dtype=np.uint64)
+    low = order
     size = 1
     while size < t:  # the least of `size` tokens from each place on
         step = min(size, t - size)
@@ -59,11 +63,37 @@ def window_centres(tokens: np.ndarray, off: np.ndarray, t: int) -> np.ndarray:
     at = np.arange(len(low))
     text = np.searchsorted(off, at, "right") - 1
     low = low[at + t <= off[text + 1]]
-    return np.unique((low & np.uint64((1 << int(bits)) - 1)).astype(np.int64))
+    place = np.unique((low & np.uint64((1 << int(bits)) - 1)).astype(np.int64))
+    # what bounds such a node is a lesser token, whose own span is longer, so it is one of them too, or the text's end
+    rank, text = order[place], np.searchsorted(off, place, "right") - 1
+    left, right = _lesser(rank, text), _lesser(rank[::-1], text[::-1])[::-1]
+    right = np.where(right < 0, -1, len(place) - 1 - right)
+    return place, np.where(left < 0, off[text], place[left] + 1), np.where(right < 0, off[text + 1], place[right]) - 1
+
+
+def _lesser(rank: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """The nearest place before each that has a lesser rank in the same text; -1 for none."""
+    out = np.arange(len(rank)) - 1
+    todo = np.arange(len(rank))
+    while len(todo):
+        to = out[todo]
+        real = to >= 0
+        end = real & (text[to] != text[todo])
+        out[todo[end]] = -1
+        go = real & ~end & (rank[to] > rank[todo])
+        todo, to = todo[go], to[go]
+        # what lies between a place and its nearest lesser one is greater still; a place behind may not be settled yet, then one step is made
+        out[todo] = out[to]
+    return out
+
+
+#: Words on each side of its place that a posted window reaches at most; a passage as long has shorter ones in it.
+REACH_BITS = 12
+REACH = (1 << REACH_BITS) - 1
 
 
-def anchors(wh: np.ndarray, woff: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """(function, places, keys) of all texts: 0 for exact runs, the others for shingles. Places are words."""
+def anchors(wh: np.ndarray, woff: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(function, places, keys, words before, words after) of all texts' compact windows: 0 for exact runs, the others for shingles. Places are words."""
     out = []
     for f in range(HASHES + 1):
         k, t = (RUN, WHOLE - RUN + 1) if f == 0 else (SHINGLE, LEAST_WORDS - SHINGLE + 1)
@@ -73,17 +103,17 @@ def anchors(wh: np.ndarray, woff: np.ndarray) -> list[tuple[int, np.ndarray, np.
         off = np.concatenate([[0], np.cumsum(size)])
         place = np.arange(int(off[-1])) - np.repeat(off[:-1], size) + np.repeat(woff[:-1], size)
         tokens = mix(grams[place] ^ _SEEDS[f])
-        at = window_centres(tokens, off, t)
-        out.append((f, place[at], tokens[at]))
+        at, left, right = windows(tokens, off, t)
+        out.append((f, place[at], tokens[at], np.minimum(at - left, REACH), np.minimum(right - at, REACH)))
     return out
 
 
 def profile(docs: DataFrame) -> DataFrame:
-    """Per document doc_id, cls (a hash of the text) and n_words; and, with ``bucket`` set, common buckets of shingles by task."""
+    """Per document doc_id, cls (a hash of the text) and n_words; and, with ``slice`` set, each task's counts of that slice of the buckets of shingles, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << HOT_BITS, np.int64)
-        names = ["doc_id", "cls", "n_words", "bucket"]
+        total = np.zeros(1 << HOT_BITS, np.uint32)
+        names = ["doc_id", "cls", "n_words", "slice", "loads"]
         seen: set[int] = set()
         for batch, data, off in chunks(batches, "text"):
             cls = span_hash(data, off[:-1], off[1:]).view(np.int64)
@@ -91,19 +121,17 @@ def profile(docs: DataFrame) -> DataFrame:
             sh = shingles(wh, SHINGLE)
             new = np.array([c not in seen for c in cls.tolist()])
             seen.update(cls.tolist())
-            total += np.bincount((sh[np.repeat(new, np.diff(woff))] & np.uint64((1 << HOT_BITS) - 1)).astype(np.int64), minlength=1 << HOT_BITS)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(cls), pa.array(np.diff(woff), pa.int64()), pa.nulls(len(cls), pa.int32())], names=names)
-        mean = total.mean()
-        hot = np.flatnonzero(total >= mean + HOT_SIGMAS * np.sqrt(mean) + HOT_LEAST)
-        if len(hot):
-            none = pa.nulls(len(hot), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(hot, pa.int32())], names=names)
+            np.add.at(total, bucket(sh[np.repeat(new, np.diff(woff))]), 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(cls), pa.array(np.diff(woff), pa.int64()), pa.nulls(len(cls), pa.int32()), pa.nulls(len(cls), pa.binary())], names=names)
+        numbers, loads = packed(total)
+        none = pa.nulls(len(numbers), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, none, pa.array(numbers, pa.int32()), pa.array(loads, pa.binary())], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, cls long, n_words long, bucket int")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, cls long, n_words long, slice int, loads binary")
 
 
 def postings(docs: DataFrame, hot: np.ndarray) -> DataFrame:
-    """(key, salt, doc_id, at) of every compact window, where ``at`` is place * 4 + function; keys that start with a common shingle are dealt to salts, others have -1. A task posts a text once."""
+    """(key, salt, doc_id, at) of every compact window, where ``at`` holds its place, the words before and after that it reaches, and the function; keys that start with a shingle whose list may be long are dealt to salts, others have -1. A task posts a text once."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,20 +146,21 @@ def postings(docs: DataFrame, hot: np.ndarray) -> DataFrame:
                 if c not in seen:
                     seen.add(c)
                     first[i] = True
-            common = hot[(shingles(wh, SHINGLE) & np.uint64((1 << HOT_BITS) - 1)).astype(np.int64)]
-            for f, place, key in anchors(wh, woff):
+            common = hot[bucket(shingles(wh, SHINGLE))]
+            for f, place, key, before, after in anchors(wh, woff):
                 text = np.searchsorted(woff, place, "right") - 1
                 use = first[text]
                 text, place, key = text[use], place[use], key[use]
+                at = (((place - woff[text] << REACH_BITS | before[use]) << REACH_BITS | after[use]) << 2) | f
                 mine = ids[text]
                 salt = np.where(common[place], (mix(mine.astype(np.uint64)) % np.uint64(HOT_SALTS)).astype(np.int32), np.int32(-1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(salt), pa.array(mine), pa.array((place - woff[text]) * 4 + f, pa.int64())], names=["key", "salt", "doc_id", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(salt), pa.array(mine), pa.array(at, pa.int64())], names=["key", "salt", "doc_id", "at"])
 
     return docs.select("doc_id", "text").mapInArrow(run, required("key long, salt int, doc_id long, at long"))
 
 
 def lists(posted: DataFrame) -> DataFrame:
-    """The windows whose key two documents or more post: key, f, doc_id, place, and the list's head: its least doc_id.
+    """The windows whose key two documents or more post: key, f, doc_id, place, before, after, and the list's head: its least doc_id.
 
     One shuffle, by (key, salt); a common key's parts are put together from one row for each salt.
     """
@@ -142,7 +171,35 @@ def lists(posted: DataFrame) -> DataFrame:
     common = part.where("common >= 0").groupBy("key").agg(F.min("low").alias("_low"), F.max("high").alias("_high"), F.max("last").alias("_last"))
     part = part.where("(common >= 0 or low < high) and last >= 0").join(common, "key", "left")
     part = part.select("key", "salt", F.coalesce("_low", "low").alias("low"), F.coalesce("_high", "high").alias("high"), F.coalesce("_last", "last").alias("last")).where("low < high and last >= 0").drop("high", "last")
-    return dealt.join(part, ["key", "salt"]).select("key", F.pmod("at", F.lit(4)).cast("int").alias("f"), "doc_id", F.expr("cast(at div 4 as int)").alias("place"), F.col("low").alias("head"))
+    side = lambda shift: F.shiftright("at", shift).bitwiseAND(F.lit(REACH)).cast("int")
+    place = F.shiftright("at", 2 * REACH_BITS + 2).cast("int")
+    return dealt.join(part, ["key", "salt"]).select("key", F.col("at").bitwiseAND(F.lit(3)).cast("int").alias("f"), "doc_id", place.alias("place"), side(REACH_BITS + 2).alias("before"), side(2).alias("after"), F.col("low").alias("head"))
+
+
+def _islands(rows: DataFrame, by: list[str], start: str, end: str, least: int, name: str) -> DataFrame:
+    """Adds the number of the island that an interval lies on: two intervals that overlap by ``least`` are on one. Sorted by start, an island ends where no interval before reaches far enough."""
+    order = Window.partitionBy(*by).orderBy(start, end, "f", "key")
+    reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.when(F.col(start) + least - 1 <= reach, 0).otherwise(1)
+    return rows.withColumn("_new", new).withColumn(name, F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+
+
+def agreeing(listed: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Of the pairs (doc_id, head) those of which ``AGREE`` functions meet on windows that overlap by a passage's shingles in both texts.
+
+    The windows of a pair are joined as intervals, by a sweep over the one text and then over the other; a frame holds one pair's windows.
+    """
+    t = LEAST_WORDS - SHINGLE + 1
+    pair = F.xxhash64("doc_id", "head").alias("pair")
+    wanted = pairs.select("doc_id", "head", pair)
+    mine = listed.where("f > 0 and doc_id <> head").select("key", "f", "doc_id", "head", (F.col("place") - F.col("before")).alias("start"), (F.col("place") + F.col("after")).alias("end"), pair)
+    mine = fetched(mine, wanted.select("pair").distinct(), "pair")
+    heads = listed.where("f > 0 and doc_id = head").select("key", (F.col("place") - F.col("before")).alias("other_start"), (F.col("place") + F.col("after")).alias("other_end"))
+    met = fetched(heads, mine.select("key").distinct(), "key").join(mine, "key")
+    met = _islands(met, ["doc_id", "head"], "start", "end", t, "_one")
+    met = _islands(met, ["doc_id", "head", "_one"], "other_start", "other_end", t, "_two")
+    functions = met.groupBy("doc_id", "head", "_one", "_two").agg(F.bit_or(F.expr("shiftleft(1, f)")).alias("functions"))
+    return functions.where(F.bit_count("functions") >= AGREE).select("doc_id", "head").distinct()
 
 
 class Text:
@@ -346,22 +403,24 @@ def repeats(docs: DataFrame) -> DataFrame:
     space parts, A-Z in lower case. Null, empty and short texts have no rows. Rows of docs alike in doc_id
     and text count as one, those alike in doc_id only as one document, and those without a doc_id are left out.
     """
+    ship(docs.sparkSession)
     docs = docs.where(F.col("doc_id").isNotNull())
     profiled = written(profile(docs), "profile")
-    hot = np.zeros(1 << HOT_BITS, bool)
-    for r in profiled.where("bucket is not null").select("bucket").distinct().toLocalIterator():  # a bucket each at most
-        hot[r.bucket] = True
-    members = profiled.where("bucket is null and n_words >= " + str(LEAST_WORDS)).select("doc_id", "cls", "n_words").distinct()
+    loads = bucket_loads(profiled.where("slice is not null"))
+    members = profiled.where("slice is null and n_words >= " + str(LEAST_WORDS)).select("doc_id", "cls", "n_words").distinct()
     first = members.groupBy("cls").agg(F.min("doc_id").alias("first"))
     named = written(members.join(first, "cls"), "classes")  # of copies the first stands for all
-    listed = written(lists(postings(docs, hot)), "lists")
-    met = listed.where("doc_id <> head").groupBy("doc_id", "head").agg(F.bit_or(F.expr("shiftleft(1, f)")).alias("met"))
-    met = met.join(named.select("doc_id", F.col("cls").alias("a"), F.col("first").alias("da")), "doc_id").join(named.select(F.col("doc_id").alias("head"), F.col("cls").alias("b"), F.col("first").alias("db")), "head")
-    met = met.where("a <> b").groupBy("a", "da", "b", "db").agg(F.bit_or("met").alias("met"))
-    pairs = written(met.where((F.col("met").bitwiseAND(F.lit(1)) != 0) | (F.bit_count("met") >= AGREE)).drop("met"), "pairs")
+    listed = written(lists(postings(docs, loads >= max(SALT_FROM, common_from(loads)))), "lists")
+    met = written(listed.where("doc_id <> head").groupBy("doc_id", "head").agg(F.bit_or(F.expr("shiftleft(1, f)")).alias("met")), "met")
+    some = met.where((F.col("met").bitwiseAND(F.lit(1)) == 0) & (F.bit_count("met") >= AGREE))
+    meet = met.where(F.col("met").bitwiseAND(F.lit(1)) != 0).select("doc_id", "head")
+    if not some.isEmpty():
+        meet = meet.unionByName(agreeing(listed, some))
+    meet = meet.join(named.select("doc_id", F.col("cls").alias("a"), F.col("first").alias("da")), "doc_id").join(named.select(F.col("doc_id").alias("head"), F.col("cls").alias("b"), F.col("first").alias("db")), "head")
+    pairs = written(meet.where("a <> b").select("a", "da", "b", "db").distinct(), "pairs")
     found = written(compared(pairs, docs), "passages")
     found = near_rest(listed, named, pairs, found, docs)
-    dropped(profiled, pairs)
+    dropped(profiled, met, pairs)
 
     # Exact runs that no passage found so far covers: their whole lists go on to windows.
     sides = found.select(F.col("a").alias("cls"), "start", "end").union(found.select("b", "other_start", "other_end"))

@@ -3,9 +3,11 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from folioflow.llm import graph, jaccard, passages
+from folioflow.llm.kernels import buffers
 
 LOWER = {c: c + 32 for c in range(65, 91)}
 
@@ -70,33 +72,79 @@ def test_components_are_exact(spark, seed):
     assert sorted(map(tuple, jaccard.near_duplicates(df).collect())) == components_of(docs)
 
 
-def test_common_tokens_take_the_other_way(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "HOT_LEAST", 2)
-    monkeypatch.setattr(jaccard, "HOT_SIGMAS", 0)
+@pytest.mark.parametrize(("rare", "common"), [(12, 12), (12, 30), (14, 10**6), (40, 60)])
+def test_components_are_exact_with_common_tokens(spark, monkeypatch, rare, common):
     docs = corpus(7)
-    hot = jaccard.profile(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)).where("bucket is not null")
-    marks = np.zeros(1 << jaccard.HOT_BITS, np.int64)
-    rng = random.Random(1)
-    for s in jaccard.sets(*__import__("folioflow.llm.kernels", fromlist=["buffers"]).buffers(__import__("pyarrow").array([t for _, t in docs], "string"))):
-        for h in s:
-            if rng.random() < 0.5:
-                marks[int(h) & ((1 << jaccard.HOT_BITS) - 1)] = 5
-    assert hot.schema
-    rows = jaccard.lists(jaccard.postings(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), marks)).collect()
-    plain = jaccard.lists(jaccard.postings(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), marks * 0)).collect()
-    heads = collections.defaultdict(set)
-    for r in rows:
-        heads[r.key].add(r.head.cls)
-    assert rows and plain and all(len(h) == 1 for h in heads.values())
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    real, seen = jaccard.order_of, []
+
+    def order(loads, percent=80):
+        out = real(loads, percent)
+        at = np.random.default_rng(1).random(len(loads)) < 0.7
+        out.level[at & (loads > 0)] = 1 + np.minimum(loads[at & (loads > 0)], 20)
+        out.rare, out.common, out.salted = rare, common, 3
+        seen.append(int((out.level > 0).sum()))
+        return out
+
+    monkeypatch.setattr(jaccard, "order_of", order)
+    assert sorted(map(tuple, jaccard.near_duplicates(df).collect())) == components_of(docs)
+    assert seen[0] > 500
+
+
+def test_counts_are_summed_over_tasks(spark):
+    docs = corpus(8)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = collections.Counter()
+    classes = {shingle_set(t) for _, t in docs}
+    for parts in (1, 7):
+        loads = jaccard.bucket_loads(jaccard.profile(df.repartition(parts)).where("slice is not null"))
+        want[parts] = int(loads.sum())
+    assert want[1] == sum(map(len, classes)) and want[7] >= want[1]
+
+
+def test_lists_of_common_sentences_stay_in_proportion():
+    """Texts of ten sentences out of sixty: any shingle is in a share of all texts, and few texts are alike. Four times the texts make about four times the pairs within lists."""
+    rng = random.Random(3)
+    pool = [" ".join(f"s{k}w{i}" for i in range(12)) for k in range(60)]
+    texts = [" ".join(rng.sample(pool, 10)) for _ in range(12800)]
+    pairs = []
+    for n in (3200, 12800):
+        found = jaccard.sets(*buffers(pa.array(texts[:n])))
+        loads = np.zeros(1 << jaccard.HOT_BITS, np.int64)
+        for s in found:
+            np.add.at(loads, jaccard.bucket(s), 1)
+        order, keys = jaccard.order_of(loads), []
+        for s in found:
+            level = order.level[jaccard.bucket(s)]
+            by = np.lexsort((s, level))
+            keys += [k for k, _, _ in jaccard.posted(s[by], level[by], order)]
+        size = np.unique(np.concatenate(keys), return_counts=True)[1]
+        pairs.append((size * (size - 1) // 2).sum())
+    assert pairs[1] < 5 * pairs[0] < 5 * 200 * 3200, pairs
 
 
 def test_repeated_ids_and_empty(spark):
     df = spark.createDataFrame([(1, "a b c d e f g"), (1, "other words are in this one here"), (2, "A b c d e f g"), (2, "A b c d e f g")], "doc_id long, text string")
     assert sorted(map(tuple, jaccard.near_duplicates(df).collect())) == [(1, 3, 1), (1, 3, 1), (2, 3, 1), (2, 3, 1)]
     assert jaccard.near_duplicates(df.limit(0)).count() == 0
-    extra = df.selectExpr("doc_id", "text", "1 as n", "2 as cls", "3 as component_id")
+    extra = df.selectExpr("doc_id", "text", "1 as n", "2 as cls", "3 as component_id", "4 as _key", "5 as id")
     kept = jaccard.one_of_each(extra)
-    assert kept.columns == extra.columns and {r.doc_id for r in kept.collect()} == {1}
+    assert kept.columns == extra.columns and sorted((r.doc_id, r.text) for r in kept.collect()) == [(1, "a b c d e f g"), (1, "other words are in this one here")]
+    assert jaccard.one_of_each(df.limit(0)).count() == 0
+
+
+def test_null_ids_and_odd_texts(spark):
+    rng = random.Random(11)
+    base, lone = " ".join(f"w{rng.randrange(900)}" for _ in range(80)), " ".join(f"v{rng.randrange(900)}" for _ in range(40))
+    long = " ".join(f"u{rng.randrange(10**6)}" for _ in range(60_000))
+    rows = [(None, base), (3, base + " end"), (None, lone), (None, lone), (None, lone + " x"), (None, None), (None, None), (None, ""), (4, " "), (4, " "), (9, long), (8, long + " tail"), (5, base), (5, base), (5, base)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = collections.Counter((r.doc_id, r.component_id) for r in jaccard.near_duplicates(df).collect())
+    assert got == {(None, 3): 1, (3, 3): 1, (5, 3): 3, (None, None): 6, (4, 4): 2, (9, 8): 1, (8, 8): 1}
+    kept = collections.Counter((r.doc_id, r.text) for r in jaccard.one_of_each(df).collect())
+    lones = {t: n for (d, t), n in kept.items() if d is None and t and t.startswith("v")}
+    assert list(lones.values()) == [1]
+    assert {k: n for k, n in kept.items() if k[1] not in lones} == {(3, base + " end"): 1, (None, None): 2, (None, ""): 1, (4, " "): 2, (8, long + " tail"): 1}
 
 
 def test_bounds_hold():
@@ -105,7 +153,7 @@ def test_bounds_hold():
         a = np.unique(rng.integers(0, 1 << 63, rng.integers(1, 900), dtype=np.uint64))
         b = np.unique(np.concatenate([rng.choice(a, len(a) // 2), rng.integers(0, 1 << 63, 300, dtype=np.uint64)]))
         assert jaccard.overlap_bound(jaccard.counts_of(a), jaccard.counts_of(b)) >= len(np.intersect1d(a, b))
-    assert jaccard.prefix_length(10, 1) == 3 and jaccard.prefix_length(4, 1) == 1 and jaccard.boundary() > 10
+    assert jaccard.prefix_length(10, 1) == 3 and jaccard.prefix_length(4, 1) == 1 and jaccard.boundary(0) == jaccard.LEAST_BORDER < jaccard.boundary(40) < jaccard.boundary(400)
 
 
 def test_paths_and_stars(spark):
@@ -132,8 +180,8 @@ def test_windows_are_tree_nodes():
                 while high + 1 < b and h[high + 1] > h[c]:
                     high += 1
                 if high - low + 1 >= t:
-                    want.append(c)
-        assert passages.window_centres(h, off, t).tolist() == want
+                    want.append((c, low, high))
+        assert list(zip(*(x.tolist() for x in passages.windows(h, off, t)), strict=True)) == want
 
 
 def passage_corpus(seed):
