@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.llm.bpe import LONGEST, Merger
-from folioflow.llm.common import ranked, written
+from folioflow.llm.common import ranked, ship, written
 from folioflow.llm.kernels import NOT_SPACE, chunks, release, span_hash, spans
 
 CAPACITY = 2048
@@ -82,9 +82,8 @@ class Encoder:
     The tokenizer drops white space and never joins across it, so a text's ids are those of its units one after the other.
     """
 
-    def __init__(self, path: str) -> None:
-        self.path, self.merger, self._tokenizer = path, Merger(path), None
-        release()  # what reading the file took
+    def __init__(self, path: str, merger: Merger | None = None) -> None:
+        self.path, self.merger, self._tokenizer = path, merger or Merger(path), None
         self.keys = np.zeros(1 << STORE_BITS, np.uint64)
         self.start, self.size = np.zeros(1 << STORE_BITS, np.int64), np.zeros(1 << STORE_BITS, np.int64)
         self.pool, self.used = np.zeros(STORE_IDS, np.uint32), 0
@@ -152,10 +151,15 @@ class Encoder:
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
-    """Per piece doc_id, piece, start, length, ids_crc32; a null or empty text is the terminator alone."""
+    """Per piece doc_id, piece, start, length, ids_crc32; a null or empty text is the terminator alone.
+
+    The merges, some megabytes of arrays, are read once and broadcast.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(Merger(path))
+    release()  # what reading the file took
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = Encoder(path, shared.value)
         for batch, data, off in chunks(batches, "text"):
             ids, ioff = encoder.encode(data, off)
             raw = memoryview(ids.astype("<u4").tobytes())
@@ -253,5 +257,6 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, max_docs: int | None = None
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """Packs the ids of whole texts, each followed by id 0; longer ones are cut into pieces of ``capacity``."""
+    ship(docs.sparkSession)
     parts = written(pieces(docs, path or tokenizer_path(), capacity), "pieces")
     return pack(parts, capacity)
