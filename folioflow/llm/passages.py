@@ -3,16 +3,16 @@
 Under one hash function, the Cartesian tree over the hashes of a text's tokens parts all its
 subsequences of at least t tokens into compact windows, one for each tree node that spans t tokens: all
 subsequences in a window have the node's token as their least. Texts that post the same least token are
-brought together. One function works on runs of 13 words with windows of 13 runs: any two texts with
-25 words in common post a common run. That is complete for near copies too: each place where two passages differ
+brought together. Tokens are runs of 13 words, and windows span 13 runs: two texts with 25 words in common meet under
+every one of the ``HASHES`` functions, on windows that hold these words in both texts. So an interval join
+of the windows asks for functions that meet on windows which overlap by 13 runs in both texts, and loses no such pair.
+That is complete for near copies too: each place where two passages differ
 costs nine of both sides' shingles at least, of which a ninth may differ, so k such places take 81 k shingles or more
 and leave, in k + 1 stretches, one of 21 shingles, which is 25 words (texts that repeat their own shingles aside).
-``HASHES`` more functions work on five-word shingles with windows of a passage's length; of these, ``AGREE`` must meet on
-windows that overlap by a passage in both texts, which an interval join tells.
 
-Each text of a list is compared with the list's head; both whole texts decide. Where a later text of a list of runs
-has no passage there, those of its members that share shingles near the run which the head lacks there are compared
-too. Last, members of lists that still lack a passage post every 50-word window around the run, and equal windows are
+Each text of a list is compared with the list's head; both whole texts decide. Where a later text of a list
+has no passage there, it meets others of the list again, by shingles near the run which the head lacks there, and is compared
+with the first text of each such list too. Last, members of lists that still lack a passage post every 50-word window around the run, and equal windows are
 repeats. Only where two texts go on alike after the end of what both share with others, fewer than 50 words of
 that may stay.
 """
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.llm.common import dropped, fetched, required, screened, ship, written
@@ -35,12 +35,18 @@ LEAST_WORDS, SHINGLE, PERCENT = 50, 5, 80
 #: A passage at ``PERCENT`` holds an exact run of so many words, and any such run a posted gram of so many. See above.
 WHOLE = LEAST_WORDS // 2
 RUN = (WHOLE + 1) // 2
-HASHES, AGREE = 3, 2
+SPAN = WHOLE - RUN + 1
+#: Functions, which all must meet.
+HASHES = 2
 #: Words between two matching stretches of one passage, at most.
 GAP = 30
 #: Words from a run to the next shingle of its passage, at most, if the run is no passage itself.
 NEAR = LEAST_WORDS + GAP + SHINGLE
-_SEEDS = np.array([0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
+#: Of the shingles near a run the compact windows' of so many; two texts that share as many in a row there post one in common.
+NEAR_WINDOW = 8
+#: Rows of them that a task holds at once.
+NEAR_ROWS = 1 << 18
+_SEEDS = np.array([0, 0x9E3779B97F4A7C15], np.uint64)
 
 
 def windows(tokens: np.ndarray, off: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -87,24 +93,27 @@ def _lesser(rank: np.ndarray, text: np.ndarray) -> np.ndarray:
     return out
 
 
-#: Words on each side of its place that a posted window reaches at most; a passage as long has shorter ones in it.
+#: Runs on each side of its place that a posted window reaches at most; those of a stretch of 25 words are well within.
 REACH_BITS = 12
 REACH = (1 << REACH_BITS) - 1
 
 
-def anchors(wh: np.ndarray, woff: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(function, places, keys, words before, words after) of all texts' compact windows: 0 for exact runs, the others for shingles. Places are words."""
+def _grams(wh: np.ndarray, woff: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hashes of all runs of k words that end in their text, the words they start at, and the n + 1 offsets of each text's runs."""
+    size = np.maximum(np.diff(woff) - k + 1, 0)
+    off = np.concatenate([[0], np.cumsum(size)])
+    place = np.arange(int(off[-1])) - np.repeat(off[:-1], size) + np.repeat(woff[:-1], size)
+    return shingles(wh, k)[place], place, off
+
+
+def anchors(wh: np.ndarray, woff: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each function (places, keys, runs before, runs after) of all texts' compact windows. Places are words."""
+    grams, place, off = _grams(wh, woff, RUN)
     out = []
-    for f in range(HASHES + 1):
-        k, t = (RUN, WHOLE - RUN + 1) if f == 0 else (SHINGLE, LEAST_WORDS - SHINGLE + 1)
-        grams = shingles(wh, k)
-        # grams that run over a text's end are taken out, and the offsets follow
-        size = np.maximum(np.diff(woff) - k + 1, 0)
-        off = np.concatenate([[0], np.cumsum(size)])
-        place = np.arange(int(off[-1])) - np.repeat(off[:-1], size) + np.repeat(woff[:-1], size)
-        tokens = mix(grams[place] ^ _SEEDS[f])
-        at, left, right = windows(tokens, off, t)
-        out.append((f, place[at], tokens[at], np.minimum(at - left, REACH), np.minimum(right - at, REACH)))
+    for seed in _SEEDS[:HASHES]:
+        tokens = mix(grams ^ seed)
+        at, left, right = windows(tokens, off, SPAN)
+        out.append((place[at], tokens[at], np.minimum(at - left, REACH), np.minimum(right - at, REACH)))
     return out
 
 
@@ -131,7 +140,7 @@ def profile(docs: DataFrame) -> DataFrame:
 
 
 def postings(docs: DataFrame, hot: np.ndarray) -> DataFrame:
-    """(key, salt, doc_id, at) of every compact window, where ``at`` holds its place, the words before and after that it reaches, and the function; keys that start with a shingle whose list may be long are dealt to salts, others have -1. A task posts a text once."""
+    """(key, salt, doc_id, at) of every compact window, where ``at`` holds its place, the runs before and after that it reaches, whether the text posts the key again, and the function; keys that start with a shingle whose list may be long are dealt to salts, others have -1. A task posts a text once."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,11 +156,13 @@ def postings(docs: DataFrame, hot: np.ndarray) -> DataFrame:
                     seen.add(c)
                     first[i] = True
             common = hot[bucket(shingles(wh, SHINGLE))]
-            for f, place, key, before, after in anchors(wh, woff):
+            for f, (place, key, before, after) in enumerate(anchors(wh, woff)):
                 text = np.searchsorted(woff, place, "right") - 1
                 use = first[text]
                 text, place, key = text[use], place[use], key[use]
-                at = (((place - woff[text] << REACH_BITS | before[use]) << REACH_BITS | after[use]) << 2) | f
+                _, which, times = np.unique(key ^ mix(text.astype(np.uint64)), return_inverse=True, return_counts=True)
+                again = (times[which] > 1).astype(np.int64)
+                at = (((place - woff[text] << REACH_BITS | before[use]) << REACH_BITS | after[use]) << 2) | again << 1 | f
                 mine = ids[text]
                 salt = np.where(common[place], (mix(mine.astype(np.uint64)) % np.uint64(HOT_SALTS)).astype(np.int32), np.int32(-1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(salt), pa.array(mine), pa.array(at, pa.int64())], names=["key", "salt", "doc_id", "at"])
@@ -159,47 +170,54 @@ def postings(docs: DataFrame, hot: np.ndarray) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, required("key long, salt int, doc_id long, at long"))
 
 
+def _place(at: str) -> Column:
+    return F.shiftright(at, 2 * REACH_BITS + 2).cast("int")
+
+
+def _side(at: str, shift: int) -> Column:
+    return F.shiftright(at, shift).bitwiseAND(F.lit(REACH)).cast("int")
+
+
 def lists(posted: DataFrame) -> DataFrame:
-    """The windows whose key two documents or more post: key, f, doc_id, place, before, after, and the list's head: its least doc_id.
+    """The windows whose key two documents or more post: key, doc_id, at, and the list's head, its least doc_id, with a window of it in ``head_at``.
 
     One shuffle, by (key, salt); a common key's parts are put together from one row for each salt.
     """
     spark = posted.sparkSession
     dealt = posted.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key", "salt")
     # every column is used and no filter can pass below the counting, so that all uses read the same shuffle
-    part = dealt.groupBy("key", "salt").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.max("salt").alias("common"), F.max("at").alias("last"))
-    common = part.where("common >= 0").groupBy("key").agg(F.min("low").alias("_low"), F.max("high").alias("_high"), F.max("last").alias("_last"))
-    part = part.where("(common >= 0 or low < high) and last >= 0").join(common, "key", "left")
-    part = part.select("key", "salt", F.coalesce("_low", "low").alias("low"), F.coalesce("_high", "high").alias("high"), F.coalesce("_last", "last").alias("last")).where("low < high and last >= 0").drop("high", "last")
-    side = lambda shift: F.shiftright("at", shift).bitwiseAND(F.lit(REACH)).cast("int")
-    place = F.shiftright("at", 2 * REACH_BITS + 2).cast("int")
-    return dealt.join(part, ["key", "salt"]).select("key", F.col("at").bitwiseAND(F.lit(3)).cast("int").alias("f"), "doc_id", place.alias("place"), side(REACH_BITS + 2).alias("before"), side(2).alias("after"), F.col("low").alias("head"))
+    part = dealt.groupBy("key", "salt").agg(F.min("doc_id").alias("low"), F.min_by("at", "doc_id").alias("low_at"), F.max("doc_id").alias("high"), F.max("salt").alias("common"))
+    common = part.where("common >= 0").groupBy("key").agg(F.min("low").alias("_low"), F.min_by("low_at", "low").alias("_low_at"), F.max("high").alias("_high"))
+    part = part.where("common >= 0 or low < high").join(common, "key", "left")
+    part = part.select("key", "salt", F.coalesce("_low", "low").alias("head"), F.coalesce("_low_at", "low_at").alias("head_at"), F.coalesce("_high", "high").alias("high")).where("head < high").drop("high")
+    return dealt.join(part, ["key", "salt"]).select("key", "doc_id", "at", "head", "head_at")
 
 
 def _islands(rows: DataFrame, by: list[str], start: str, end: str, least: int, name: str) -> DataFrame:
     """Adds the number of the island that an interval lies on: two intervals that overlap by ``least`` are on one. Sorted by start, an island ends where no interval before reaches far enough."""
-    order = Window.partitionBy(*by).orderBy(start, end, "f", "key")
+    order = Window.partitionBy(*by).orderBy(start, end)
     reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
     new = F.when(F.col(start) + least - 1 <= reach, 0).otherwise(1)
     return rows.withColumn("_new", new).withColumn(name, F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
-def agreeing(listed: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Of the pairs (doc_id, head) those of which ``AGREE`` functions meet on windows that overlap by a passage's shingles in both texts.
+def agreeing(listed: DataFrame) -> DataFrame:
+    """The pairs (doc_id, head) of which all functions meet on windows that overlap by ``SPAN`` runs in both texts.
 
     The windows of a pair are joined as intervals, by a sweep over the one text and then over the other; a frame holds one pair's windows.
+    Where a head posts a key more than once, its window counts as its whole text.
     """
-    t = LEAST_WORDS - SHINGLE + 1
-    pair = F.xxhash64("doc_id", "head").alias("pair")
-    wanted = pairs.select("doc_id", "head", pair)
-    mine = listed.where("f > 0 and doc_id <> head").select("key", "f", "doc_id", "head", (F.col("place") - F.col("before")).alias("start"), (F.col("place") + F.col("after")).alias("end"), pair)
-    mine = fetched(mine, wanted.select("pair").distinct(), "pair")
-    heads = listed.where("f > 0 and doc_id = head").select("key", (F.col("place") - F.col("before")).alias("other_start"), (F.col("place") + F.col("after")).alias("other_end"))
-    met = fetched(heads, mine.select("key").distinct(), "key").join(mine, "key")
-    met = _islands(met, ["doc_id", "head"], "start", "end", t, "_one")
-    met = _islands(met, ["doc_id", "head", "_one"], "other_start", "other_end", t, "_two")
-    functions = met.groupBy("doc_id", "head", "_one", "_two").agg(F.bit_or(F.expr("shiftleft(1, f)")).alias("functions"))
-    return functions.where(F.bit_count("functions") >= AGREE).select("doc_id", "head").distinct()
+    again = F.col("head_at").bitwiseAND(F.lit(2)) != 0
+    met = listed.where("doc_id <> head").select(
+        "doc_id", "head", (F.col("at").bitwiseAND(F.lit(1)) + 1).cast("int").alias("f"),  # a bit for each function
+        (_place("at") - _side("at", REACH_BITS + 2)).alias("start"), (_place("at") + _side("at", 2)).alias("end"),
+        F.when(again, 0).otherwise(_place("head_at") - _side("head_at", REACH_BITS + 2)).alias("other_start"), F.when(again, 1 << 30).otherwise(_place("head_at") + _side("head_at", 2)).alias("other_end"),
+    )
+    met = met.repartition(int(listed.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id", "head")
+    met = _islands(met, ["doc_id", "head"], "start", "end", SPAN, "_one")
+    met = _islands(met, ["doc_id", "head", "_one"], "other_start", "other_end", SPAN, "_two")
+    functions = met.groupBy("doc_id", "head", "_one", "_two").agg(F.bit_or("f").alias("functions"))
+    return functions.where(F.bit_count("functions") >= HASHES).select("doc_id", "head").distinct()
 
 
 class Text:
@@ -342,17 +360,27 @@ def exact_windows(members: DataFrame, docs: DataFrame) -> DataFrame:
     return met.select("a", "b", "start", (F.col("last") + LEAST_WORDS).alias("end"), (F.col("start") + F.col("shift")).alias("other_start"), (F.col("last") + F.col("shift") + LEAST_WORDS).alias("other_end"), F.lit(100).alias("percent"))
 
 
+def inside(runs: DataFrame, spans_of: DataFrame) -> DataFrame:
+    """runs (cls, start, end, ...) with ``inside``: whether one of the spans (cls, start, end) holds the run.
+
+    A sweep over each text; of spans that start alike the longest counts, so a frame has no more rows than the text has words.
+    """
+    reach = spans_of.groupBy("cls", "start").agg(F.max("end").alias("reach"))
+    rows = runs.withColumn("reach", F.lit(None).cast("int")).unionByName(reach, allowMissingColumns=True)
+    so_far = F.max("reach").over(Window.partitionBy("cls").orderBy("start"))  # those that start at the same word too
+    return rows.withColumn("inside", F.coalesce(so_far >= F.col("end"), F.lit(False))).where(F.col("end").isNotNull()).drop("reach")
+
+
 def unsettled(rows: DataFrame, found: DataFrame, firsts: DataFrame) -> DataFrame:
-    """Those rows (key, cls, first, start, end) whose list of three texts or more has a later one without a passage found around start to end; with ``open``, whether the row is such, and the list's ``head``."""
+    """Those rows (key, cls, first, start, end) whose list of more than two has a later text without a passage found around start to end; with ``open``, whether the row is such, and ``head``, the list's first text's id."""
     a, b = firsts.select(F.col("cls").alias("a"), F.col("first").alias("da")), firsts.select(F.col("cls").alias("b"), F.col("first").alias("db"))
     # only the later text of a pair gets its passage as a row
-    later = found.join(a, "a").join(b, "b").select(F.when(F.col("da") > F.col("db"), F.struct(F.col("a").alias("cls"), "start", "end")).otherwise(F.struct(F.col("b").alias("cls"), F.col("other_start").alias("start"), F.col("other_end").alias("end"))).alias("s"))
-    spans_of = later.groupBy("s.cls").agg(F.collect_set(F.struct("s.start", "s.end")).alias("spans"))
-    inside = F.exists("spans", lambda s: (s["start"] <= F.col("start")) & (F.col("end") <= s["end"]))
-    marked = written(rows.join(spans_of, "cls", "left").withColumn("open", ~F.coalesce(inside, F.lit(False))).drop("spans"), "marked")
-    heads = marked.groupBy("key").agg(F.min(F.struct("first", "cls")).alias("head"), F.max(F.when(F.col("open"), F.col("first"))).alias("top"), F.countDistinct("cls").alias("texts")).where("top > head.first and texts > 2").drop("top", "texts")
-    out = written(marked.join(written(heads, "heads"), "key"), "unsettled")
-    dropped(marked)
+    later = found.join(a, "a").join(b, "b").select(F.when(F.col("da") > F.col("db"), F.struct(F.col("a").alias("cls"), "start", "end")).otherwise(F.struct(F.col("b").alias("cls"), F.col("other_start").alias("start"), F.col("other_end").alias("end"))).alias("s")).select("s.*")
+    marked = written(inside(rows, later).withColumn("open", ~F.col("inside")).drop("inside"), "marked")
+    heads = marked.groupBy("key").agg(F.min("first").alias("head"), F.max(F.when(F.col("open"), F.col("first"))).alias("top"), F.count(F.lit(1)).alias("members")).where("top > head and members > 2").drop("top", "members")
+    heads = written(heads, "heads")
+    out = written(marked.join(heads, "key"), "unsettled")
+    dropped(marked, heads)
     return out
 
 
@@ -360,37 +388,44 @@ def near_rest(listed: DataFrame, named: DataFrame, tried: DataFrame, found: Data
     """``found`` and the passages that texts share with others than their lists' heads.
 
     What two texts share around a run beyond what the head has too, they share by shingles near it that the head lacks there.
-    So members of a run's list meet again by those, and later texts that lack a passage are compared with all earlier ones they meet.
+    So members of a run's list make lists again by those, and later texts that lack a passage are compared with the first of each.
     """
     firsts = written(named.select("cls", "first").distinct(), "firsts")
-    rows = listed.where("f = 0").join(named.select("doc_id", "cls", "first"), "doc_id")
-    runs = unsettled(rows.select("key", "cls", "first", F.col("place").alias("start"), (F.col("place") + RUN).alias("end")).distinct(), found, firsts)
-    by_doc = runs.select(F.col("first").alias("doc_id"), "cls", "key", "start", "open", (F.col("first") == F.col("head.first")).alias("heads")).groupBy("doc_id", "cls").agg(F.collect_set(F.struct("key", "start", "open", "heads")).alias("runs"))
+    rows = listed.where("at % 2 = 0").join(named.select("doc_id", "cls", "first"), "doc_id")
+    runs = unsettled(rows.select("key", "cls", "first", _place("at").alias("start"), (_place("at") + RUN).alias("end")).distinct(), found, firsts)
+    by_doc = runs.groupBy(F.col("first").alias("doc_id"), "cls").agg(F.collect_set(F.struct("key", "start", "open", (F.col("first") == F.col("head")).alias("heads"))).alias("runs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, off in chunks(batches, "text"):
             cls = span_hash(data, off[:-1], off[1:]).view(np.int64)
             wh, woff = words(data, off, NOT_SPACE)
-            for i, (c, d) in enumerate(zip(batch.column("cls").to_pylist(), batch.column("doc_id").to_pylist(), strict=True)):
-                if cls[i] != c:
-                    continue
-                sh = shingles(wh[woff[i] : woff[i + 1]], SHINGLE)[: int(woff[i + 1] - woff[i]) - SHINGLE + 1]
-                for r in batch.column("runs")[i].as_py():
-                    near = np.unique(sh[max(0, r["start"] - NEAR) : r["start"] + RUN + NEAR])
-                    n = len(near)
-                    yield pa.RecordBatch.from_arrays([pa.array(mix(near ^ mix(np.array([r["key"]], np.int64).view(np.uint64))).view(np.int64)), pa.array(np.full(n, c, np.int64)), pa.array(np.full(n, d, np.int64)), pa.array(np.full(n, r["open"])), pa.array(np.full(n, r["heads"]))], names=["key", "cls", "first", "open", "heads"])
+            grams, place, goff = _grams(wh, woff, SHINGLE)
+            at = windows(mix(grams), goff, NEAR_WINDOW)[0]
+            grams, place = grams[at], place[at]
+            mine, ids = np.asarray(batch.column("cls")), np.asarray(batch.column("doc_id"))
+            listed_runs = batch.column("runs")
+            text = np.repeat(np.arange(len(cls)), np.asarray(listed_runs.value_lengths()))
+            key, start, is_open, heads = (x.to_numpy(zero_copy_only=False) for x in listed_runs.flatten().flatten())
+            lo = np.searchsorted(place, np.maximum(woff[text] + start - NEAR, woff[text]))
+            hi = np.searchsorted(place, np.minimum(woff[text] + start + RUN + NEAR, woff[text + 1]))
+            size = np.where((cls == mine)[text], hi - lo, 0)
+            cut = np.append(np.searchsorted(np.cumsum(size), np.arange(0, int(size.sum()), NEAR_ROWS), "right"), len(size))
+            for x, y in zip(cut[:-1], cut[1:], strict=True):
+                n = size[x:y]
+                who = np.repeat(np.arange(x, y), n)
+                near = grams[np.repeat(lo[x:y] - (np.cumsum(n) - n), n) + np.arange(len(who))]
+                yield pa.RecordBatch.from_arrays([pa.array(mix(near ^ mix(key[who].view(np.uint64))).view(np.int64)), pa.array(mine[text[who]]), pa.array(ids[text[who]]), pa.array(is_open[who]), pa.array(heads[who])], names=["key", "cls", "first", "open", "heads"])
 
     texts = fetched(docs.select("doc_id", "text"), by_doc.select("doc_id").distinct()).join(by_doc, "doc_id")
     near = written(texts.select("doc_id", "cls", "text", "runs").mapInArrow(run, "key long, cls long, first long, open boolean, heads boolean"), "near")
-    keys = near.groupBy("key").agg(F.min("first").alias("low"), F.max(F.when(F.col("open"), F.col("first"))).alias("top"), F.max("heads").alias("heads")).where("not heads and top > low").select("key")
-    met = written(near.join(written(keys, "keys"), "key").select("key", "cls", "first", "open").distinct(), "met")
-    late = met.where("open").select("key", F.col("cls").alias("a"), F.col("first").alias("da"))
-    pairs = late.join(met.select("key", F.col("cls").alias("b"), F.col("first").alias("db")), "key").where("a <> b and db < da").select("a", "da", "b", "db").distinct()
+    keys = near.groupBy("key").agg(F.min("first").alias("db"), F.min_by("cls", "first").alias("b"), F.max(F.when(F.col("open"), F.col("first"))).alias("top"), F.max("heads").alias("heads")).where("not heads and top > db").select("key", "b", "db")
+    keys = written(keys, "keys")
+    pairs = near.where("open").join(keys, "key").where("cls <> b").select(F.col("cls").alias("a"), F.col("first").alias("da"), "b", "db").distinct()
     tried = tried.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
     pairs = written(pairs.withColumns({"x": F.least("a", "b"), "y": F.greatest("a", "b")}).join(tried, ["x", "y"], "left_anti").drop("x", "y"), "pairs")
     if not pairs.isEmpty():
         found = found.unionByName(written(compared(pairs, docs), "passages"))
-    dropped(runs, near, met, pairs, firsts)
+    dropped(runs, near, keys, pairs, firsts)
     return found
 
 
@@ -411,25 +446,19 @@ def repeats(docs: DataFrame) -> DataFrame:
     first = members.groupBy("cls").agg(F.min("doc_id").alias("first"))
     named = written(members.join(first, "cls"), "classes")  # of copies the first stands for all
     listed = written(lists(postings(docs, loads >= max(SALT_FROM, common_from(loads)))), "lists")
-    met = written(listed.where("doc_id <> head").groupBy("doc_id", "head").agg(F.bit_or(F.expr("shiftleft(1, f)")).alias("met")), "met")
-    some = met.where((F.col("met").bitwiseAND(F.lit(1)) == 0) & (F.bit_count("met") >= AGREE))
-    meet = met.where(F.col("met").bitwiseAND(F.lit(1)) != 0).select("doc_id", "head")
-    if not some.isEmpty():
-        meet = meet.unionByName(agreeing(listed, some))
-    meet = meet.join(named.select("doc_id", F.col("cls").alias("a"), F.col("first").alias("da")), "doc_id").join(named.select(F.col("doc_id").alias("head"), F.col("cls").alias("b"), F.col("first").alias("db")), "head")
+    meet = agreeing(listed).join(named.select("doc_id", F.col("cls").alias("a"), F.col("first").alias("da")), "doc_id").join(named.select(F.col("doc_id").alias("head"), F.col("cls").alias("b"), F.col("first").alias("db")), "head")
     pairs = written(meet.where("a <> b").select("a", "da", "b", "db").distinct(), "pairs")
     found = written(compared(pairs, docs), "passages")
     found = near_rest(listed, named, pairs, found, docs)
-    dropped(profiled, met, pairs)
+    dropped(profiled, pairs)
 
     # Exact runs that no passage found so far covers: their whole lists go on to windows.
     sides = found.select(F.col("a").alias("cls"), "start", "end").union(found.select("b", "other_start", "other_end"))
-    covered = sides.groupBy("cls").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    runs = listed.where("f = 0").join(named.select("doc_id", "cls"), "doc_id").select("key", "cls", "place")
-    missed = runs.join(covered, "cls", "left").where(~F.coalesce(F.exists("spans", lambda s: (s["start"] <= F.col("place")) & (F.col("place") + RUN <= s["end"])), F.lit(False)))
-    keys = written(missed.select("key").distinct(), "keys")
-    again = written(runs.join(keys, "key", "left_semi").select("cls", "place").distinct(), "missed")
-    dropped(listed, keys)
+    runs = listed.where("at % 2 = 0").join(named.select("doc_id", "cls"), "doc_id").select("key", "cls", _place("at").alias("start"), (_place("at") + RUN).alias("end"))
+    told = written(inside(runs.distinct(), sides), "runs")
+    keys = written(told.where("not inside").select("key").distinct(), "keys")
+    again = written(told.join(keys, "key").select("cls", F.col("start").alias("place")).distinct(), "missed")
+    dropped(listed, told, keys)
     if not again.isEmpty():
         found = found.unionByName(written(exact_windows(again.join(named.select("cls", F.col("first").alias("doc_id")).distinct(), "cls"), docs), "passages"))
 
@@ -451,7 +480,9 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     Others are kept as they are. Where text is cut, n_chars (if the column is there) is counted anew. All rows with
     the doc_id of a passage are cut, so repeated doc_ids should have been resolved before.
     """
-    spans_of = written(repeats(docs).groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("_spans")), "spans")
+    # of spans that start alike the longest: no more than the text has words
+    longest = repeats(docs).groupBy("doc_id", "start").agg(F.max("end").alias("end"))
+    spans_of = written(longest.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("_spans")), "spans")
     # documents that surely have no spans go through as they are, unmoved
     rows = screened(docs, spans_of.select("doc_id"))
     clean = rows.where("not _maybe").select(*docs.columns)
