@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from folioflow.llm.common import aside, dropped, fetched, required, screened, ship, written
 from folioflow.llm.graph import components
 from folioflow.llm.kernels import NOT_SPACE, buffers, chunks, mix, release, shingle_set, shingles, words
-from folioflow.llm.loads import HOT_BITS, bucket, bucket_loads, common_from, packed
+from folioflow.llm.loads import Tally, bucket, bucket_loads, common_from
 
 SHINGLE, PERCENT = 5, 80
 #: What comparing one member of a list costs against posting one row.
@@ -121,7 +121,7 @@ def profile(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     """Per document id (doc_id, or for a null one a hash of the text), doc_id, text_hash, n, cls and counts; and, with ``slice`` set, each task's counts of that slice of the buckets, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << HOT_BITS, np.uint32)
+        tally = Tally()
         names = ["id", "doc_id", "text_hash", "n", "cls", "counts", "slice", "loads"]
         seen: set[int] = set()
         for batch, data, off in chunks(batches, "text"):
@@ -130,9 +130,9 @@ def profile(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
             for c, s in zip(cls, found, strict=True):
                 if c not in seen:
                     seen.add(c)
-                    np.add.at(total, bucket(s), 1)
+                    tally.add(s)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array([len(s) for s in found], pa.int64()), pa.array(cls, pa.int64()), pa.array([counts_of(s) for s in found], pa.binary()), pa.nulls(len(found), pa.int32()), pa.nulls(len(found), pa.binary())], names=names)
-        numbers, loads = packed(total)
+        numbers, loads = tally.slices()
         none = pa.nulls(len(numbers), pa.int64())
         yield pa.RecordBatch.from_arrays([none, none, none, none, none, pa.nulls(len(numbers), pa.binary()), pa.array(numbers, pa.int32()), pa.array(loads, pa.binary())], names=names)
 

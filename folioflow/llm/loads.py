@@ -24,11 +24,29 @@ def bucket(tokens: np.ndarray) -> np.ndarray:
     return (tokens & MASK).astype(np.int64)
 
 
-def packed(total: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-    """The slices of a task's counts (uint32) that are not all zero: their numbers and bytes."""
-    parts = total.reshape(SLICES, -1)
-    full = np.flatnonzero(parts.any(axis=1))
-    return full.astype(np.int32), [zlib.compress(parts[i].tobytes(), 1) for i in full]
+class Tally:
+    """A task's counts of tokens, by bucket."""
+
+    def __init__(self) -> None:
+        self.total, self.parts, self.size = np.zeros(1 << HOT_BITS, np.uint32), [], 0
+
+    def add(self, tokens: np.ndarray) -> None:
+        self.parts.append((tokens & MASK).astype(np.int32))
+        self.size += len(tokens)
+        if self.size >= 1 << HOT_BITS:
+            self._count()
+
+    def _count(self) -> None:
+        if self.parts:
+            self.total += np.bincount(np.concatenate(self.parts), minlength=1 << HOT_BITS).astype(np.uint32)
+        self.parts, self.size = [], 0
+
+    def slices(self) -> tuple[np.ndarray, list[bytes]]:
+        """The slices of the counts that are not all zero: their numbers and packed bytes."""
+        self._count()
+        parts = self.total.reshape(SLICES, -1)
+        full = np.flatnonzero(parts.any(axis=1))
+        return full.astype(np.int32), [zlib.compress(parts[i].tobytes(), 1) for i in full]
 
 
 def bucket_loads(slices: DataFrame) -> np.ndarray:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from folioflow.llm.common import dropped, fetched, required, screened, ship, written
 from folioflow.llm.jaccard import HOT_SALTS, SALT_FROM
 from folioflow.llm.kernels import NOT_SPACE, buffers, chunks, mix, release, shingles, span_hash, spans, words
-from folioflow.llm.loads import HOT_BITS, bucket, bucket_loads, common_from, packed
+from folioflow.llm.loads import Tally, bucket, bucket_loads, common_from
 
 LEAST_WORDS, SHINGLE, PERCENT = 50, 5, 80
 #: A passage at ``PERCENT`` holds an exact run of so many words, and any such run a posted gram of so many. See above.
@@ -121,7 +121,7 @@ def profile(docs: DataFrame) -> DataFrame:
     """Per document doc_id, cls (a hash of the text) and n_words; and, with ``slice`` set, each task's counts of that slice of the buckets of shingles, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << HOT_BITS, np.uint32)
+        tally = Tally()
         names = ["doc_id", "cls", "n_words", "slice", "loads"]
         seen: set[int] = set()
         for batch, data, off in chunks(batches, "text"):
@@ -130,9 +130,9 @@ def profile(docs: DataFrame) -> DataFrame:
             sh = shingles(wh, SHINGLE)
             new = np.array([c not in seen for c in cls.tolist()])
             seen.update(cls.tolist())
-            np.add.at(total, bucket(sh[np.repeat(new, np.diff(woff))]), 1)
+            tally.add(sh[np.repeat(new, np.diff(woff))])
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(cls), pa.array(np.diff(woff), pa.int64()), pa.nulls(len(cls), pa.int32()), pa.nulls(len(cls), pa.binary())], names=names)
-        numbers, loads = packed(total)
+        numbers, loads = tally.slices()
         none = pa.nulls(len(numbers), pa.int64())
         yield pa.RecordBatch.from_arrays([none, none, none, pa.array(numbers, pa.int32()), pa.array(loads, pa.binary())], names=names)
 
@@ -178,19 +178,46 @@ def _side(at: str, shift: int) -> Column:
     return F.shiftright(at, shift).bitwiseAND(F.lit(REACH)).cast("int")
 
 
-def lists(posted: DataFrame) -> DataFrame:
-    """The windows whose key two documents or more post: key, doc_id, at, and the list's head, its least doc_id, with a window of it in ``head_at``.
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by (key, salt, doc_id) those of keys that two documents post, and all with a salt, each with its list's head: the first row of the same key and salt.
 
-    One shuffle, by (key, salt); a common key's parts are put together from one row for each salt.
+    Rows stream through; held back are only the rows of one text, as long as no other follows.
     """
-    spark = posted.sparkSession
-    dealt = posted.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key", "salt")
-    # every column is used and no filter can pass below the counting, so that all uses read the same shuffle
-    part = dealt.groupBy("key", "salt").agg(F.min("doc_id").alias("low"), F.min_by("at", "doc_id").alias("low_at"), F.max("doc_id").alias("high"), F.max("salt").alias("common"))
-    common = part.where("common >= 0").groupBy("key").agg(F.min("low").alias("_low"), F.min_by("low_at", "low").alias("_low_at"), F.max("high").alias("_high"))
-    part = part.where("common >= 0 or low < high").join(common, "key", "left")
-    part = part.select("key", "salt", F.coalesce("_low", "low").alias("head"), F.coalesce("_low_at", "low_at").alias("head_at"), F.coalesce("_high", "high").alias("high")).where("head < high").drop("high")
-    return dealt.join(part, ["key", "salt"]).select("key", "doc_id", "at", "head", "head_at")
+    names = ["key", "salt", "doc_id", "at"]
+    held, sent = [np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)], False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, salt, doc, at = (np.concatenate([h, np.asarray(batch.column(c))]) for h, c in zip(held, names, strict=True))
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])
+        start = np.flatnonzero(new)
+        head = np.repeat(start, np.diff(np.append(start, len(key))))
+        shared = np.logical_or.reduceat((doc != doc[head]) | (salt >= 0), start)
+        use = np.repeat(shared, np.diff(np.append(start, len(key))))
+        use[: int(sent)] = False  # the head that went out with rows before
+        last, sent = int(start[-1]), bool(shared[-1])
+        held = [x[last : last + 1 if sent else None] for x in (key, salt, doc, at)]
+        i, h = np.flatnonzero(use), head[use]
+        yield pa.RecordBatch.from_arrays([*(pa.array(x[i]) for x in (key, salt, doc, at)), pa.array(doc[h]), pa.array(at[h])], names=[*names, "head", "head_at"])
+    release()
+
+
+def lists(posted: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """The windows whose key two documents or more post: key, doc_id, at, and the list's head, its least doc_id, with a window of it in ``head_at``; and the tables that hold them.
+
+    One shuffle, by (key, salt), and a sort; a common key's parts are put together from one row for each salt.
+    """
+    tasks = int(posted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = posted.repartition(tasks, "key", "salt").sortWithinPartitions("key", "salt", "doc_id")
+    rows = written(dealt.mapInArrow(gathered, required("key long, salt int, doc_id long, at long, head long, head_at long")), "lists")
+    parts = rows.where("salt >= 0")
+    heads = parts.groupBy("key").agg(F.min("head").alias("_head"), F.min_by("head_at", "head").alias("_at"), F.max("doc_id").alias("_high")).where("_head < _high")
+    # written first, so that the join reads two plain shuffles, whose large parts Spark can split
+    heads = written(heads, "heads")
+    common = written(parts.join(heads, "key").select("key", "doc_id", "at", F.col("_head").alias("head"), F.col("_at").alias("head_at")), "lists")
+    dropped(heads)
+    return rows.where("salt < 0").select("key", "doc_id", "at", "head", "head_at").unionByName(common), [rows, common]
 
 
 def _islands(rows: DataFrame, by: list[str], start: str, end: str, least: int, name: str) -> DataFrame:
@@ -372,14 +399,14 @@ def inside(runs: DataFrame, spans_of: DataFrame) -> DataFrame:
 
 
 def unsettled(rows: DataFrame, found: DataFrame, firsts: DataFrame) -> DataFrame:
-    """Those rows (key, cls, first, start, end) whose list of more than two has a later text without a passage found around start to end; with ``open``, whether the row is such, and ``head``, the list's first text's id."""
+    """Those rows (key, cls, first, start, end) whose list of more than two has a later text without a passage found around start to end; with ``open``, whether the row is such, and ``head``, the list's first text's id; rows behind the last such are left out."""
     a, b = firsts.select(F.col("cls").alias("a"), F.col("first").alias("da")), firsts.select(F.col("cls").alias("b"), F.col("first").alias("db"))
     # only the later text of a pair gets its passage as a row
     later = found.join(a, "a").join(b, "b").select(F.when(F.col("da") > F.col("db"), F.struct(F.col("a").alias("cls"), "start", "end")).otherwise(F.struct(F.col("b").alias("cls"), F.col("other_start").alias("start"), F.col("other_end").alias("end"))).alias("s")).select("s.*")
     marked = written(inside(rows, later).withColumn("open", ~F.col("inside")).drop("inside"), "marked")
-    heads = marked.groupBy("key").agg(F.min("first").alias("head"), F.max(F.when(F.col("open"), F.col("first"))).alias("top"), F.count(F.lit(1)).alias("members")).where("top > head and members > 2").drop("top", "members")
+    heads = marked.groupBy("key").agg(F.min("first").alias("head"), F.max(F.when(F.col("open"), F.col("first"))).alias("top"), F.count(F.lit(1)).alias("members")).where("top > head and members > 2").drop("members")
     heads = written(heads, "heads")
-    out = written(marked.join(heads, "key"), "unsettled")
+    out = written(marked.join(heads, "key").where("first <= top").drop("top"), "unsettled")
     dropped(marked, heads)
     return out
 
@@ -406,15 +433,21 @@ def near_rest(listed: DataFrame, named: DataFrame, tried: DataFrame, found: Data
             listed_runs = batch.column("runs")
             text = np.repeat(np.arange(len(cls)), np.asarray(listed_runs.value_lengths()))
             key, start, is_open, heads = (x.to_numpy(zero_copy_only=False) for x in listed_runs.flatten().flatten())
+            by = np.lexsort((start, key, text))
+            text, key, start, is_open, heads = text[by], key[by], start[by], is_open[by], heads[by]
             lo = np.searchsorted(place, np.maximum(woff[text] + start - NEAR, woff[text]))
             hi = np.searchsorted(place, np.minimum(woff[text] + start + RUN + NEAR, woff[text + 1]))
+            same = (text[1:] == text[:-1]) & (key[1:] == key[:-1])  # where a text has a run again, words that are near both count once
+            lo[1:][same] = np.minimum(np.maximum(lo[1:], hi[:-1]), hi[1:])[same]
             size = np.where((cls == mine)[text], hi - lo, 0)
             cut = np.append(np.searchsorted(np.cumsum(size), np.arange(0, int(size.sum()), NEAR_ROWS), "right"), len(size))
             for x, y in zip(cut[:-1], cut[1:], strict=True):
                 n = size[x:y]
                 who = np.repeat(np.arange(x, y), n)
-                near = grams[np.repeat(lo[x:y] - (np.cumsum(n) - n), n) + np.arange(len(who))]
-                yield pa.RecordBatch.from_arrays([pa.array(mix(near ^ mix(key[who].view(np.uint64))).view(np.int64)), pa.array(mine[text[who]]), pa.array(ids[text[who]]), pa.array(is_open[who]), pa.array(heads[who])], names=["key", "cls", "first", "open", "heads"])
+                near = mix(grams[np.repeat(lo[x:y] - (np.cumsum(n) - n), n) + np.arange(len(who))] ^ mix(key[who].view(np.uint64)))
+                u = np.unique(near ^ mix((text[who] * 2 + is_open[who]).astype(np.uint64)), return_index=True)[1]
+                near, who = near[u], who[u]
+                yield pa.RecordBatch.from_arrays([pa.array(near.view(np.int64)), pa.array(mine[text[who]]), pa.array(ids[text[who]]), pa.array(is_open[who]), pa.array(heads[who])], names=["key", "cls", "first", "open", "heads"])
 
     texts = fetched(docs.select("doc_id", "text"), by_doc.select("doc_id").distinct()).join(by_doc, "doc_id")
     near = written(texts.select("doc_id", "cls", "text", "runs").mapInArrow(run, "key long, cls long, first long, open boolean, heads boolean"), "near")
@@ -445,7 +478,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     members = profiled.where("slice is null and n_words >= " + str(LEAST_WORDS)).select("doc_id", "cls", "n_words").distinct()
     first = members.groupBy("cls").agg(F.min("doc_id").alias("first"))
     named = written(members.join(first, "cls"), "classes")  # of copies the first stands for all
-    listed = written(lists(postings(docs, loads >= max(SALT_FROM, common_from(loads)))), "lists")
+    listed, tables = lists(postings(docs, loads >= max(SALT_FROM, common_from(loads))))
     meet = agreeing(listed).join(named.select("doc_id", F.col("cls").alias("a"), F.col("first").alias("da")), "doc_id").join(named.select(F.col("doc_id").alias("head"), F.col("cls").alias("b"), F.col("first").alias("db")), "head")
     pairs = written(meet.where("a <> b").select("a", "da", "b", "db").distinct(), "pairs")
     found = written(compared(pairs, docs), "passages")
@@ -458,7 +491,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     told = written(inside(runs.distinct(), sides), "runs")
     keys = written(told.where("not inside").select("key").distinct(), "keys")
     again = written(told.join(keys, "key").select("cls", F.col("start").alias("place")).distinct(), "missed")
-    dropped(listed, told, keys)
+    dropped(*tables, told, keys)
     if not again.isEmpty():
         found = found.unionByName(written(exact_windows(again.join(named.select("cls", F.col("first").alias("doc_id")).distinct(), "cls"), docs), "passages"))
 

@@ -8,6 +8,7 @@ import pytest
 
 from folioflow.llm import graph, jaccard, passages
 from folioflow.llm.kernels import buffers
+from folioflow.llm.loads import HOT_BITS
 
 LOWER = {c: c + 32 for c in range(65, 91)}
 
@@ -110,7 +111,7 @@ def test_lists_of_common_sentences_stay_in_proportion():
     pairs = []
     for n in (3200, 12800):
         found = jaccard.sets(*buffers(pa.array(texts[:n])))
-        loads = np.zeros(1 << jaccard.HOT_BITS, np.int64)
+        loads = np.zeros(1 << HOT_BITS, np.int64)
         for s in found:
             np.add.at(loads, jaccard.bucket(s), 1)
         order, keys = jaccard.order_of(loads), []
