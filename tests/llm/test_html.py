@@ -1,6 +1,8 @@
 import pytest
 
-from folioflow.llm.mincut import blocks, extract, main_text, source_side
+import time
+
+from folioflow.llm.mincut import blocks, extract, labelled, log_odds, main_text, source_side
 
 BODY = "A long paragraph of the article with quite enough words to look like running text, again and again. "
 PAGES = {
@@ -9,6 +11,11 @@ PAGES = {
     "plain": (f"<div id='menu'><a>one</a> <a>two</a></div><div><p>{BODY}</p><p>Short one.</p><p>{BODY}</p></div><div class='footer'>legal words</div>", f"{BODY.strip()} Short one. {BODY.strip()}"),
     "raw": (f"<head><title>t</title><style>p{{}}</style><script>var t='</p>'</script></head><article><p>{BODY}</p><!-- <p>no</p> --><script>if (a<b) x()</script></article>", BODY.strip()),
     "notice": (f"<div class='cookie-notice'><p>{BODY}</p></div><article><p>{BODY}</p><ul class='related-posts'><li><a>{BODY}</a></li></ul></article>", BODY.strip()),
+    "heads": (f"<header><h1>Site</h1></header><article><header><h1>A title</h1></header><div class='post-header'><h2>Second</h2></div><p>{BODY}</p></article>", "A title Second " + BODY.strip()),
+    "wrapper": (f"<div class='page has-sidebar'><div class='nav-main'><a>{BODY}</a></div><div><p>{BODY}</p><p>{BODY}</p></div><div class='sidebar'><p>{BODY}</p></div></div>", f"{BODY.strip()} {BODY.strip()}"),
+    "all under one name": (f"<div class='widget'><p>{BODY}</p><p>{BODY}</p></div>", f"{BODY.strip()} {BODY.strip()}"),
+    "article in a named wrapper": (f"<div class='side'><p>{BODY}</p><article><p>{BODY}</p></article></div>", BODY.strip()),
+    "formula": (f"<article><p>We have <math><mi>x</mi><mo>=</mo><mn>2</mn></math> here. {BODY}</p><object><p>{BODY}</p></object></article>", f"We have x=2 here. {BODY.strip()} {BODY.strip()}"),
     "hidden": (f"<article><p>{BODY}</p><p style='display: none'>{BODY}</p><p hidden>{BODY}</p></article>", BODY.strip()),
 }
 
@@ -22,13 +29,73 @@ def test_odd_pages():
     assert main_text(None) == main_text("") == main_text("<<<>") == main_text("<script>") == main_text("<!--") == ""
     assert main_text("<article><p>&lt;b&gt; &#233;&nbsp;x") == "<b> é x"
     assert len(main_text("<article>" + f"<p>{BODY}</p>" * 3000 + "</article>")) > 3000 * 90
-    assert [b.text for b in blocks("a<p>b<p>c<div>d</div>e</p>f")] == ["a", "b", "c", "d", "e", "f"]
+    assert [b.text for b in blocks("a<p>b<p>c<div>d</div>e</p>f")[0]] == ["a", "b", "c", "d", "e", "f"]
 
 
 def test_raw_elements_end_where_they_end():
     text = "A sentence of the article that is long enough to be kept as content, with no link in it at all."
     page = f"<article><p>{'İ' * 40} {text}</p><sCript>var a = 1;</ScripT><p>Second: {text}</p><p>Third: {text}</p></article>"
-    assert [b.text[:6] for b in blocks(page)] == ["İ" * 6, "Second", "Third:"]
+    assert [b.text[:6] for b in blocks(page)[0]] == ["İ" * 6, "Second", "Third:"]
+
+
+CUT = {
+    "a short paragraph among long ones": (f"<div><p>{BODY * 3}</p><p>Yes.</p><p>{BODY * 3}</p></div>", "Yes.", True),
+    "a linked paragraph of an article": (f"<article><p>{BODY}</p><p><a href=x>Read on</a></p><p>{BODY}</p></article>", "Read on", True),
+    "a teaser among links": ("<ul>" + "<li><a href=x>A link</a></li>" * 4 + f"<li>{BODY * 2}</li>" + "<li><a href=x>A link</a></li>" * 4 + "</ul>", (BODY * 2).strip(), False),
+}
+
+
+@pytest.mark.parametrize("name", CUT)
+def test_neighbours_outvote_a_block(name):
+    page, text, content = CUT[name]
+    block, keep = next((b, k) for b, k in labelled(page) if b.text == text)
+    assert (log_odds(block) > 0) != content and keep == content
+
+
+def made_page(rng):
+    """A page of the usual parts, and the text that belongs to its article."""
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9)))
+    run = lambda a, b: " ".join(word() for _ in range(rng.randrange(a, b)))
+    links = lambda n: "<ul>" + "".join(f"<li><a href='/{word()}'>{word()}</a></li>" for _ in range(n)) + "</ul>"
+    body, want = [], []
+    for k in range(rng.randrange(2, 9)):
+        t = run(1, 4) if k and rng.random() < 0.3 else run(12, 60)
+        tag = "h2" if len(t) < 20 else "p"
+        want.append(t)
+        body.append(f"<{tag}>" + (t if rng.random() < 0.5 else f"<b>{t}</b>") + f"</{tag}>")
+        if rng.random() < 0.3:
+            body.append(rng.choice([f"<aside><p>{run(5, 40)}</p></aside>", f"<div class='ad'>{run(3, 30)}</div>", f"<form><label>{run(2, 5)}</label><input></form>", "<script>if (a<b) x()</script>"]))
+    title = run(3, 8)
+    inner = f"<h1>{title}</h1>" + "".join(body)
+    inner = rng.choice(["<article>{}</article>", "<main><div class='post'>{}</div></main>", "<div class='wrap has-sidebar'><article><div>{}</div></article></div>", "<div class='entry-content'>{}</div>"]).format(inner)
+    for _ in range(rng.randrange(30)):
+        inner = f"<div>{inner}</div>"
+    top = rng.choice([f"<header><a>{word()}</a></header><nav>{links(5)}</nav>", f"<div id='top-menu'>{links(4)}</div>", f"<div class='cookie-notice'><p>{run(10, 40)}</p></div>"])
+    end = rng.choice([f"<footer>&copy; {run(2, 9)}</footer>", f"<div class='comments'><p>{run(5, 60)}</p><p>{run(5, 60)}</p></div><footer>x</footer>", f"<div class='sidebar'><p>{run(5, 50)}</p></div>"])
+    return f"<html><head><title>{title}</title></head><body>{top}{inner}{end}</body></html>", " ".join([title, *want])
+
+
+def test_made_pages():
+    import random
+
+    rng = random.Random(12)
+    for _ in range(300):
+        page, want = made_page(rng)
+        assert main_text(page) == want, page
+
+
+def test_large_and_odd_pages_take_seconds():
+    start = time.perf_counter()
+    p = f"<p>{BODY * 2}</p><p>No.</p><p><a>Link</a> {BODY * 2}</p>"
+    assert len(main_text("<div>" + p * 30_000 + "</div>")) > 30_000 * 90
+    deep = "<div>" * 100_000 + f"<article><p>{BODY}</p></article>" + "</div>" * 100_000
+    assert main_text(deep) == BODY.strip()
+    assert main_text("".join(f"<div><p>{BODY}</p>" for _ in range(30_000))).count("article") == 30_000
+    main_text('<a "' * 200_000)
+    main_text("<!" * 200_000)
+    main_text("<p><b>" * 50_000 + "</i></q>" * 50_000)
+    main_text("<b>x</z>" * 100_000)
+    assert time.perf_counter() - start < 60
 
 
 def brute(gain, ties):
