@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -12,7 +13,7 @@ from pyspark.sql.types import StructField, StructType
 
 from folioflow import session
 
-__all__ = ["Scratch", "aside", "dropped", "fetched", "ranked", "required", "screened", "shared_dir", "ship", "table", "written"]
+__all__ = ["Scratch", "aside", "dropped", "fetched", "ranked", "required", "screened", "shared_dir", "ship", "table", "tidied", "written"]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -87,6 +88,12 @@ def _remove(spark: SparkSession, path: str) -> None:
     _paths.pop(path, None)
 
 
+def tidied(spark: SparkSession) -> None:
+    """Collects the driver's garbage: only then does Spark free the shuffles and broadcasts that nothing refers to any more, and the heap gives memory back."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 class Scratch:
     """Tables that are written while it is open; settled() writes a result and removes all others."""
 

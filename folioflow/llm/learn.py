@@ -33,15 +33,16 @@ def _drawn(rows: DataFrame, label: str, shares: dict | None, max_rows: int) -> D
     return rows.join(F.broadcast(bounds), label).where(F.pmod(F.xxhash64(F.col("doc_id")), F.lit(scale)) < F.col("_bound")).select(*rows.columns)
 
 
-def _collected(rows: DataFrame) -> tuple[pa.Array, list]:
-    """Texts and labels, ordered by doc_id so that training is the same each time; one of each text.
+def _collected(docs: DataFrame, drawn: DataFrame) -> tuple[pa.Array, list]:
+    """Texts and labels of the drawn rows (doc_id, text, label) of docs, ordered by doc_id so that training is the same each time; one of each text.
 
-    Where they pass ``MAX_BYTES``, each label has an equal share of them, taken in the order of a hash of doc_id, and what labels leave of theirs goes to the rest in that order.
+    Sizes come to the driver first, and then only texts that fit into ``MAX_BYTES``. Where the drawn texts pass it, each label has an equal share
+    of it, taken in the order of a hash of doc_id, and what labels leave of theirs goes to the rest in that order.
     """
-    got = rows.where(F.col("text").isNotNull()).withColumns({"_len": F.octet_length("text"), "_hash": F.xxhash64("doc_id")})
-    got = got.select("doc_id", "text", "label", "_len", "_hash").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
-    texts, labels = got["text"].to_pylist(), got["label"].to_pylist()
-    sizes, hashes = got["_len"].to_pylist(), got["_hash"].to_pylist()
+    texts_hash = F.xxhash64("text").alias("text_hash")
+    known = drawn.where(F.col("text").isNotNull()).select("doc_id", "label", texts_hash, F.octet_length("text").alias("size"), F.xxhash64("doc_id").alias("hash")).distinct().toArrow()
+    known = known.sort_by([("doc_id", "ascending"), ("label", "ascending"), ("text_hash", "ascending")])
+    ids, labels, texts, sizes, hashes = (known[c].to_pylist() for c in ("doc_id", "label", "text_hash", "size", "hash"))
     first = sorted({t: i for i, t in reversed(list(enumerate(texts)))}.values(), key=lambda i: (hashes[i], i))
     kept, size, by_label = set(), 0, {}
     part = MAX_BYTES // max(1, len(set(labels)))
@@ -55,7 +56,15 @@ def _collected(rows: DataFrame) -> tuple[pa.Array, list]:
             size += sizes[i]
             kept.add(i)
     at = sorted(kept)
-    return pa.array([texts[i] for i in at], pa.string()), [labels[i] for i in at]
+    if not at:
+        return pa.array([], pa.string()), []
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    wanted = docs.sparkSession.createDataFrame([(ids[i], texts[i]) for i in at], f"doc_id {id_type}, text_hash long")
+    # copies of a kept row come once
+    found = docs.select("doc_id", "text", texts_hash).join(F.broadcast(wanted), ["doc_id", "text_hash"]).select("text_hash", "text").distinct().toArrow()
+    by_hash = dict(zip(found["text_hash"].to_pylist(), range(len(found)), strict=True))
+    at = [i for i in at if texts[i] in by_hash]
+    return found["text"].combine_chunks().take(pa.array([by_hash[texts[i]] for i in at], pa.int64())), [labels[i] for i in at]
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, shares: dict | None = None, max_rows: int = MAX_ROWS) -> tuple[pa.Array, list]:
@@ -65,13 +74,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, shares: dict
     """
     known = labels.select("doc_id", F.col(label).alias("label")).where(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     ids = _drawn(known, "label", shares, max_rows).groupBy("doc_id").agg(F.min("label").alias("label"))
-    return _collected(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id"))
+    return _collected(docs, docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id"))
 
 
 def column_sample(docs: DataFrame, label: str, max_rows: int = MAX_ROWS) -> tuple[pa.Array, list]:
     """As labelled_sample, for a label that is a column of documents itself."""
     known = docs.select("doc_id", "text", F.col(label).alias("label")).where(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    return _collected(_drawn(known, "label", None, max_rows))
+    return _collected(docs, _drawn(known, "label", None, max_rows))
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

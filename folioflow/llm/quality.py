@@ -2,7 +2,7 @@
 
 A document is a bag of passages of ``PASSAGE`` words. Each passage is described by the make-up of its
 bytes and words and encoded by one layer; gated attention weighs the encodings, and the weighted sum
-is scored. Only documents carry labels; which passages matter is learned.
+is scored. Only documents carry labels; which passages matter is learned, from all passages of the sampled texts.
 """
 
 from __future__ import annotations
@@ -15,11 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioflow.llm.common import ship
 from folioflow.llm.kernels import LOWER, NOT_SPACE, buffers, chunks, release, span_hash, spans
 from folioflow.llm.learn import MAX_ROWS, held_out, labelled_sample, sigmoid
 
 PASSAGE, HIDDEN, GATE = 48, 24, 12
 HASHED = 16
+#: Passages of a training batch.
+AT_ONCE = 8192
 #: Of the sample, good and bad.
 SHARES = {1: 0.6, 0: 0.4}
 
@@ -121,13 +124,15 @@ def train(texts: pa.Array, labels: list[int], prior: float, epochs: int = 60, ba
     m, v, step = {k: 0 * a for k, a in p.items()}, {k: 0 * a for k, a in p.items()}, 0
     for epoch in range(epochs):
         rng.shuffle(rows)
-        for i in range(0, len(rows), batch):
-            some = rows[i : i + batch]
-            # a bag of very many passages is trained on a contiguous part of it, drawn anew each time
-            first = poff[some] + (rng.random(len(some)) * np.maximum(1, counts[some] - 63)).astype(np.int64)
-            size = np.minimum(counts[some], 64)
-            part = np.concatenate([np.arange(a, a + n) for a, n in zip(first, size, strict=True)])
+        upto = np.cumsum(counts[rows])
+        i = 0
+        while i < len(rows):
+            # whole bags, all their passages; a bag of more than AT_ONCE passages is a batch of its own
+            j = max(i + 1, min(i + batch, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + AT_ONCE, "right"))))
+            some, i = rows[i:j], j
+            size = counts[some]
             off = np.concatenate([[0], np.cumsum(size)])
+            part = np.repeat(poff[some] - off[:-1], size) + np.arange(int(off[-1]))
             xb = x[part]
             f = model.forward(xb, off)
             bag = f["bag"]
@@ -167,6 +172,7 @@ def assess(docs: DataFrame, labels: DataFrame, cut: float = 0.3, max_rows: int =
     The score depends on the text alone; null and empty texts and texts without words score the share of
     good labels.
     """
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, max_rows))
     release()
 

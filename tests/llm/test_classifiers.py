@@ -125,3 +125,111 @@ def test_every_label_is_drawn(spark, monkeypatch):
     late = spark.createDataFrame([(i, f"text {i} " + "x" * 50, "high" if i >= 3500 else "low") for i in range(4000)], "doc_id long, text string, lang string")
     texts, labels = learn.column_sample(late, "lang", 4000)
     assert set(labels) == {"low", "high"} and sum(len(t) for t in texts.to_pylist()) <= 20_000
+
+
+def test_a_hundred_languages(spark):
+    """Each language has letters of its own; one of them has nine tenths of all rows."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(6000):
+        k = 0 if rng.random() < 0.9 else rng.randrange(100)
+        letters = [chr(97 + k % 26) + chr(97 + k // 26), chr(97 + k // 26) + "z" + chr(97 + k % 26)]
+        rows.append((i, " ".join("".join(rng.choice(letters) for _ in range(3)) for _ in range(30)), f"l{k:02d}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    _, labels = learn.column_sample(docs, "lang", 6000)
+    assert set(labels) == {r[2] for r in rows if learn_fold(r[0])}
+    got = {r.doc_id: r.lang_pred for r in langid.identify(docs).where("held_out").collect()}
+    rare = [(d, lang) for d, _, lang in rows if d in got and lang != "l00"]
+    assert len(rare) > 80 and np.mean([got[d] == lang for d, lang in rare]) > 0.8
+
+
+def learn_fold(doc_id):
+    import zlib
+
+    return zlib.crc32(str(doc_id).encode()) % 5 != 0
+
+
+def test_all_passages_of_a_long_text_are_learned_from(monkeypatch):
+    rng = random.Random(3)
+    texts = [text(rng, "aa", quality.PASSAGE * n) for n in (5000, 1, 7, 9000, 3, 40)]
+    texts.append("")
+    seen, forward = [], quality.Model.forward
+
+    def counted(self, x, poff):
+        seen.append((len(x), len(poff) - 1))
+        return forward(self, x, poff)
+
+    monkeypatch.setattr(quality.Model, "forward", counted)
+    quality.train(pa.array(texts), [1, 0, 1, 0, 1, 0, 1], 0.5, epochs=3)
+    assert sum(n for n, _ in seen) == 3 * 14051 and sum(k for _, k in seen) == 3 * 6
+    assert all(n <= quality.AT_ONCE or k == 1 for n, k in seen)
+
+
+def convolved(net, words_of):
+    """The logits by the definition: every filter at every place of a text, the greatest response of each."""
+    out = []
+    for ids in words_of:
+        if not ids.shape[1]:
+            out.append(net.empty)
+            continue
+        e = sum(net.embed[c][ids[c]].astype(float) for c in range(3))
+        z, tap = float(net.base), 0
+        for k, width in enumerate(toxicity.WIDTHS):
+            for lane in range(toxicity.FILTERS):
+                columns = [(tap + j) * toxicity.FILTERS + lane for j in range(width)]
+                places = [sum(e[i + j] @ net.filters[:, c].astype(float) for j, c in enumerate(columns)) for i in range(len(e) - width + 1)]
+                f = k * toxicity.FILTERS + lane
+                z += max(max(places, default=-np.inf) + float(net.bias[f]), 0) * float(net.out[f])
+            tap += width
+        out.append(z)
+    return np.array(out)
+
+
+def test_toxicity_equals_brute_force(spark, tables):
+    docs, labels = tables
+    net, language, cuts = toxicity.fitted(docs, labels)
+    rows = [r for r in toxicity.classify(docs, labels).collect() if r.doc_id is None or r.doc_id != 9003][::7]
+    texts = [r.text or "" for r in rows]
+    ids = [toxicity.word_ids(*buffers(pa.array([t])))[0] for t in texts]
+    want = learn.sigmoid(convolved(net, ids))
+    assert np.allclose([r.score for r in rows], want, atol=1e-4)
+    assert all(r.predicted == int(w >= 0.5) for r, w in zip(rows, want, strict=True) if abs(w - 0.5) > 1e-3)
+    assert all(r.flagged == (r.score >= cuts.get(r.lang_told, 0.5)) for r in rows)
+
+
+def test_quality_equals_brute_force(spark, tables):
+    docs, labels = tables
+    m = quality.fitted(docs, labels)
+    rows = [r for r in quality.assess(docs, labels).join(docs.select("doc_id", "text"), "doc_id").collect() if r.doc_id != 9003][::5]
+    for r in rows:
+        x, _ = quality.passages(*buffers(pa.array([r.text or ""])))
+        if not len(x):
+            want = m.empty
+        else:
+            h = [np.tanh(row @ m.p["W"] + m.p["b"]) for row in (x - m.mean) / m.scale]
+            a = np.array([(np.tanh(v @ m.p["V"]) / (1 + np.exp(-(v @ m.p["U"])))) @ m.p["w"] for v in h], float)
+            a = np.exp(a) / np.exp(a).sum()
+            want = 1 / (1 + np.exp(-(sum(w * v for w, v in zip(a, h, strict=True)) @ m.p["c"] + m.p["d"][0])))
+        assert abs(r.score - want) < 1e-4 and (r.predicted == int(want >= 0.3) or abs(want - 0.3) < 1e-3)
+    assert len(rows) > 100
+
+
+def test_language_equals_brute_force(spark, tables):
+    docs, _ = tables
+    m = langid.train(*learn.column_sample(docs, "lang"))
+    rows = [r for r in langid.identify(docs).join(docs.select("doc_id", "text"), "doc_id").collect() if r.doc_id < 9000][::5]
+    for r in rows:
+        sums, size = np.zeros(len(m.langs)), 0
+        for bucket in langid.subwords(*buffers(pa.array([r.text]))).ravel().tolist():
+            if bucket:
+                sums, size = sums + m.logits[bucket].astype(float), size + 1
+        z = np.exp((sums / max(1, size) + m.bias) / m.temperature)
+        assert r.lang_pred == m.langs[int(z.argmax())] and abs(r.score - z.max() / z.sum()) < 1e-4 and r.accepted == (r.score >= m.reject)
+
+
+def test_clashing_columns(spark, tables):
+    docs, labels = tables
+    extra = docs.select("*", *(F.lit("x").alias(c) for c in ("held_out", "score", "predicted", "label", "text_hash", "size", "letters")))
+    for run in (lambda d: toxicity.classify(d, labels).select("doc_id", "score"), lambda d: quality.assess(d, labels).select("doc_id", "score"), lambda d: langid.identify(d).select("doc_id", "score")):
+        one, two = ({(r.doc_id, round(r.score, 9)) for r in run(d).collect()} for d in (docs, extra))
+        assert one == two

@@ -60,3 +60,26 @@ def test_frame(spark):
     assert got[1][1:] == got[2][1:] and got[3][1:] == got[4][1:] and bytes(got[1].payload) == b"abc" + bytes(61)
     assert got[None].n_bytes == 100_000 and ogg.decode(bytes(got[None].media))[0] == bytes(got[None].payload)
     assert ogg.media_column(spark.createDataFrame([], "doc_id long, text string, media binary")).count() == 0
+
+
+def test_query_columns(spark, tmp_path):
+    """The query's columns against hashlib and zlib, for odd texts too."""
+    import hashlib
+    import zlib
+
+    from folioflow.llm.queries import op9_ogg_media
+
+    texts = [None, "", "a", "x" * 63, "y" * 64, "z" * 65, "é" * 100, "long " * 200_000, "a", "  \n"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = {r.doc_id: r for r in op9_ogg_media(spark, str(tmp_path)).collect()}
+    assert len(rows) == len(texts)
+    for i, t in enumerate(texts):
+        raw = (t or "").encode()
+        payload = raw + bytes(-len(raw) % 64 if raw else 64)
+        r = rows[i]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        media = ogg.encode(payload)
+        assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest()) and ogg.decode(media)[0] == payload
+        x = [b - 128 for b in payload]
+        assert f"mean={sum(x) * 1000 // len(x)};ms2={sum(v * v for v in x) // len(x)};zc={sum((p < 0) != (q < 0) for p, q in zip(x, x[1:]))}" in r.feature
+    assert rows[2][1:] == rows[8][1:] and rows[0][1:] == rows[1][1:]
