@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioflow.llm.common import Scratch, aside, dropped, ship, table
+from folioflow.llm.common import Scratch, aside, dropped, ship, table, tidied
 from folioflow.llm.decontam import decontaminate
 from folioflow.llm.jaccard import one_of_each
 from folioflow.llm.packing import pack_documents
@@ -65,4 +65,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if last is not None:
             dropped(last)
         last = docs
+        tidied(spark)  # of the stage just ended
     return docs
