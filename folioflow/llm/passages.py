@@ -3,9 +3,9 @@
 Under one hash function, the Cartesian tree over the hashes of a text's tokens parts all its
 subsequences of at least t tokens into compact windows, one for each tree node that spans t tokens: all
 subsequences in a window have the node's token as their least. Texts that post the same least token are
-brought together. Tokens are runs of 13 words, and windows span 13 runs: two texts with 25 words in common meet under
+brought together. Tokens are runs of ``RUN`` words, and windows span ``SPAN`` runs, 25 words: two texts with 25 words in common meet under
 every one of the ``HASHES`` functions, on windows that hold these words in both texts. So an interval join
-of the windows asks for functions that meet on windows which overlap by 13 runs in both texts, and loses no such pair.
+of the windows asks for functions that meet on windows which overlap by ``SPAN`` runs in both texts, and loses no such pair.
 That is complete for near copies too: each place where two passages differ
 costs nine of both sides' shingles at least, of which a ninth may differ, so k such places take 81 k shingles or more
 and leave, in k + 1 stretches, one of 21 shingles, which is 25 words (texts that repeat their own shingles aside).
@@ -32,9 +32,9 @@ from folioflow.llm.kernels import NOT_SPACE, buffers, chunks, mix, release, shin
 from folioflow.llm.loads import Tally, bucket, bucket_loads, common_from
 
 LEAST_WORDS, SHINGLE, PERCENT = 50, 5, 80
-#: A passage at ``PERCENT`` holds an exact run of so many words, and any such run a posted gram of so many. See above.
+#: A passage at ``PERCENT`` holds an exact stretch of so many words, and any such stretch a posted run of so many. See above.
 WHOLE = LEAST_WORDS // 2
-RUN = (WHOLE + 1) // 2
+RUN = 10
 SPAN = WHOLE - RUN + 1
 #: Functions, which all must meet.
 HASHES = 2
