@@ -38,11 +38,14 @@ def required(ddl: str, *optional: str) -> StructType:
 
 #: Texts that go to a Python worker at once. Small, since the JVM, Arrow and the worker each hold a copy.
 BATCH_BYTES, BATCH_ROWS = 4 << 20, 2000
+#: Rows that a scan decodes at once: a whole column of texts lies in one array of the JVM.
+SCAN_ROWS = 512
 
 
 def ship(spark: SparkSession) -> None:
-    """Gives executors this package, and bounds the batches that their Python workers get."""
+    """Gives executors this package, and bounds the batches that scans make of texts and that Python workers get."""
     session.ship(spark)
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(SCAN_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 

@@ -8,15 +8,15 @@ batches at once, so that it reads only stretches in which a window can lie.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import aside, written
-from folioflow.llm.kernels import ALNUM, LOWER, buffers, chunks, release, shingles, span_hash, spans
+from folioflow.llm.common import aside, dropped, ship, written
+from folioflow.llm.kernels import ALNUM, LOWER, buffers, chunks, shingles, span_hash, spans
 
 WINDOW = 10
 #: Words of items in one automaton; the items of a larger benchmark are dealt to several, read one after the other.
@@ -133,37 +133,40 @@ def _item_words(texts: list[str]) -> list[np.ndarray]:
     return [wh[a:b] for a, b in zip(woff[:-1], woff[1:], strict=True)]
 
 
-def _automata(benchmark: DataFrame, window: int, max_words: int) -> Iterator[Automaton]:
+def _automata(benchmark: DataFrame, window: int, max_words: int) -> Iterator[tuple[Automaton, bool]]:
+    """An automaton of each part of the items, and whether it is the last. Parts are told by a hash, so that each has about ``max_words`` words whatever the table has."""
     rough = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = 1 + int(rough) // (4 * max_words)
     for k in range(parts):
-        rows = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).select("item_id", "text").dropDuplicates().collect()
+        rows = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).select(F.col("item_id").cast("string").alias("item_id"), "text").dropDuplicates().collect()
         texts = _item_words([r.text or "" for r in rows])
-        yield Automaton([(r.item_id, w) for r, w in zip(rows, texts, strict=True)], window)
+        yield Automaton([(r.item_id, w) for r, w in zip(rows, texts, strict=True)], window), k == parts - 1
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_words: int = MAX_WORDS) -> DataFrame:
-    """Documents, with all their columns, and ``n_words`` long, ``hits`` array of (start, end) word spans, ``items`` array of item ids.
+def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_words: int = MAX_WORDS, then: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None) -> DataFrame:
+    """Documents, with all their columns, and ``n_words`` long, ``hits`` array of (start, end) word spans, ``items`` array of item ids, as strings.
 
     Words are runs of letters and digits, A-Z in lower case, other scripts as they are. Null and empty
     texts have no words; an item without words has no windows; an item without an id marks words but
-    is not listed. Columns of docs with these names are replaced.
+    is not listed. Columns of docs with these names are replaced. ``then`` is applied to each batch after the last automaton, in the same
+    task, so that a text goes to one Python worker only.
     """
     docs = docs.drop("n_words", "hits", "items")
     spark = docs.sparkSession
-    out = docs.withColumns({"n_words": F.lit(0).cast("long"), "hits": F.expr("cast(array() as array<struct<start:int,end:int>>)"), "items": F.expr("cast(array() as array<long>)")})
+    ship(spark)
+    out = docs.withColumns({"n_words": F.lit(0).cast("long"), "hits": F.expr("cast(array() as array<struct<start:int,end:int>>)"), "items": F.expr("cast(array() as array<string>)")})
     kept = out.schema
     hit_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-    for k, automaton in enumerate(_automata(benchmark, window, max_words)):
+    stored = None
+    for k, (automaton, last) in enumerate(_automata(benchmark, window, max_words)):
         shared = spark.sparkContext.broadcast(automaton)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, finish=then if last else None) -> Iterator[pa.RecordBatch]:
             sam = shared.value
             for batch, data, off in chunks(batches, "text"):
                 data = LOWER[data]
                 starts, ends, woff = spans(data, off, ALNUM)
                 wh = span_hash(data, starts, ends)
-                n = batch.num_rows
                 names = batch.schema.names
                 hits, items = batch.column(names.index("hits")).to_pylist(), batch.column(names.index("items")).to_pylist()
                 for text, a, b in sam.stretches(shingles(wh, sam.gram), woff):
@@ -171,13 +174,16 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_words:
                         at = a - int(woff[text])
                         hits[text].append({"start": at + first, "end": at + end})
                         items[text] += found
-                columns = {"n_words": pa.array(np.diff(woff), pa.int64()), "hits": pa.array([_merged(h) if len(h) > 1 else h for h in hits], hit_type), "items": pa.array([sorted(set(i) - {None}) for i in items], pa.list_(pa.int64()))}
-                yield pa.RecordBatch.from_arrays([columns.get(c, batch.column(i)) for i, c in enumerate(names)], names=names)
-                assert n == len(hits)
+                columns = {"n_words": pa.array(np.diff(woff), pa.int64()), "hits": pa.array([_merged(h) if len(h) > 1 else h for h in hits], hit_type), "items": pa.array([sorted(set(i) - {None}) for i in items], pa.list_(pa.string()))}
+                told = pa.RecordBatch.from_arrays([columns.get(c, batch.column(i)) for i, c in enumerate(names)], names=names)
+                yield finish(told) if finish else told
 
         out = out.mapInArrow(run, kept)
-        if k % 4 == 3:
+        if k % 4 == 3 and not last:
             out = written(out, "decontamination")
+            if stored is not None:
+                dropped(stored)
+            stored = out
     return out
 
 
@@ -195,7 +201,7 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Per document: n_words, n_hit, n_items, items_sha256 and contaminated."""
     found = scan(docs.select("doc_id", "text"), benchmark)
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, h: n + h["end"] - h["start"])
-    ids = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
+    ids = F.array_join(F.array_sort("items"), ",")
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(ids.cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
@@ -205,31 +211,27 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, max_coverage: float = 0
     Clean rows are kept as they are. Where a span is cut, n_chars (if the column is there) is counted anew.
     """
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names = batch.schema.names
-            at = names.index("text")
-            hits = batch.column(names.index("hits")).to_pylist()
-            if any(hits):
-                texts = batch.column(at).to_pylist()
-                for i, h in enumerate(hits):
-                    if h:
-                        raw = (texts[i] or "").encode()
-                        starts, ends, _ = spans(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), ALNUM)
-                        parts, last = [], 0
-                        for x in h:
-                            parts.append(raw[last : starts[x["start"]]])
-                            last = ends[x["end"] - 1]
-                        texts[i] = (b"".join(parts) + raw[last:]).decode()
-                batch = batch.set_column(at, names[at], pa.array(texts, pa.string()))
-            yield batch
-        release()
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        names = batch.schema.names
+        hits = batch.column(names.index("hits")).to_pylist()
+        if not any(hits):
+            return batch
+        at, words = names.index("text"), batch.column(names.index("n_words")).to_pylist()
+        texts, keep = batch.column(at).to_pylist(), np.ones(len(hits), bool)
+        for i, h in enumerate(hits):
+            if h:
+                keep[i] = sum(x["end"] - x["start"] for x in h) <= max_coverage * words[i]
+                raw = (texts[i] or "").encode()
+                starts, ends, _ = spans(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), ALNUM)
+                parts, last = [], 0
+                for x in h:
+                    parts.append(raw[last : starts[x["start"]]])
+                    last = ends[x["end"] - 1]
+                texts[i] = (b"".join(parts) + raw[last:]).decode()
+        return batch.set_column(at, names[at], pa.array(texts, pa.string())).filter(pa.array(keep))
 
     docs, back = aside(docs, ("n_words", "hits", "items"))
-    found = scan(docs, benchmark)
-    covered = F.aggregate("hits", F.lit(0).cast("long"), lambda n, h: n + h["end"] - h["start"])
-    found = found.where(covered <= max_coverage * F.col("n_words"))
-    found = found.mapInArrow(cut, found.schema)
+    found = scan(docs, benchmark, then=cut)
     if "n_chars" in docs.columns:
         found = found.withColumn("n_chars", F.when(F.size("hits") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return back(found)

@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioflow.llm.common import tidied
+
 #: Rows of a training sample at most (about; they are drawn by a hash of doc_id). The documented bound of every classifier here.
 MAX_ROWS = 8000
 #: Bytes of text that are collected for training at most; documents beyond are left out, never cut.
@@ -64,6 +66,7 @@ def _collected(docs: DataFrame, drawn: DataFrame) -> tuple[pa.Array, list]:
     found = docs.select("doc_id", "text", texts_hash).join(F.broadcast(wanted), ["doc_id", "text_hash"]).select("text_hash", "text").distinct().toArrow()
     by_hash = dict(zip(found["text_hash"].to_pylist(), range(len(found)), strict=True))
     at = [i for i in at if texts[i] in by_hash]
+    tidied(docs.sparkSession)  # of what was sent here, before training takes memory
     return found["text"].combine_chunks().take(pa.array([by_hash[texts[i]] for i in at], pa.int64())), [labels[i] for i in at]
 
 
