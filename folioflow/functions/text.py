@@ -87,6 +87,11 @@ def substitutions(c: Column | str, rules: list[RegexRule]) -> Column:
     return F.create_map(*counts)
 
 
+def normalize_newlines(c: Column | str) -> Column:
+    """Line ends of other systems as plain ones."""
+    return F.regexp_replace(_c(c), r"\r\n?", "\n")
+
+
 def compress_newlines(c: Column | str) -> Column:
     return F.regexp_replace(_c(c), "\n{3,}", "\n\n")
 

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = "struct<type:string,text:string,level:int,ordered:boolean,items:array<string>,headers:array<string>,rows:array<array<string>>,language:string,citations:array<struct<offset:int,source_id:string>>>"
+FIELDS = ("type", "text", "level", "ordered", "items", "headers", "rows", "language", "citations")
 _HEADING, _DIVIDER, _ROW = re.compile(r"(#{1,6})\s+(.+)"), re.compile(r"---+"), re.compile(r"\|(.+)\|\s*")
 _BULLET, _NUMBER, _FENCE, _QUOTE = re.compile(r"[-*]\s+(.+)"), re.compile(r"(\d+)\.\s+(.+)"), re.compile(r"```\s*(\S*)\s*"), re.compile(r">\s?(.*)")
 _CITATION = re.compile(r"\[(\d+)\]")
@@ -55,78 +57,60 @@ def inject_citations(text: str, source_ids: list[str]) -> tuple[str, list[dict]]
     return "".join(out) + text[at:], found
 
 
+#: What a line of markdown may be, in the order in which it is tried.
+_KINDS = (("heading", _HEADING), ("divider", _DIVIDER), ("row", _ROW), ("bullet", _BULLET), ("number", _NUMBER), ("quote", _QUOTE))
+#: Kinds of which lines that follow each other make one block.
+_TOGETHER = frozenset(("row", "bullet", "number", "code"))
+
+
+def _lines_told(text: str, code: bool, tables: bool) -> Iterator[tuple[str, int, object]]:
+    """Each line's kind, the number of the block that it is part of, and what it says."""
+    kinds = [(k, p) for k, p in _KINDS if (tables or k != "row") and (code or k != "quote")]
+    n, before, fenced = 0, "", False
+    for line in text.split("\n"):
+        fence = _FENCE.fullmatch(line.strip()) if code and not fenced else None
+        if fenced and line.strip().startswith("```"):
+            kind, said, fenced = "end", None, False
+        elif fenced:
+            kind, said = "code", line
+        elif fence:
+            kind, said, fenced = "code", fence, True
+        else:
+            kind, said = next(((k, m) for k, p in kinds if (m := p.fullmatch(line))), ("text", line.strip()))
+        n += kind != before or kind not in _TOGETHER
+        before = kind
+        yield kind, n, said
+
+
+def _block(kind: str, said: list, source_ids: list[str]) -> dict:
+    """The fields of a block that these lines make."""
+    if kind == "heading":
+        return {"type": kind, "level": min(len(said[0][1]), 4), "text": said[0][2].strip()}
+    if kind == "row":
+        cells = [[c.strip() for c in m[1].split("|")] for m in said]
+        if len(cells) > 1:
+            return {"type": "table", "headers": cells[0], "rows": cells[2:]}
+        kind, said = "text", [" | ".join(cells[0])]
+    if kind in ("bullet", "number"):
+        return {"type": "list", "ordered": kind == "number", "items": [m[m.lastindex].strip() for m in said]}
+    if kind == "code":
+        return {"type": kind, "language": said[0][1], "text": "\n".join(said[1:])}
+    if kind == "quote":
+        return {"type": kind, "text": said[0][1].strip()}
+    if kind == "divider":
+        return {"type": kind}
+    clean, cites = inject_citations(said[0], source_ids)
+    return {"type": "paragraph", "text": clean, "citations": cites}
+
+
 def parse_blocks(text: str, source_ids: list[str], code: bool = False, tables: bool = True) -> list[dict]:
     """Markdown as typed blocks; with ``code`` fences and quotes are blocks too.
 
     A table's second row is taken for its rule. A single row is a paragraph of its cells.
     """
-    out: list[dict] = []
-    items: list[str] = []
-    rows: list[list[str]] = []
-    fence: list[str] | None = None
-    ordered, language = False, ""
-
-    def block(kind: str, **kw: object) -> None:
-        out.append({"type": kind, "text": None, "level": None, "ordered": None, "items": None, "headers": None, "rows": None, "language": None, "citations": None} | kw)
-
-    def paragraph(t: str) -> None:
-        clean, cites = inject_citations(t, source_ids)
-        block("paragraph", text=clean, citations=cites)
-
-    def end_list() -> None:
-        if items:
-            block("list", ordered=ordered, items=[*items])
-            items.clear()
-
-    def end_table() -> None:
-        if len(rows) >= 2:
-            block("table", headers=rows[0], rows=rows[2:])
-        elif rows:
-            paragraph(" | ".join(rows[0]))
-        rows.clear()
-
-    for line in text.split("\n"):
-        if fence is not None:
-            if line.strip().startswith("```"):
-                block("code", text="\n".join(fence), language=language)
-                fence = None
-            else:
-                fence.append(line)
-            continue
-        if code and (m := _FENCE.fullmatch(line.strip())):
-            end_list()
-            end_table()
-            fence, language = [], m[1]
-        elif m := _HEADING.fullmatch(line):
-            end_list()
-            end_table()
-            block("heading", level=min(len(m[1]), 4), text=m[2].strip())
-        elif _DIVIDER.fullmatch(line):
-            end_list()
-            end_table()
-            block("divider")
-        elif tables and (m := _ROW.fullmatch(line)):
-            end_list()
-            rows.append([x.strip() for x in m[1].split("|")])
-        else:
-            end_table()
-            bullet, number = _BULLET.fullmatch(line), _NUMBER.fullmatch(line)
-            if bullet or number:
-                if items and ordered != bool(number and not bullet):
-                    end_list()
-                ordered = not bullet
-                items.append((bullet[1] if bullet else number[2]).strip())
-                continue
-            end_list()
-            if code and (m := _QUOTE.fullmatch(line)):
-                block("quote", text=m[1].strip())
-            elif line.strip():
-                paragraph(line.strip())
-    if fence is not None:
-        block("code", text="\n".join(fence), language=language)
-    end_list()
-    end_table()
-    return out
+    runs = groupby(_lines_told(text, code, tables), key=lambda x: x[:2])
+    told = [(kind, [said for _, _, said in run]) for (kind, _), run in runs if kind != "end"]
+    return [dict.fromkeys(FIELDS) | _block(kind, said, source_ids) for kind, said in told if said != [""]]
 
 
 def blocks(answers: DataFrame, text: str = "text", sources: str | None = None, code: bool = False) -> DataFrame:

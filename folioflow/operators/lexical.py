@@ -39,7 +39,7 @@ def bm25(posted: DataFrame, lengths: DataFrame, queries: DataFrame, k: int, allo
     """(query_id, id, score, rank): the k best documents of each query, ties by id.
 
     ``queries`` is (query_id, token, times). The documents are ``lengths``, so statistics count those without a token.
-    ``allowed`` (query_id, id) restricts results after scoring, so statistics stay those of all documents.
+    ``allowed`` (id, or query_id and id) restricts results after scoring, so statistics stay those of all documents.
     Queries are a stated set, so their terms go to the postings, and only matching postings are shuffled.
     """
     n, avgdl = lengths.agg(F.count(F.lit(1)), F.avg("dl")).first()
@@ -50,7 +50,7 @@ def bm25(posted: DataFrame, lengths: DataFrame, queries: DataFrame, k: int, allo
     met = posted.join(asked, "token", "left_semi").join(F.broadcast(queries), "token").join(F.broadcast(idf), "token").join(lengths, id_col)
     scored = met.groupBy("query_id", id_col).agg(F.round(F.sum(part), 6).alias("score"))
     if allowed is not None:
-        scored = scored.join(allowed, ["query_id", id_col], "left_semi")
+        scored = scored.join(allowed, [c for c in ("query_id", id_col) if c in allowed.columns], "left_semi")
     return top(scored, "query_id", "score", id_col, k)
 
 

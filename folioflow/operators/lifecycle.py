@@ -66,6 +66,16 @@ def replace_partition(rows: DataFrame, path: str, key: str = "paper_id") -> None
 
 def overlay(updates: DataFrame, key: str, order: str) -> DataFrame:
     """Per key the last value of every column that is not null."""
-    by = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rest = [c for c in updates.columns if c not in (key, order)]
-    return updates.select(key, *[F.last(c, ignorenulls=True).over(by).alias(c) for c in rest]).distinct()
+    return updates.groupBy(key).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in rest])
+
+
+def renamed_session(sessions: DataFrame, session_id: str, title: str, now: Column) -> DataFrame:
+    """Sessions with the one's title and time of change; a blank title changes nothing."""
+    hit = (F.col("session_id") == session_id) & F.lit(bool(title.strip()))
+    return sessions.withColumns({"title": F.when(hit, F.lit(title.strip())).otherwise(F.col("title")), "updated_at": F.when(hit, now).otherwise(F.col("updated_at"))})
+
+
+def without_sessions(gone: DataFrame, *tables: DataFrame, key: str = "session_id") -> list[DataFrame]:
+    """Each of the tables (sessions, messages, whatever hangs on them) without the rows of sessions that are gone."""
+    return [t.join(gone.select(key).distinct(), key, "left_anti") for t in tables]

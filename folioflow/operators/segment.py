@@ -67,9 +67,10 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 def _built(per_doc: DataFrame, id_col: str) -> DataFrame:
     last = F.size("items") - 1
     ends = F.array_sort(F.array_union(F.filter("cuts", lambda c: c < last), F.array(last)))
-    out = per_doc.select(id_col, "items", F.posexplode(ends).alias("chunk_index", "to"), ends.alias("_ends"))
-    start = F.when(F.col("chunk_index") == 0, 0).otherwise(F.element_at("_ends", F.col("chunk_index")) + 1)
-    out = out.withColumn("part", F.slice("items", start + 1, F.col("to") - start + 1)).where(F.size("part") > 0)
+    # the parts are cut before they become rows, so that no row carries its whole document
+    starts = F.concat(F.array(F.lit(0)), F.transform(F.slice(ends, 1, F.size(ends) - 1), lambda e: e + 1))
+    parts = F.zip_with(starts, ends, lambda a, b: F.slice("items", a + 1, b - a + 1))
+    out = per_doc.select(id_col, F.posexplode(parts).alias("chunk_index", "part")).where(F.size("part") > 0)
     head = F.get(F.filter("part", lambda x: x["is_heading"]), F.lit(0))
     content = F.array_join(F.transform("part", lambda x: x["sentence"]), "\n")
     title = F.regexp_replace(head["sentence"], r"(?U)\A#+\s*", "")
@@ -128,6 +129,26 @@ def embedding_boundaries(vectors: DataFrame, group: str, order: str, similarity:
     return rows.withColumn("fall", F.when(F.col("place") > 0, fall).otherwise(F.lit(0.0))).withColumn("is_boundary", F.col("fall") > drop)
 
 
+def natural_boundaries(rows: DataFrame, group: str, order: str, sentence: str = "sentence", boundary: str = "is_boundary", heading: str = "is_heading", back: int = 3) -> DataFrame:
+    """(group, place), once each: where chunks of the group end. A boundary moves back to the nearest of ``back`` sentences that ends as one does, itself included and the first of all left out, or stays; every heading is one too."""
+    by = Window.partitionBy(group).orderBy(order)
+    rows = rows.withColumn("place", F.row_number().over(by) - 1)
+    ends = (F.col("place") > 0) & F.col(sentence).rlike(r"[。！？.!?]\s*\z")
+    near = F.last(F.when(ends, F.col("place")), ignorenulls=True).over(by.rowsBetween(1 - back, 0))
+    places = F.array_compact(F.array(F.when(F.col(boundary), F.coalesce(near, F.col("place"))), F.when(F.col(heading), F.col("place"))))
+    return rows.withColumn("_near", places).select(group, F.explode("_near").alias("place")).distinct()
+
+
+#: Kinds of a parsed page's blocks, and what they are in chunks.
+BLOCK_TYPES = {"text": "paragraph", "title": "heading", "table": "table", "equation": "formula", "image": "figure"}
+
+
+def block_type(kind: Column | str, default: str = "paragraph") -> Column:
+    """What a parsed block is in a chunk."""
+    table = F.create_map(*(F.lit(x) for pair in BLOCK_TYPES.items() for x in pair))
+    return F.coalesce(F.element_at(table, F.col(kind) if isinstance(kind, str) else kind), F.lit(default))
+
+
 def normalize_headings(lines: DataFrame, group: str, order: str, level: str) -> DataFrame:
     """Adds ``new_level`` to heading rows: at most one more than the heading before it, as a running minimum in closed form."""
     by = Window.partitionBy(group).orderBy(order)
@@ -156,11 +177,16 @@ def block_offsets(blocks: DataFrame, group: str, order: str, text: str = "text")
 
 
 def anchor_blocks(anchors: DataFrame, blocks: DataFrame, group: str, order: str) -> DataFrame:
-    """Each anchor with the first block of its document that holds its ``char_start``; an equi-join on the document with a range."""
-    b = blocks.select(F.col(group), F.col(order).alias("_order"), F.col("start").alias("_start"), F.col("end").alias("_end"))
-    met = anchors.join(b, group, "left").where(F.col("_start").isNull() | ((F.col("_start") <= F.col("char_start")) & (F.col("char_start") < F.col("_end"))))
-    found = met.groupBy(*anchors.columns).agg(F.min("_order").alias("block_order"))
-    return anchors.join(found, anchors.columns, "left")
+    """Each anchor with the first block of its document that holds its ``char_start``.
+
+    Blocks that are laid end to end do not overlap, so the last one that starts at or before the anchor is the only one that can hold it: anchors
+    and blocks go through one sorted pass over the document, and no pairs are made. Empty blocks hold nothing.
+    """
+    b = blocks.where(F.col("end") > F.col("start")).select(group, F.col("start").alias("_at"), F.struct(F.col(order).alias("order"), "end").alias("_block"))
+    rows = anchors.withColumns({"_at": F.col("char_start"), "_anchor": F.lit(True)}).unionByName(b, allowMissingColumns=True)
+    held = F.last("_block", ignorenulls=True).over(Window.partitionBy(group).orderBy("_at"))  # blocks that start at the same place too
+    found = rows.withColumn("_held", held).where("_anchor")
+    return found.select(*anchors.columns, F.when(F.col("char_start") < F.col("_held.end"), F.col("_held.order")).alias("block_order"))
 
 
 def nearest_anchor(visuals: DataFrame, anchors: DataFrame, group: str) -> DataFrame:

@@ -48,12 +48,12 @@ def bm25_topk(t: Tables) -> DataFrame:
 
 @query(f"WITH {BM25_SQL} {TOP('(SELECT * FROM scored WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang = chr(101) || chr(110)))', 'score DESC, doc_id')}")
 def bm25_filtered(t: Tables) -> DataFrame:
-    posted, lengths, queries = bm25_index(t)
-    scored = lexical.bm25(posted, lengths, queries, 2**31 - 1).drop("rank")
-    return lexical.top(lifecycle.only(scored, t.documents.where("lang = 'en'"), "doc_id"), "query_id", "score", "doc_id", K)
+    return bm25_results(t, allowed=t.documents.where("lang = 'en'").select("doc_id"))
 
 
-@query(f"WITH {BM25_SQL} SELECT token, df, round(idf, 6) AS idf FROM idf")
+@query("""WITH terms AS MATERIALIZED (SELECT token, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[\\p{L}\\p{N}]+')) AS token FROM documents) GROUP BY token),
+raw AS MATERIALIZED (SELECT token, df, ln(((SELECT count(*) FROM documents) - df + 0.5) / (df + 0.5)) AS idf FROM terms), mean AS (SELECT 0.25 * avg(idf) AS low FROM raw)
+SELECT token, df, round(CASE WHEN idf < 0 THEN low ELSE idf END, 6) AS idf FROM raw, mean""")
 def bm25_term_stats(t: Tables) -> DataFrame:
     return lexical.term_stats(lexical.postings(t.documents), t.documents.count()).select("token", "df", F.round("idf", 6).alias("idf"))
 
@@ -156,14 +156,14 @@ def source_cards(t: Tables) -> DataFrame:
 
 
 # The library: documents as items, with authors and years derived from source and doc_id.
-ITEMS_SQL = """(SELECT doc_id::VARCHAR AS item_id, substr(text, 1, 60) AS title, source || ', ' || lang || ' Author;X' || (doc_id % 9) AS authors, CASE WHEN doc_id % 4 > 0 THEN (2000 + doc_id % 25)::INTEGER END AS year,
+ITEMS_SQL = """(SELECT doc_id::VARCHAR AS item_id, split_part(text, chr(10), 1) AS title, source || ', ' || lang || ' Author;X' || (doc_id % 9) AS authors, CASE WHEN doc_id % 4 > 0 THEN (2000 + doc_id % 25)::INTEGER END AS year,
   CASE WHEN doc_id % 10 = 3 THEN 1700000000 + doc_id END AS deleted_at, doc_id AS import_time, md5(text) AS file_hash FROM documents)"""
 
 
 def items(t: Tables) -> DataFrame:
     d = F.col("doc_id")
     return t.documents.select(
-        d.cast("string").alias("item_id"), F.substring("text", 1, 60).alias("title"), F.concat("source", F.lit(", "), "lang", F.lit(" Author;X"), (d % 9).cast("string")).alias("authors"),
+        d.cast("string").alias("item_id"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), F.concat("source", F.lit(", "), "lang", F.lit(" Author;X"), (d % 9).cast("string")).alias("authors"),
         F.when(d % 4 > 0, (2000 + d % 25).cast("int")).alias("year"), F.when(d % 10 == 3, 1700000000 + d).alias("deleted_at"), d.alias("import_time"), F.md5("text").alias("file_hash"),
     )
 
@@ -209,12 +209,15 @@ def library_sort(t: Tables) -> DataFrame:
     return items(t).select("item_id", F.row_number().over(Window.orderBy(F.coalesce("year", F.lit(0)).desc(), "item_id")).alias("place"))
 
 
-FUZZY = "erblehe"
+# Parts stand for papers here: their names are whole titles, their brands authors, their types keywords.
+FUZZY = "smal wigdet"
+FAR = lambda c: f"least(list_min(list_transform(range(1, greatest(length({c}) - {len(FUZZY) - 1}, 1) + 1), lambda i: levenshtein(substr(translate(lower({c}), '{ACCENTED}', '{UNACCENTED}'), i, {len(FUZZY)}), '{FUZZY}'))) / {float(len(FUZZY))}, 1.0)"
 
 
-@query(f"""SELECT item_id, round(least(d, 1.0), 6) AS score FROM (SELECT item_id, list_min(list_transform(range(1, greatest(length(title) - {len(FUZZY) - 1}, 1) + 1), lambda i: levenshtein(substr(translate(lower(title), '{ACCENTED}', '{UNACCENTED}'), i, {len(FUZZY)}), '{FUZZY}'))) / {float(len(FUZZY))} AS d FROM {ITEMS_SQL}) WHERE d <= 0.4""")
+@query(f"SELECT item_id, round((0.5::DOUBLE * t + 0.3::DOUBLE * a + 0.2::DOUBLE * k) / (0.5::DOUBLE + 0.3::DOUBLE + 0.2::DOUBLE), 6) AS score FROM (SELECT p_partkey AS item_id, {FAR('p_name')} AS t, {FAR('p_brand')} AS a, {FAR('p_type')} AS k FROM part) WHERE least(t, a, k) <= 0.4")
 def fuzzy_search(t: Tables) -> DataFrame:
-    return library.fuzzy_search(items(t), FUZZY, {"title": 1.0}).select("item_id", "score")
+    papers = t.part.select(F.col("p_partkey").alias("item_id"), F.col("p_name").alias("title"), F.col("p_brand").alias("authors"), F.col("p_type").alias("keywords"))
+    return library.fuzzy_search(papers, FUZZY).select("item_id", "score")
 
 
 @query("""SELECT doc_id, (i - 1)::INTEGER AS char_start, (i + 3)::INTEGER AS char_end, substr(text, i, 4) AS match FROM (SELECT * FROM documents WHERE contains(lower(text), 'enen')), unnest(range(1, length(text) + 1)) AS u(i) WHERE lower(substr(text, i, 4)) = 'enen'""")

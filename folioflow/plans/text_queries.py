@@ -186,6 +186,20 @@ def semantic_drop(t: Tables) -> DataFrame:
     return segment.embedding_boundaries(pairs, "label", "vec_id").select("label", "vec_id", F.round("mean_now", 6).alias("mean_now"), "is_boundary")
 
 
+@query("""WITH v AS (SELECT e.label, vec_id, list_cosine_similarity(embedding::DOUBLE[], lead(embedding) OVER (PARTITION BY e.label ORDER BY vec_id)::DOUBLE[]) AS sim, d.text, vec_id % 17 = 0 AS h FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id),
+w AS (SELECT *, row_number() OVER o - 1 AS i, avg(sim) OVER (o ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS a, sum(sim) OVER (o ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS b FROM v WHERE sim IS NOT NULL WINDOW o AS (PARTITION BY label ORDER BY vec_id)),
+x AS (SELECT *, i > 0 AND b / least(i, 3) > 0 AND (b / least(i, 3) - a) / (b / least(i, 3)) > 0.3 AS cut, CASE WHEN i > 0 AND regexp_matches(text, '[。！？.!?]\\s*$') THEN i END AS e FROM w),
+y AS (SELECT *, coalesce(e, lag(e, 1) OVER o, lag(e, 2) OVER o, i) AS near FROM x WINDOW o AS (PARTITION BY label ORDER BY vec_id))
+SELECT label, near::INTEGER AS place FROM y WHERE cut UNION SELECT label, i::INTEGER AS place FROM y WHERE h""")
+def semantic_boundaries(t: Tables) -> DataFrame:
+    from folioflow.operators.vector import cosine
+
+    after = F.lead("embedding").over(Window.partitionBy("label").orderBy("vec_id"))
+    made = t.embeddings.join(t.documents.select(F.col("doc_id").alias("vec_id"), F.col("text").alias("sentence")), "vec_id").withColumn("_next", after)
+    made = made.select("label", "vec_id", "sentence", (F.col("vec_id") % 17 == 0).alias("is_heading"), F.when(F.col("_next").isNotNull(), cosine(F.col("embedding"), F.col("_next"))).alias("similarity"))
+    return segment.natural_boundaries(segment.embedding_boundaries(made, "label", "vec_id"), "label", "vec_id")
+
+
 @query("""WITH l AS (SELECT doc_id, i - 1 AS block_order, length(lines[i]) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents), unnest(range(1, len(lines) + 1)) AS u(i)),
 b AS (SELECT *, coalesce(sum(CASE WHEN n > 0 THEN n + 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY block_order ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM l),
 a AS (SELECT doc_id, unnest(range(0, greatest(length(text), 1), 500)) AS char_start FROM documents)
@@ -279,10 +293,21 @@ def source_label(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", text.source_label(title, F.col("doc_id") % 5, F.when(F.col("doc_id") % 3 > 0, F.col("lang")).otherwise("")).alias("label"))
 
 
-@query("SELECT doc_id, CASE WHEN length(s) > 50 THEN substr(s, 1, 40) || '_' || substr(md5(s), 1, 8) ELSE s END AS paper_id FROM (SELECT doc_id, replace(substr(text, 1, 20 + (doc_id % 60)::INTEGER), '.', '') AS s FROM documents WHERE NOT contains(text, '/') AND NOT contains(text, '\\'))")
+@query(r"SELECT doc_id, CASE WHEN length(s) > 50 THEN substr(s, 1, 40) || '_' || substr(md5(s), 1, 8) ELSE s END AS paper_id FROM (SELECT doc_id, regexp_replace(replace(text, '.', ''), '(?s)^.*[/\\]', '') AS s FROM documents)")
 def paper_id_gen(t: Tables) -> DataFrame:
-    name = F.concat(F.lit("dir/"), F.replace(F.substr("text", F.lit(1), (20 + F.col("doc_id") % 60).cast("int")), F.lit("."), F.lit("")), F.lit(".pdf"))
-    return t.documents.where(~F.contains("text", F.lit("/")) & ~F.contains("text", F.lit("\\"))).select("doc_id", text.paper_id(name).alias("paper_id"))
+    return t.documents.select("doc_id", text.paper_id(F.concat(F.lit("dir/"), F.replace("text", F.lit("."), F.lit("")), F.lit(".pdf"))).alias("paper_id"))
+
+
+@query("SELECT doc_id, md5(text || chr(10) || chr(10)) AS t FROM documents")
+def newline_normalize(t: Tables) -> DataFrame:
+    made = t.documents.select("doc_id", F.concat(F.replace("text", F.lit("\n"), F.lit("\r\n")), F.lit("\r\r\n")).alias("text"))
+    return made.select("doc_id", F.md5(text.normalize_newlines("text")).alias("t"))
+
+
+@query("""SELECT part.p_partkey, CASE p_size % 7 WHEN 0 THEN 'paragraph' WHEN 1 THEN 'heading' WHEN 2 THEN 'table' WHEN 3 THEN 'formula' WHEN 4 THEN 'figure' ELSE 'paragraph' END AS block_type FROM part""")
+def block_types(t: Tables) -> DataFrame:
+    kinds = F.array(*(F.lit(x) for x in ("text", "title", "table", "equation", "image", "footnote", None)))
+    return t.part.select("p_partkey", segment.block_type(F.get(kinds, F.col("p_size") % 7)).alias("block_type"))
 
 
 @query("SELECT doc_id, substr(sha256(text), 1, 16) AS hash FROM documents")
@@ -309,9 +334,9 @@ def split_merge(t: Tables) -> DataFrame:
     return t.conversations.groupBy("conv_id").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["text"]), "\n\n")).alias("merged"), F.count(F.lit(1)).alias("parts"))
 
 
-@query("""SELECT doc_id, replace(replace(replace(replace(replace(substr(text, 1, 300), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS t FROM documents""")
+@query("""SELECT doc_id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS t FROM documents""")
 def html_escape(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", text.escape_html(F.substring("text", 1, 300)).alias("t"))
+    return t.documents.select("doc_id", text.escape_html("text").alias("t"))
 
 
 @query("""SELECT doc_id, regexp_replace(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;'), '(?i)(tion)', '<mark>\\1</mark>', 'g') AS t FROM documents""")

@@ -187,3 +187,34 @@ def test_latency_places(spark):
 def test_routes(spark):
     pages = spark.createDataFrame([("a", p, 10, 0.0, 0.0, 0, 0) for p in (1, 2, 3)] + [("b", 1, 900, 0.5, 0.0, 0, 0)], "paper_id string, page int, n_chars int, formula_score double, table_score double, n_images int, n_fields int")
     assert {r.paper_id: r.route for r in library.probe(pages).collect()} == {"a": "E", "b": "C"}
+
+
+def test_sessions_go_with_what_hangs_on_them(spark):
+    sessions = spark.createDataFrame([("a", "one", 1), ("b", "two", 2)], "session_id string, title string, updated_at int")
+    messages = spark.createDataFrame([("a", "x"), ("b", "y"), ("a", "z")], "session_id string, text string")
+    left, texts = lifecycle.without_sessions(sessions.where("session_id = 'a'"), sessions, messages)
+    assert [r.session_id for r in left.collect()] == ["b"] and [r.text for r in texts.collect()] == ["y"]
+    renamed = {r.session_id: (r.title, r.updated_at) for r in lifecycle.renamed_session(sessions, "a", " new ", F.lit(9)).collect()}
+    assert renamed == {"a": ("new", 9), "b": ("two", 2)}
+    assert lifecycle.renamed_session(sessions, "a", "  ", F.lit(9)).collect() == sessions.collect()
+
+
+def test_anchors_in_blocks(spark):
+    blocks = spark.createDataFrame([("d", 0, 0, 5), ("d", 1, 6, 6), ("d", 2, 6, 9), ("e", 0, 0, 3)], "doc string, block int, start int, end int")
+    anchors = spark.createDataFrame([("d", 0), ("d", 4), ("d", 5), ("d", 6), ("d", 8), ("d", 9), ("e", 2), ("e", 2), ("f", 0)], "doc string, char_start int")
+    got = sorted((r.doc, r.char_start, -1 if r.block_order is None else r.block_order) for r in segment.anchor_blocks(anchors, blocks, "doc", "block").collect())
+    assert got == [("d", 0, 0), ("d", 4, 0), ("d", 5, -1), ("d", 6, 2), ("d", 8, 2), ("d", 9, -1), ("e", 2, 0), ("e", 2, 0), ("f", 0, -1)]
+
+
+def test_natural_boundaries(spark):
+    rows = [("g", i, s, cut, h) for i, (s, cut, h) in enumerate([("a.", True, False), ("b", False, False), ("c.", False, False), ("d", True, False), ("e", True, False), ("f", False, False), ("g", True, True), ("h。", True, False)])]
+    frame = spark.createDataFrame(rows, "g string, i int, sentence string, is_boundary boolean, is_heading boolean")
+    assert sorted(r.place for r in segment.natural_boundaries(frame, "g", "i").collect()) == [0, 2, 6, 7]
+
+
+def test_blocks_of_odd_lines():
+    told = lambda t, **kw: [(b["type"], b["text"] or b["items"] or b["headers"]) for b in answer.parse_blocks(t, [], **kw)]
+    assert told("- a\n\n- b\n* c\n2. d") == [("list", ["a"]), ("list", ["b", "c"]), ("list", ["d"])]
+    assert told("| a |\nx\n| b | c |\n|---|---|") == [("paragraph", "a"), ("paragraph", "x"), ("table", ["b", "c"])]
+    assert told("```\na\n```\n```\nb", code=True) == [("code", "a"), ("code", "b")] and told("```", code=True) == [("code", None)]
+    assert told("") == told("\n \n") == [] and told("> q\n> r", code=True) == [("quote", "q"), ("quote", "r")] and told("> q") == [("paragraph", "> q")]
