@@ -2,10 +2,10 @@
 
 Under one hash function, the Cartesian tree over the hashes of a text's tokens parts all its
 subsequences of at least t tokens into compact windows, one for each tree node that spans t tokens: all
-subsequences in a window have the node's token as their least. Texts that post the same least token are
-brought together. Tokens are runs of ``RUN`` words, and windows span ``SPAN`` runs, 25 words: two texts with 25 words in common meet under
-every one of the ``HASHES`` functions, on windows that hold these words in both texts. So an interval join
-of the windows asks for functions that meet on windows which overlap by ``SPAN`` runs in both texts, and loses no such pair.
+subsequences in a window have the node's token as their least. Tokens are runs of ``RUN`` words, and subsequences have ``SPAN`` runs,
+25 words. The windows of two hash functions are joined as intervals: wherever two of them overlap by ``SPAN`` runs, all subsequences
+in both have the same signature, the two least tokens, and the text posts it. Texts that post the same signature are
+brought together, and two texts with 25 words in common post a common one.
 That is complete for near copies too: each place where two passages differ
 costs nine of both sides' shingles at least, of which a ninth may differ, so k such places take 81 k shingles or more
 and leave, in k + 1 stretches, one of 21 shingles, which is 25 words (texts that repeat their own shingles aside).
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.llm.common import dropped, fetched, required, screened, ship, written
@@ -34,10 +34,8 @@ from folioflow.llm.loads import Tally, bucket, bucket_loads, common_from
 LEAST_WORDS, SHINGLE, PERCENT = 50, 5, 80
 #: A passage at ``PERCENT`` holds an exact stretch of so many words, and any such stretch a posted run of so many. See above.
 WHOLE = LEAST_WORDS // 2
-RUN = 10
+RUN = SHINGLE
 SPAN = WHOLE - RUN + 1
-#: Functions, which all must meet.
-HASHES = 2
 #: Words between two matching stretches of one passage, at most.
 GAP = 30
 #: Words from a run to the next shingle of its passage, at most, if the run is no passage itself.
@@ -49,17 +47,13 @@ NEAR_ROWS = 1 << 18
 _SEEDS = np.array([0, 0x9E3779B97F4A7C15], np.uint64)
 
 
-def windows(tokens: np.ndarray, off: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place, left, right) of all Cartesian tree nodes that span at least t tokens, in texts with the given n + 1 offsets: the node is the least token from left to right, both included.
-
-    Such a node is the least of some t consecutive tokens, and the other way round. Equal hashes count from the left.
-    """
+def least_of_spans(tokens: np.ndarray, off: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every t consecutive tokens of a text, in order, the place of the least; and the tokens' order. Texts have the given n + 1 offsets. Equal hashes count from the left."""
     n = len(tokens)
-    none = np.zeros(0, np.int64)
-    if n < t:
-        return none, none, none
     bits = np.uint64(max(20, int(n).bit_length()))
     order = (tokens >> bits << bits) | np.arange(n, dtype=np.uint64)
+    if n < t:
+        return np.zeros(0, np.int64), order
     low = order
     size = 1
     while size < t:  # the least of `size` tokens from each place on
@@ -67,9 +61,14 @@ def windows(tokens: np.ndarray, off: np.ndarray, t: int) -> tuple[np.ndarray, np
         low = np.minimum(low[: len(low) - step], low[step:])
         size += step
     at = np.arange(len(low))
-    text = np.searchsorted(off, at, "right") - 1
-    low = low[at + t <= off[text + 1]]
-    place = np.unique((low & np.uint64((1 << int(bits)) - 1)).astype(np.int64))
+    low = low[at + t <= off[np.searchsorted(off, at, "right")]]
+    return (low & np.uint64((1 << int(bits)) - 1)).astype(np.int64), order
+
+
+def windows(tokens: np.ndarray, off: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, left, right) of all Cartesian tree nodes that span at least t tokens: the node is the least token from left to right, both included. Such a node is the least of some t consecutive tokens, and the other way round."""
+    least, order = least_of_spans(tokens, off, t)
+    place = np.unique(least)
     # what bounds such a node is a lesser token, whose own span is longer, so it is one of them too, or the text's end
     rank, text = order[place], np.searchsorted(off, place, "right") - 1
     left, right = _lesser(rank, text), _lesser(rank[::-1], text[::-1])[::-1]
@@ -93,11 +92,6 @@ def _lesser(rank: np.ndarray, text: np.ndarray) -> np.ndarray:
     return out
 
 
-#: Runs on each side of its place that a posted window reaches at most; those of a stretch of 25 words are well within.
-REACH_BITS = 12
-REACH = (1 << REACH_BITS) - 1
-
-
 def _grams(wh: np.ndarray, woff: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The hashes of all runs of k words that end in their text, the words they start at, and the n + 1 offsets of each text's runs."""
     size = np.maximum(np.diff(woff) - k + 1, 0)
@@ -106,15 +100,18 @@ def _grams(wh: np.ndarray, woff: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
     return shingles(wh, k)[place], place, off
 
 
-def anchors(wh: np.ndarray, woff: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each function (places, keys, runs before, runs after) of all texts' compact windows. Places are words."""
+def signatures(wh: np.ndarray, woff: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(words, keys) of all signatures: the word at which the first function's least run starts, and a hash of both functions' least runs.
+
+    Both functions' windows are met in the order of the subsequences, so their overlaps are where either of the two changes.
+    """
     grams, place, off = _grams(wh, woff, RUN)
-    out = []
-    for seed in _SEEDS[:HASHES]:
-        tokens = mix(grams ^ seed)
-        at, left, right = windows(tokens, off, SPAN)
-        out.append((place[at], tokens[at], np.minimum(at - left, REACH), np.minimum(right - at, REACH)))
-    return out
+    one, two = (mix(grams ^ seed) for seed in _SEEDS)
+    first, second = least_of_spans(one, off, SPAN)[0], least_of_spans(two, off, SPAN)[0]
+    new = np.ones(len(first), bool)
+    new[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
+    first, second = first[new], second[new]
+    return place[first], mix(one[first] ^ mix(two[second]))
 
 
 def profile(docs: DataFrame) -> DataFrame:
@@ -140,7 +137,7 @@ def profile(docs: DataFrame) -> DataFrame:
 
 
 def postings(docs: DataFrame, hot: np.ndarray) -> DataFrame:
-    """(key, salt, doc_id, at) of every compact window, where ``at`` holds its place, the runs before and after that it reaches, whether the text posts the key again, and the function; keys that start with a shingle whose list may be long are dealt to salts, others have -1. A task posts a text once."""
+    """(key, salt, doc_id, place) of every signature; keys that start with a shingle whose list may be long are dealt to salts, others have -1. A task posts a text once."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,96 +152,59 @@ def postings(docs: DataFrame, hot: np.ndarray) -> DataFrame:
                 if c not in seen:
                     seen.add(c)
                     first[i] = True
-            common = hot[bucket(shingles(wh, SHINGLE))]
-            for f, (place, key, before, after) in enumerate(anchors(wh, woff)):
-                text = np.searchsorted(woff, place, "right") - 1
-                use = first[text]
-                text, place, key = text[use], place[use], key[use]
-                _, which, times = np.unique(key ^ mix(text.astype(np.uint64)), return_inverse=True, return_counts=True)
-                again = (times[which] > 1).astype(np.int64)
-                at = (((place - woff[text] << REACH_BITS | before[use]) << REACH_BITS | after[use]) << 2) | again << 1 | f
-                mine = ids[text]
-                salt = np.where(common[place], (mix(mine.astype(np.uint64)) % np.uint64(HOT_SALTS)).astype(np.int32), np.int32(-1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(salt), pa.array(mine), pa.array(at, pa.int64())], names=["key", "salt", "doc_id", "at"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, required("key long, salt int, doc_id long, at long"))
-
+            place, key = signatures(wh, woff)
+            text = np.searchsorted(woff, place, "right") - 1
+            use = first[text]
+            text, place, key = text[use], place[use], key[use]
+            common = hot[bucket(shingles(wh, SHINGLE)[place])]
+            mine = ids[text]
+            salt = np.where(common, (mix(mine.astype(np.uint64)) % np.uint64(HOT_SALTS)).astype(np.int32), np.int32(-1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(salt), pa.array(mine), pa.array((place - woff[text]).astype(np.int32))], names=["key", "salt", "doc_id", "place"])
 
-def _place(at: str) -> Column:
-    return F.shiftright(at, 2 * REACH_BITS + 2).cast("int")
-
-
-def _side(at: str, shift: int) -> Column:
-    return F.shiftright(at, shift).bitwiseAND(F.lit(REACH)).cast("int")
+    return docs.select("doc_id", "text").mapInArrow(run, required("key long, salt int, doc_id long, place int"))
 
 
 def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (key, salt, doc_id) those of keys that two documents post, and all with a salt, each with its list's head: the first row of the same key and salt.
+    """Of rows sorted by (key, salt, doc_id) those of keys that two documents post, and all with a salt, each with its list's head: the first document of the same key and salt.
 
     Rows stream through; held back are only the rows of one text, as long as no other follows.
     """
-    names = ["key", "salt", "doc_id", "at"]
-    held, sent = [np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)], False
+    names = ["key", "salt", "doc_id", "place"]
+    held, sent = [np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32)], False
     for batch in batches:
         if not batch.num_rows:
             continue
-        key, salt, doc, at = (np.concatenate([h, np.asarray(batch.column(c))]) for h, c in zip(held, names, strict=True))
+        key, salt, doc, place = (np.concatenate([h, np.asarray(batch.column(c))]) for h, c in zip(held, names, strict=True))
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])
         start = np.flatnonzero(new)
-        head = np.repeat(start, np.diff(np.append(start, len(key))))
-        shared = np.logical_or.reduceat((doc != doc[head]) | (salt >= 0), start)
-        use = np.repeat(shared, np.diff(np.append(start, len(key))))
-        use[: int(sent)] = False  # the head that went out with rows before
+        size = np.diff(np.append(start, len(key)))
+        head = np.repeat(doc[start], size)
+        shared = np.logical_or.reduceat((doc != head) | (salt >= 0), start)
+        use = np.repeat(shared, size)
+        use[: int(sent)] = False  # the head's row that went out before
         last, sent = int(start[-1]), bool(shared[-1])
-        held = [x[last : last + 1 if sent else None] for x in (key, salt, doc, at)]
-        i, h = np.flatnonzero(use), head[use]
-        yield pa.RecordBatch.from_arrays([*(pa.array(x[i]) for x in (key, salt, doc, at)), pa.array(doc[h]), pa.array(at[h])], names=[*names, "head", "head_at"])
+        held = [x[last : last + 1 if sent else None] for x in (key, salt, doc, place)]
+        i = np.flatnonzero(use)
+        yield pa.RecordBatch.from_arrays([pa.array(x[i]) for x in (key, salt, doc, place, head)], names=[*names, "head"])
     release()
 
 
 def lists(posted: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """The windows whose key two documents or more post: key, doc_id, at, and the list's head, its least doc_id, with a window of it in ``head_at``; and the tables that hold them.
+    """The signatures that two documents or more post: key, doc_id, place, and the list's head, its least doc_id; and the tables that hold them.
 
     One shuffle, by (key, salt), and a sort; a common key's parts are put together from one row for each salt.
     """
     tasks = int(posted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = posted.repartition(tasks, "key", "salt").sortWithinPartitions("key", "salt", "doc_id")
-    rows = written(dealt.mapInArrow(gathered, required("key long, salt int, doc_id long, at long, head long, head_at long")), "lists")
+    rows = written(dealt.mapInArrow(gathered, required("key long, salt int, doc_id long, place int, head long")), "lists")
     parts = rows.where("salt >= 0")
-    heads = parts.groupBy("key").agg(F.min("head").alias("_head"), F.min_by("head_at", "head").alias("_at"), F.max("doc_id").alias("_high")).where("_head < _high")
+    heads = parts.groupBy("key").agg(F.min("head").alias("_head"), F.max("doc_id").alias("_high")).where("_head < _high")
     # written first, so that the join reads two plain shuffles, whose large parts Spark can split
     heads = written(heads, "heads")
-    common = written(parts.join(heads, "key").select("key", "doc_id", "at", F.col("_head").alias("head"), F.col("_at").alias("head_at")), "lists")
+    common = written(parts.join(heads, "key").select("key", "doc_id", "place", F.col("_head").alias("head")), "lists")
     dropped(heads)
-    return rows.where("salt < 0").select("key", "doc_id", "at", "head", "head_at").unionByName(common), [rows, common]
-
-
-def _islands(rows: DataFrame, by: list[str], start: str, end: str, least: int, name: str) -> DataFrame:
-    """Adds the number of the island that an interval lies on: two intervals that overlap by ``least`` are on one. Sorted by start, an island ends where no interval before reaches far enough."""
-    order = Window.partitionBy(*by).orderBy(start, end)
-    reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.when(F.col(start) + least - 1 <= reach, 0).otherwise(1)
-    return rows.withColumn("_new", new).withColumn(name, F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
-
-
-def agreeing(listed: DataFrame) -> DataFrame:
-    """The pairs (doc_id, head) of which all functions meet on windows that overlap by ``SPAN`` runs in both texts.
-
-    The windows of a pair are joined as intervals, by a sweep over the one text and then over the other; a frame holds one pair's windows.
-    Where a head posts a key more than once, its window counts as its whole text.
-    """
-    again = F.col("head_at").bitwiseAND(F.lit(2)) != 0
-    met = listed.where("doc_id <> head").select(
-        "doc_id", "head", (F.col("at").bitwiseAND(F.lit(1)) + 1).cast("int").alias("f"),  # a bit for each function
-        (_place("at") - _side("at", REACH_BITS + 2)).alias("start"), (_place("at") + _side("at", 2)).alias("end"),
-        F.when(again, 0).otherwise(_place("head_at") - _side("head_at", REACH_BITS + 2)).alias("other_start"), F.when(again, 1 << 30).otherwise(_place("head_at") + _side("head_at", 2)).alias("other_end"),
-    )
-    met = met.repartition(int(listed.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id", "head")
-    met = _islands(met, ["doc_id", "head"], "start", "end", SPAN, "_one")
-    met = _islands(met, ["doc_id", "head", "_one"], "other_start", "other_end", SPAN, "_two")
-    functions = met.groupBy("doc_id", "head", "_one", "_two").agg(F.bit_or("f").alias("functions"))
-    return functions.where(F.bit_count("functions") >= HASHES).select("doc_id", "head").distinct()
+    return rows.where("salt < 0").select("key", "doc_id", "place", "head").unionByName(common), [rows, common]
 
 
 class Text:
@@ -418,8 +378,8 @@ def near_rest(listed: DataFrame, named: DataFrame, tried: DataFrame, found: Data
     So members of a run's list make lists again by those, and later texts that lack a passage are compared with the first of each.
     """
     firsts = written(named.select("cls", "first").distinct(), "firsts")
-    rows = listed.where("at % 2 = 0").join(named.select("doc_id", "cls", "first"), "doc_id")
-    runs = unsettled(rows.select("key", "cls", "first", _place("at").alias("start"), (_place("at") + RUN).alias("end")).distinct(), found, firsts)
+    rows = listed.join(named.select("doc_id", "cls", "first"), "doc_id")
+    runs = unsettled(rows.select("key", "cls", "first", F.col("place").alias("start"), (F.col("place") + RUN).alias("end")).distinct(), found, firsts)
     by_doc = runs.groupBy(F.col("first").alias("doc_id"), "cls").agg(F.collect_set(F.struct("key", "start", "open", (F.col("first") == F.col("head")).alias("heads"))).alias("runs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -479,7 +439,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     first = members.groupBy("cls").agg(F.min("doc_id").alias("first"))
     named = written(members.join(first, "cls"), "classes")  # of copies the first stands for all
     listed, tables = lists(postings(docs, loads >= max(SALT_FROM, common_from(loads))))
-    meet = agreeing(listed).join(named.select("doc_id", F.col("cls").alias("a"), F.col("first").alias("da")), "doc_id").join(named.select(F.col("doc_id").alias("head"), F.col("cls").alias("b"), F.col("first").alias("db")), "head")
+    meet = listed.where("doc_id <> head").select("doc_id", "head").distinct().join(named.select("doc_id", F.col("cls").alias("a"), F.col("first").alias("da")), "doc_id").join(named.select(F.col("doc_id").alias("head"), F.col("cls").alias("b"), F.col("first").alias("db")), "head")
     pairs = written(meet.where("a <> b").select("a", "da", "b", "db").distinct(), "pairs")
     found = written(compared(pairs, docs), "passages")
     found = near_rest(listed, named, pairs, found, docs)
@@ -487,7 +447,7 @@ def repeats(docs: DataFrame) -> DataFrame:
 
     # Exact runs that no passage found so far covers: their whole lists go on to windows.
     sides = found.select(F.col("a").alias("cls"), "start", "end").union(found.select("b", "other_start", "other_end"))
-    runs = listed.where("at % 2 = 0").join(named.select("doc_id", "cls"), "doc_id").select("key", "cls", _place("at").alias("start"), (_place("at") + RUN).alias("end"))
+    runs = listed.join(named.select("doc_id", "cls"), "doc_id").select("key", "cls", F.col("place").alias("start"), (F.col("place") + RUN).alias("end"))
     told = written(inside(runs.distinct(), sides), "runs")
     keys = written(told.where("not inside").select("key").distinct(), "keys")
     again = written(told.join(keys, "key").select("cls", F.col("start").alias("place")).distinct(), "missed")
