@@ -34,7 +34,7 @@ from folioflow.llm.loads import Tally, bucket, bucket_loads, common_from
 LEAST_WORDS, SHINGLE, PERCENT = 50, 5, 80
 #: A passage at ``PERCENT`` holds an exact stretch of so many words, and any such stretch a posted run of so many. See above.
 WHOLE = LEAST_WORDS // 2
-RUN = SHINGLE
+RUN = 8
 SPAN = WHOLE - RUN + 1
 #: Words between two matching stretches of one passage, at most.
 GAP = 30
@@ -371,15 +371,14 @@ def unsettled(rows: DataFrame, found: DataFrame, firsts: DataFrame) -> DataFrame
     return out
 
 
-def near_rest(listed: DataFrame, named: DataFrame, tried: DataFrame, found: DataFrame, docs: DataFrame) -> DataFrame:
-    """``found`` and the passages that texts share with others than their lists' heads.
+def near_rest(places: DataFrame, named: DataFrame, tried: DataFrame, found: DataFrame, docs: DataFrame) -> DataFrame:
+    """``found`` and, by the lists' runs (key, cls, first, start, end), the passages that texts share with others than their lists' heads.
 
     What two texts share around a run beyond what the head has too, they share by shingles near it that the head lacks there.
     So members of a run's list make lists again by those, and later texts that lack a passage are compared with the first of each.
     """
     firsts = written(named.select("cls", "first").distinct(), "firsts")
-    rows = listed.join(named.select("doc_id", "cls", "first"), "doc_id")
-    runs = unsettled(rows.select("key", "cls", "first", F.col("place").alias("start"), (F.col("place") + RUN).alias("end")).distinct(), found, firsts)
+    runs = unsettled(places, found, firsts)
     by_doc = runs.groupBy(F.col("first").alias("doc_id"), "cls").agg(F.collect_set(F.struct("key", "start", "open", (F.col("first") == F.col("head")).alias("heads"))).alias("runs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -442,16 +441,18 @@ def repeats(docs: DataFrame) -> DataFrame:
     meet = listed.where("doc_id <> head").select("doc_id", "head").distinct().join(named.select("doc_id", F.col("cls").alias("a"), F.col("first").alias("da")), "doc_id").join(named.select(F.col("doc_id").alias("head"), F.col("cls").alias("b"), F.col("first").alias("db")), "head")
     pairs = written(meet.where("a <> b").select("a", "da", "b", "db").distinct(), "pairs")
     found = written(compared(pairs, docs), "passages")
-    found = near_rest(listed, named, pairs, found, docs)
-    dropped(profiled, pairs)
+    places = listed.join(named.select("doc_id", "cls", "first"), "doc_id").select("key", "cls", "first", F.col("place").alias("start"), (F.col("place") + RUN).alias("end"))
+    places = written(places.distinct(), "places")
+    dropped(profiled, *tables)
+    found = near_rest(places, named, pairs, found, docs)
+    dropped(pairs)
 
     # Exact runs that no passage found so far covers: their whole lists go on to windows.
     sides = found.select(F.col("a").alias("cls"), "start", "end").union(found.select("b", "other_start", "other_end"))
-    runs = listed.join(named.select("doc_id", "cls"), "doc_id").select("key", "cls", F.col("place").alias("start"), (F.col("place") + RUN).alias("end"))
-    told = written(inside(runs.distinct(), sides), "runs")
+    told = written(inside(places.drop("first"), sides), "runs")
     keys = written(told.where("not inside").select("key").distinct(), "keys")
     again = written(told.join(keys, "key").select("cls", F.col("start").alias("place")).distinct(), "missed")
-    dropped(*tables, told, keys)
+    dropped(places, told, keys)
     if not again.isEmpty():
         found = found.unionByName(written(exact_windows(again.join(named.select("cls", F.col("first").alias("doc_id")).distinct(), "cls"), docs), "passages"))
 
