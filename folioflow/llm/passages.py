@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import dropped, fetched, required, screened, ship, written
+from folioflow.llm.common import aside, dropped, fetched, required, screened, ship, written
 from folioflow.llm.jaccard import HOT_SALTS, SALT_FROM
 from folioflow.llm.kernels import NOT_SPACE, buffers, chunks, mix, release, shingles, span_hash, spans, words
 from folioflow.llm.loads import Tally, bucket, bucket_loads, common_from
@@ -477,6 +477,7 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     # of spans that start alike the longest: no more than the text has words
     longest = repeats(docs).groupBy("doc_id", "start").agg(F.max("end").alias("end"))
     spans_of = written(longest.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("_spans")), "spans")
+    docs, back = aside(docs, ("_spans", "_maybe", "_m", "_at", "_bits"))
     # documents that surely have no spans go through as they are, unmoved
     rows = screened(docs, spans_of.select("doc_id"))
     clean = rows.where("not _maybe").select(*docs.columns)
@@ -511,4 +512,4 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     out = marked.mapInArrow(run, marked.schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_spans").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return clean.unionByName(out.select(*docs.columns))
+    return back(clean.unionByName(out.select(*docs.columns)))
