@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from folioflow import session
+from folioflow.llm.kernels import release
 
 __all__ = ["Scratch", "aside", "dropped", "fetched", "ranked", "required", "screened", "shared_dir", "ship", "table", "tidied", "written"]
 
@@ -94,6 +95,7 @@ def _remove(spark: SparkSession, path: str) -> None:
 def tidied(spark: SparkSession) -> None:
     """Collects the driver's garbage: only then does Spark free the shuffles and broadcasts that nothing refers to any more, and the heap gives memory back."""
     gc.collect()
+    release()
     spark._jvm.System.gc()
 
 
