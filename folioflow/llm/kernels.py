@@ -22,8 +22,6 @@ if hasattr(_libc, "mallopt"):
         _libc.mallopt(_option, _value)
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _PINV = np.uint64(pow(int(_P), -1, 1 << 64))
-_rng = np.random.default_rng(20240607)
-_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _pows: dict[str, np.ndarray] = {}
 
 #: Byte classes. Continuation bytes of UTF-8 count as word bytes in each.
@@ -108,12 +106,29 @@ def spans(data: np.ndarray, off: np.ndarray, word: np.ndarray) -> tuple[np.ndarr
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, off)
 
 
+#: The first 0 to 8 bytes of a little-endian word.
+_FIRST = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+
+
 def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span's bytes."""
-    p, q = _power(len(data))
-    h = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * p[: len(data)], dtype=np.uint64, out=h[1:])
-    return mix((h[ends] - h[starts]) * q[starts] + (ends - starts).astype(np.uint64))
+    """A 64-bit hash of each span's bytes.
+
+    Every block of eight bytes is mixed with its number in the span before blocks are summed up, so that no structure of the text
+    carries over to the sum, as it would to a polynomial modulo a power of two.
+    """
+    size = ends - starts
+    blocks = (size + 7) >> 3
+    total = np.concatenate([[0], np.cumsum(blocks)])
+    span = np.repeat(np.arange(len(size)), blocks)
+    number = np.arange(int(total[-1])) - total[span]
+    at = starts[span] + 8 * number
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    block = eight[at] & _FIRST[np.minimum(ends[span] - at, 8)]
+    sums = np.zeros(len(block) + 1, np.uint64)
+    np.cumsum(mix(block + (number + 1).astype(np.uint64) * _P), dtype=np.uint64, out=sums[1:])
+    return mix((sums[total[1:]] - sums[total[:-1]]) * _PINV + size.astype(np.uint64))
 
 
 def words(data: np.ndarray, off: np.ndarray, word: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
@@ -127,7 +142,8 @@ def words(data: np.ndarray, off: np.ndarray, word: np.ndarray, lower: bool = Tru
 def shingles(wh: np.ndarray, k: int) -> np.ndarray:
     """The hash of the k words from each word on; the last k - 1 run over the end and are void.
 
-    A difference of prefix sums of a polynomial, so long runs cost no more than short ones.
+    A difference of prefix sums of a polynomial, so long runs cost no more than short ones. Its terms are mixed hashes and k is far
+    below the thousand terms from which sequences exist that such a sum cannot tell apart.
     """
     n = len(wh)
     out = np.zeros(n, np.uint64)

@@ -75,5 +75,23 @@ def op10_size_aware_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_va_file_product_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioflow.llm.vafile import compress
+
+    return compress(table(spark, sf_dir, "embeddings"))
+
+
+def op12_one_permutation_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioflow.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioflow.llm.collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}

@@ -68,6 +68,28 @@ def test_hashes_do_not_depend_on_place(texts, k):
             assert (kernels.shingles(own, k)[:n] == sh[woff[i] : woff[i] + n]).all()
 
 
+def thue_morse(n):
+    """A word of n letters and its complement: a polynomial modulo 2^64 cannot tell them apart."""
+    bits = [bin(k).count("1") & 1 for k in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [8, 64, 1024, 4096, 4099])
+def test_structured_words_have_their_own_hashes(n):
+    one, other = thue_morse(n)
+    data, off = kernels.buffers(pa.array([one, other, one + "c", one]))
+    h = kernels.span_hash(data, off[:-1], off[1:])
+    assert h[0] == h[3] and len(set(h.tolist())) == 3
+
+
+@given(st.lists(st.binary(max_size=40), max_size=20))
+def test_span_hashes_tell_bytes(parts):
+    data = np.frombuffer(b"".join(parts), np.uint8)
+    off = np.concatenate([[0], np.cumsum([len(p) for p in parts], dtype=np.int64)]).astype(np.int64)
+    h = kernels.span_hash(data, off[:-1], off[1:]).tolist()
+    assert all((a == b) == (p == q) for a, p in zip(h, parts, strict=True) for b, q in zip(h, parts, strict=True))
+
+
 @pytest.mark.parametrize("limit", [1, 7, 100])
 def test_chunks_are_whole_texts(limit):
     batch = pa.record_batch([pa.array(["ab", None, "", "c" * 50, "dé"])], names=["text"])

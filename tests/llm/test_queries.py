@@ -24,8 +24,8 @@ def test_query(spark, sf_dir, name):
         assert set(df.columns) >= {"doc_id", "other_id"}
 
 
-def test_ten_operators():
-    assert sorted(int(k[2:].split("_")[0]) for k in queries()) == list(range(1, 11))
+def test_thirteen_operators():
+    assert sorted(int(k[2:].split("_")[0]) for k in queries()) == list(range(1, 14))
 
 
 def test_pipeline(spark, sf_dir):
