@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.functions import text
 from folioflow.functions.text import ACCENTED, UNACCENTED
+from folioflow.index.bm25 import Bm25Index
+from folioflow.index.ivf import VectorIndex
 from folioflow.operators import answer, fusion, lexical, library, lifecycle, metrics, vector
 from folioflow.plans.registry import Tables, query, values
 from folioflow.plans.text_queries import TOKENS, rows
+from folioflow.sources.store import shared_dir
 from folioflow.streaming.progress import debounced
 
 K = 20
@@ -28,13 +33,32 @@ KNN_SQL = """dist AS (SELECT q.vec_id AS query_id, e.vec_id, e.label, round(1 -
   FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q)"""
 
 
-def bm25_index(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return lexical.postings(t.documents), lexical.doc_stats(t.documents), lexical.query_terms(t.benchmark, "item_id", "text")
+_indexes: dict[tuple, Bm25Index | VectorIndex] = {}
+
+
+def _index(t: Tables, kind: type, name: str, build, **options):
+    """The application's index of these tables; written when it is first asked for, read from then on."""
+    key = (t.spark.sparkContext.applicationId, t.sf_dir, name)
+    if key not in _indexes:
+        found = kind(t.spark, f"{shared_dir(t.spark)}/{name}-{uuid.uuid4().hex}", **options)
+        build(found)
+        _indexes[key] = found
+    found = _indexes[key]
+    found.spark = found.store.spark = t.spark
+    return found
+
+
+def bm25_index(t: Tables) -> Bm25Index:
+    return _index(t, Bm25Index, "bm25", lambda i: i.put(t.documents, "doc_id", "text"), id_type="long")
+
+
+def vector_index(t: Tables) -> VectorIndex:
+    return _index(t, VectorIndex, "cells", lambda i: i.build(t.embeddings))
 
 
 def bm25_results(t: Tables, k: int = K, allowed: DataFrame | None = None) -> DataFrame:
-    posted, lengths, queries = bm25_index(t)
-    return lexical.bm25(posted, lengths, queries, k, allowed)
+    queries = lexical.query_terms(t.benchmark, "item_id", "text")
+    return bm25_index(t).search(queries, k, allowed).withColumnRenamed("id", "doc_id")
 
 
 def vector_queries(t: Tables) -> DataFrame:
@@ -48,20 +72,33 @@ def bm25_topk(t: Tables) -> DataFrame:
 
 @query(f"WITH {BM25_SQL} {TOP('(SELECT * FROM scored WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang = chr(101) || chr(110)))', 'score DESC, doc_id')}")
 def bm25_filtered(t: Tables) -> DataFrame:
-    return bm25_results(t, allowed=t.documents.where("lang = 'en'").select("doc_id"))
+    return bm25_results(t, allowed=t.documents.where("lang = 'en'").select(F.col("doc_id").alias("id")))
 
 
-@query("""WITH terms AS MATERIALIZED (SELECT token, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[\\p{L}\\p{N}]+')) AS token FROM documents) GROUP BY token),
-raw AS MATERIALIZED (SELECT token, df, ln(((SELECT count(*) FROM documents) - df + 0.5) / (df + 0.5)) AS idf FROM terms), mean AS (SELECT 0.25 * avg(idf) AS low FROM raw)
+@query("""WITH post AS MATERIALIZED (SELECT unnest(list_distinct(regexp_extract_all(text, '[\\p{L}\\p{N}]+'))) AS token FROM documents),
+terms AS MATERIALIZED (SELECT token, count(*) AS df FROM post GROUP BY token), n AS (SELECT count(*) AS n FROM documents),
+raw AS MATERIALIZED (SELECT token, df, ln((n - df + 0.5) / (df + 0.5)) AS idf FROM terms, n), mean AS (SELECT 0.25 * avg(idf) AS low FROM raw)
 SELECT token, df, round(CASE WHEN idf < 0 THEN low ELSE idf END, 6) AS idf FROM raw, mean""")
 def bm25_term_stats(t: Tables) -> DataFrame:
-    return lexical.term_stats(lexical.postings(t.documents), t.documents.count()).select("token", "df", F.round("idf", 6).alias("idf"))
+    return bm25_index(t).term_stats().select("token", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {BM25_SQL} SELECT n AS documents, round(avgdl, 6) AS avgdl, (SELECT count(*) FROM idf) AS terms FROM n")
 def bm25_corpus_stats(t: Tables) -> DataFrame:
-    lengths = lexical.doc_stats(t.documents).agg(F.count(F.lit(1)).alias("documents"), F.round(F.avg("dl"), 6).alias("avgdl"))
-    return lengths.join(lexical.postings(t.documents).agg(F.countDistinct("token").alias("terms")))
+    index = bm25_index(t)
+    n, avgdl = index.size()
+    return index.terms().agg(F.countDistinct("token").alias("terms")).select(F.lit(n).cast("long").alias("documents"), F.round(F.lit(avgdl), 6).alias("avgdl"), "terms")
+
+
+@query(f"WITH {KNN_SQL} SELECT query_id, vec_id, distance, rank FROM ({TOP('dist', 'distance, vec_id')})")
+def knn_cells(t: Tables) -> DataFrame:
+    """As knn_batch, from the index: the nearest cells first, then those that may hold something nearer."""
+    return vector_index(t).search(vector_queries(t), K)
+
+
+@query(f"WITH {KNN_SQL} SELECT query_id, vec_id, distance, rank FROM ({TOP('(SELECT * FROM dist WHERE label IN (1, 3))', 'distance, vec_id')})")
+def knn_cells_filtered(t: Tables) -> DataFrame:
+    return vector_index(t).search(vector_queries(t), K, where=F.col("label").isin(1, 3))
 
 
 @query(f"WITH {KNN_SQL} SELECT query_id, vec_id, distance, rank FROM ({TOP('dist', 'distance, vec_id')})")
