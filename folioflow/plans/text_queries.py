@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions import folds, rules, text
-from folioflow.operators import answer, library, metrics, segment
+from folioflow.operators import answer, library, lineage, metrics, segment
 from folioflow.plans.registry import Tables, literal, query, re2, values
 
 CJK_ROWS = [(1, "你好世界"), (2, "hello"), (3, "hello你好"), (4, ""), (5, "摘 要：本文 研究 abc 测试"), (6, "１２３ＡｂＣ，。！"), (7, "测试 文本 混合 text 空 格")]
@@ -163,6 +163,37 @@ def chunk_build(t: Tables) -> DataFrame:
     return segment.chunks(t.documents).select("doc_id", "chunk_index", "n_sentences", "token_count", "content_hash")
 
 
+LOCATED = rf"""SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INTEGER AS idx, sentence, (before + length(raw) - length(regexp_replace(raw, '^\\s+', '')))::INTEGER AS char_start FROM (
+  SELECT doc_id, i, p[i] AS raw, {STRIP('p[i]')} AS sentence, coalesce(sum(length(p[i])) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (
+    SELECT doc_id, string_split(regexp_replace(text, '([。！？；])|([.!?;])(\\s|$)', '\\1\\2' || chr(2) || '\\3', 'g'), chr(2)) AS p FROM documents), unnest(range(1, len(p) + 1)) AS u(i)) WHERE sentence <> ''""".replace("\\\\", "\\")
+
+
+@query(f"""{CHUNKS}, l AS ({LOCATED}) SELECT doc_id, doc_id || '_' || chunk AS chunk_id, doc_id || '_' || chunk || '_' || idx AS anchor_id, 'sentence' AS kind, char_start, (char_start + length(sentence))::INTEGER AS char_end, md5(sentence) AS content
+FROM l JOIN (SELECT doc_id, idx, chunk FROM r) USING (doc_id, idx)""")
+def chunk_anchors(t: Tables) -> DataFrame:
+    return lineage.anchors(lineage.chunks(t.documents)).select("doc_id", "chunk_id", "anchor_id", "kind", "char_start", "char_end", F.md5("content").alias("content"))
+
+
+@query()
+def piece_anchors(t: Tables) -> DataFrame:
+    """Anchors of oversized chunks' pieces."""
+    return lineage.anchors(lineage.pieces(lineage.chunks(t.documents))).select("doc_id", "chunk_id", "anchor_id", "char_start", "char_end", F.md5("content").alias("content"))
+
+
+# A figure before each text and one after it.
+FIGURED_SQL = "(SELECT doc_id, '![Figure ' || doc_id || '](images/' || doc_id || '.png) ' || text || chr(10) || '![](img/last.jpg)' AS text FROM documents)"
+
+
+@query(f"""WITH l AS ({LOCATED.replace("FROM documents", "FROM " + FIGURED_SQL)})
+SELECT doc_id, idx, (char_start + strpos(sentence, m) - 1)::INTEGER AS char_start, m AS content FROM (SELECT *, unnest(regexp_extract_all(sentence, '!\\[[^\\]]*\\]\\([^)]+\\)')) AS m FROM l)""".replace("\\\\", "\\"))
+def figure_chunks(t: Tables) -> DataFrame:
+    """The figures of chunks as child anchors, with the sentence that they are in."""
+    d = F.col("doc_id").cast("string")
+    made = t.documents.select("doc_id", F.concat(F.lit("![Figure "), d, F.lit("](images/"), d, F.lit(".png) "), "text", F.lit("\n![](img/last.jpg)")).alias("text"))
+    found = lineage.anchors(lineage.chunks(made).where("has_image")).where("kind = 'figure'")
+    return found.select("doc_id", F.element_at(F.split("parent_id", "_"), -1).cast("int").alias("idx"), "char_start", "content")
+
+
 @query(f"{CHUNKS} SELECT doc_id, list(idx ORDER BY idx) AS cuts FROM r WHERE cut GROUP BY doc_id")
 def rule_boundaries(t: Tables) -> DataFrame:
     item = F.struct("idx", "sentence", "is_heading", text.estimate_tokens("sentence").alias("tokens"))
