@@ -4,9 +4,11 @@ One hash function deals a set's shingles to ``BINS`` bins and keeps the least of
 bin that is not, found by a second hash of (bin, attempt), which is the same for every set. So each bin agrees with the chance of the
 sets' similarity, however small they are. ``ROWS`` bins make a band, and texts that agree in a band share a bucket.
 
-Equal sets are one class from the start. In a bucket every class meets the bucket's first one only; what those links leave
-in several components is met again, pairs between components only. Counts of hashes bound each candidate pair, and the full
-sets of both texts decide it. At a similarity of 0.85 a link is in no bucket with a chance of 7e-9.
+Equal sets are one class from the start. In a bucket every class meets the bucket's centre only: that class which has most company over all
+its buckets. Of a text and its many altered copies it is the text, since copies fall out of its buckets one here and one there, and copies need not be
+alike among each other. A link between two other texts of the bucket, one of them not linked with the centre, is still found: the two must deviate
+from the centre in the same tokens, so lists by centre and first deviations bring them together, and texts that are altered each in its own way
+never meet. The full sets of both texts decide every pair. At a similarity of 0.85 a link is in no bucket with a chance of 7e-9.
 """
 
 from __future__ import annotations
@@ -18,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import dropped, ship, written
+from folioflow.llm.common import dropped, fetched, ship, written
 from folioflow.llm.graph import components
-from folioflow.llm.jaccard import SHINGLE, class_of, counts_of, enough, own_id, sets, verified
-from folioflow.llm.kernels import chunks, mix
+from folioflow.llm.jaccard import SHINGLE, class_of, counts_of, own_id, sets, verified
+from folioflow.llm.kernels import buffers, chunks, mix, release
 
 PERCENT = 85
 ROWS, BANDS = 5, 32
@@ -83,8 +85,54 @@ def profile(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     return rows.mapInArrow(run, "id long, doc_id long, n long, cls long, counts binary, keys array<long>")
 
 
-def _feasible(n: str, m: str, percent: int):
-    return enough(F.least(F.col(n), F.col(m)), F.col(n), F.col(m), percent)
+def deviation(s: np.ndarray, t: np.ndarray, percent: int = PERCENT) -> tuple[bool, np.ndarray, int, int]:
+    """Whether the sets s and t (a centre) are linked; the first tokens that only one of them has, those of s before those of t; how many of them count among sets that are not linked; and how many there are in all.
+
+    Two sets x and y are linked where |x + y| <= q (|x| + |y|), + for the tokens that only one has and q for (100 - percent) / (100 + percent). What x + y
+    lacks of x + c and y + c they have in common, so linked sets share (|x + c| + |y + c| - q (|x| + |y|)) / 2 of their deviations at least. If y is not linked
+    with c, |y + c| > q (|y| + |c|), which leaves over (|x + c| - q (|x| - |c|)) / 2. If x is linked with c, |x + c| >= ||x| - |c||, which leaves
+    (|y + c| - q (|y| + |c|)) / 2. Of tokens in one order so many of the first ones of both hold one in common.
+    """
+    own, lost = np.setdiff1d(s, t, assume_unique=True), np.setdiff1d(t, s, assume_unique=True)
+    d, n, m, full, q = len(own) + len(lost), len(s), len(t), 100 + percent, 100 - percent
+    linked = d * full <= q * (n + m)
+    short = min(d, d - (d * full - q * (n - m)) // (2 * full))
+    most = short if linked else max(short, min(d, d - -((q * (n + m) - d * full) // (2 * full)) + 1))
+    return linked, np.concatenate([own, lost])[:most], short, d
+
+
+def compared(star: DataFrame, classes: DataFrame, docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """(x, c, n, linked, short, d, tokens) of every class and its centre, from the full sets of both texts; see deviation()."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: dict[int, np.ndarray] = {}
+        for batch, data, off in chunks(batches, "tx"):
+            mine = sets(data, off, k)
+            x, c, other = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3)
+            rows = []
+            for i, s in enumerate(mine):
+                if c[i] not in last:
+                    last = {c[i]: sets(*buffers(other.slice(i, 1)), k)[0]}
+                t = last[c[i]]
+                if class_of(s) == x[i] and class_of(t) == c[i]:  # a repeated doc_id may bring the text of another class
+                    rows.append((x[i], c[i], *deviation(s, t, percent), len(s)))
+                if class_of(t) != c[i]:
+                    last = {}
+            linked, tokens, short, d, n = ([r[j] for r in rows] for j in range(2, 7))
+            sizes = np.concatenate([[0], np.cumsum([len(v) for v in tokens], dtype=np.int64)]).astype(np.int32)
+            flat = (np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)).view(np.int64)
+            columns = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(n, pa.int64()), pa.array(linked, pa.bool_()), pa.array(short, pa.int32()), pa.array(d, pa.int64()), pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat))]
+            yield pa.RecordBatch.from_arrays(columns, names=["x", "c", "n", "linked", "short", "d", "tokens"])
+        release()
+
+    ids = lambda a, b: classes.select(F.col("cls").alias(a), F.col("id").alias(b))
+    pairs = star.join(ids("x", "dx"), "x").join(ids("c", "dc"), "c")
+    texts = docs.select(own_id(), "text")
+    need = lambda c: pairs.select(F.col(c).alias("id")).distinct()
+    tx = fetched(texts, need("dx"), "id").select(F.col("id").alias("dx"), F.col("text").alias("tx"))
+    tc = fetched(texts, need("dc"), "id").select(F.col("id").alias("dc"), F.col("text").alias("tc"))
+    rows = pairs.join(tx, "dx").join(tc, "dc").select("x", "c", "tx", "tc").mapInArrow(run, "x long, c long, n long, linked boolean, short int, d long, tokens array<long>")
+    return rows.dropDuplicates(["x", "c"])
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
@@ -106,31 +154,34 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
     classes = written(classes.select("cls", "doc_id", "id", "n", "one.counts", "one.keys"), "classes")
 
     posted = classes.select("cls", "n", F.explode("keys").alias("key"))
-    # A bucket's first class is told after a partial aggregation in every task. What is read back from a table is a plain shuffle, so that Spark
-    # can split the parts that long buckets make.
-    first = F.min(F.struct("cls", "n"))
-    heads = written(posted.groupBy("key").agg(first.alias("head"), F.max("cls").alias("high")).where("head.cls < high").drop("high"), "heads")
-    listed = written(posted.join(heads, "key").select("key", "cls", "n", "head"), "buckets")
-    dropped(heads)
-    star = listed.where("cls <> head.cls").where(_feasible("n", "head.n", percent)).select(F.col("cls").alias("x"), F.col("head.cls").alias("y"))
-    star = written(_pairs(star), "pairs")
-    links = verified(star, classes, docs, k, percent)
+    # Counts are added up in every task before they move. What is read back from a table is a plain shuffle, so that Spark can split the
+    # parts that long buckets make.
+    sizes = written(posted.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
+    shared = written(posted.join(sizes, "key"), "buckets")
+    fame = written(shared.groupBy("cls").agg(F.sum("size").alias("fame")), "fame")
+    listed = written(shared.join(fame, "cls").select("key", "cls", "n", "fame"), "buckets")
+    dropped(sizes, shared, fame)
+    heads = written(listed.groupBy("key").agg(F.max(F.struct("fame", "cls", "n")).alias("head")), "heads")
+    star = listed.join(heads, "key").where("cls <> head.cls").select(F.col("cls").alias("x"), F.col("head.cls").alias("c")).distinct()
+    met = written(compared(written(star, "star"), classes, docs, k, percent), "compared")
+    dropped(heads, listed)
+    links = met.where("linked").select(F.col("x").alias("a"), F.col("c").alias("b"))
     roots = components(links, "a", "b")
 
-    rooted = listed.select("key", "cls", "n").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    rooted = written(rooted, "rooted")
-    dropped(listed)
-    span = written(rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key"), "span")
-    open_ = rooted.join(span, "key")
-    left, right = (open_.select("key", *(F.col(c).alias(c + s) for c in ("cls", "n", "root"))) for s in "12")
-    rest = left.join(right, "key").where("root1 < root2").where(_feasible("n1", "n2", percent)).select(F.col("cls1").alias("x"), F.col("cls2").alias("y"))
-    rest = written(_pairs(rest).join(star, ["a", "b"], "left_anti"), "pairs")
+    rooted = met.join(roots.withColumnRenamed("node", "x"), "x", "left").withColumn("root", F.coalesce("root", "x"))
+    open_ = met.where("not linked").select("c").distinct()
+    posts = written(rooted.join(open_, "c").select("c", "x", "n", "root", "linked", "short", "d", F.posexplode("tokens").alias("at", "token")), "deviations")
+    left, right = (posts.select("c", "token", *(F.col(n).alias(n + i) for n in ("x", "n", "root", "linked", "short", "d", "at"))) for i in "12")
+    # what follows the first deviation in common bounds how many there are; at later ones the bound is lower, and the pair has passed by then or never does
+    within = F.least(F.col("d1") - F.col("at1"), F.col("d2") - F.col("at2")) * (2 * (100 + percent)) >= (F.col("d1") + F.col("d2")) * (100 + percent) - (F.col("n1") + F.col("n2")) * (100 - percent)
+    both = left.where("not linked1").join(right, ["c", "token"]).where("root1 <> root2").where(within).where("linked2 or (x1 < x2 and at1 < short1 and at2 < short2)")
+    rest = written(_pairs(both.select(F.col("x1").alias("x"), F.col("x2").alias("y"))), "pairs")
     if not rest.isEmpty():
         more = verified(rest, classes, docs, k, percent)
         if not more.isEmpty():
             roots = components(links.unionByName(more), "a", "b")
         dropped(more)
-    dropped(star, rest, rooted, span, links)
+    dropped(rest, posts, met)
 
     named = classes.select("cls", "doc_id").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
