@@ -30,7 +30,7 @@ LEAST, LONGEST, TOP = 30, 4, 2000
 HELD_PERCENT = 80
 NO_LANG = "und"
 SCORE = 2_000_000
-#: Bits of the map of frequent phrases, and the slices in which it travels.
+#: The map of frequent phrases has 2 ** MAP_BITS bits, and travels in so many slices.
 MAP_BITS, SLICES = 25, 64
 #: Phrases that a task adds up before it passes them on, and what a bucket's duckdb holds in memory.
 HELD_ROWS, BUCKET_MEMORY = 1 << 19, "192MB"
@@ -106,15 +106,15 @@ def pieces(docs: DataFrame) -> DataFrame:
 
 
 def _in_map(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    at = (h & np.uint64((1 << MAP_BITS) - 1)).astype(np.int64)
+    at = (h & np.uint64(8 * len(bits) - 1)).astype(np.int64)
     return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
 class Held:
     """Phrases of one task, added up: packed rows (bucket, lang, phrases and weights as one Arrow stream) come out as it fills."""
 
-    def __init__(self, buckets: int) -> None:
-        self.buckets, self.parts, self.size = buckets, [], 0
+    def __init__(self, buckets: int, rows: int = HELD_ROWS) -> None:
+        self.buckets, self.rows, self.parts, self.size = buckets, rows, [], 0
 
     def add(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, times: np.ndarray, lang: np.ndarray, langs: list[str]) -> Iterator[pa.RecordBatch]:
         if not len(hashes):
@@ -125,7 +125,7 @@ class Held:
         body, off = _taken(data, starts[first], ends[first])
         self.parts.append((h, weight, _strings(body, off), pa.array(langs).take(pa.array(lang[first]))))
         self.size += len(h)
-        if self.size >= HELD_ROWS:
+        if self.size >= self.rows:
             yield from self.flush()
 
     def flush(self) -> Iterator[pa.RecordBatch]:
@@ -161,13 +161,13 @@ def _packed(table: pa.Table) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def found(distinct: DataFrame, sizes: tuple[int, ...], bits: bytes | None, buckets: int) -> DataFrame:
+def found(distinct: DataFrame, sizes: tuple[int, ...], bits: bytes | None, buckets: int, held_rows: int = HELD_ROWS) -> DataFrame:
     """(bucket, lang, packed): phrases of ``sizes`` words in the pieces, with their weights. With ``bits`` only those whose parts of ``sizes[0] - 1`` words are all in that map."""
     shared = distinct.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(shared.value, np.uint8) if shared.value is not None else None
-        held = Held(buckets)
+        held = Held(buckets, held_rows)
         for batch, data, off in chunks(batches, "piece"):
             codes, langs = _lang_codes(batch.column(0))
             seeds = _lang_seeds(langs)
@@ -239,9 +239,9 @@ def counted(packed: DataFrame, least: int, spill: str, buckets: int) -> DataFram
     return packed.repartition(buckets, "bucket").mapInArrow(run, "lang string, phrase string, f long")
 
 
-def bit_map(phrases: DataFrame) -> bytes:
-    """A map of ``MAP_BITS`` hashed bits with those of the phrases set; tasks' maps travel in packed slices."""
-    size = (1 << MAP_BITS) // 8
+def bit_map(phrases: DataFrame, map_bits: int = MAP_BITS) -> bytes:
+    """A map of 2 ** ``map_bits`` hashed bits with those of the phrases set; tasks' maps travel in packed slices."""
+    size = (1 << map_bits) // 8
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(size, np.uint8)
@@ -252,7 +252,7 @@ def bit_map(phrases: DataFrame) -> bytes:
             n = np.diff(woff)
             for k in np.unique(n).tolist():  # phrases of as many words
                 own = np.flatnonzero(n == k)
-                at = (mix(shingles(wh, k)[woff[own]] ^ _lang_seeds(langs)[codes[own]]) & np.uint64((1 << MAP_BITS) - 1)).astype(np.int64)
+                at = (mix(shingles(wh, k)[woff[own]] ^ _lang_seeds(langs)[codes[own]]) & np.uint64(8 * size - 1)).astype(np.int64)
                 np.bitwise_or.at(bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
         parts = bits.reshape(SLICES, -1)
         full = np.flatnonzero(parts.any(axis=1))
@@ -286,7 +286,7 @@ def _joined(words: str, first, size):
     return F.array_join(F.slice(F.col(words), first, size), " ")
 
 
-def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, longest: int = LONGEST, spill: str | None = None) -> DataFrame:
+def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, longest: int = LONGEST, spill: str | None = None, map_bits: int = MAP_BITS, held_rows: int = HELD_ROWS) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the best phrases of 2 to ``longest`` words of each language.
 
     Null texts and texts without words add nothing; a null lang is ``und``. Repeated rows count each time. Only lang and text are
@@ -301,8 +301,8 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, longest: i
     levels, bits = [], None
     for sizes in ((1,), (2,), tuple(range(3, longest + 1))):
         if sizes:
-            levels.append(written(counted(found(distinct, sizes, bits, buckets), least, spill, buckets), "phrases"))
-            bits = bit_map(levels[-1].where("phrase is not null")) if sizes[-1] < longest else None
+            levels.append(written(counted(found(distinct, sizes, bits, buckets, held_rows), least, spill, buckets), "phrases"))
+            bits = bit_map(levels[-1].where("phrase is not null"), map_bits) if sizes[-1] < longest else None
     dropped(distinct)
     totals = levels[0].where("phrase is null").groupBy("lang").agg(F.sum("f").alias("n"))
     every = levels[0]
