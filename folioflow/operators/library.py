@@ -175,3 +175,15 @@ def probe(pages: DataFrame) -> DataFrame:
     )
     scan = (F.col("density") < 50) & (F.col("n_pages") > 2)
     return rows.withColumn("route", document_route(scan, F.col("formula") > 0.1, F.col("fields") > 0, F.col("tables") > 0.1, F.col("images") > 0))
+
+
+def sections(chunks: DataFrame, paper: str = "paper_id", title: str = "section_title") -> DataFrame:
+    """(paper, chunks, sections): how many chunks a paper has, and its distinct section titles in order; blank ones do not count."""
+    named = F.when(F.coalesce(F.col(title), F.lit("")) != "", F.col(title))
+    per = chunks.groupBy(paper, named.alias("_t")).agg(F.count(F.lit(1)).alias("_n"))  # titles are made distinct before a paper's meet
+    return per.groupBy(paper).agg(F.sum("_n").alias("chunks"), F.array_sort(F.collect_list("_t")).alias("sections"))
+
+
+def page(items: DataFrame, order: Column, tie: str, limit: int, offset: int = 0) -> DataFrame:
+    """Rows ``offset`` to ``offset + limit`` in the order; each task keeps the first ``offset + limit`` of its rows, so no more are moved."""
+    return items.orderBy(order, F.col(tie)).offset(offset).limit(limit)

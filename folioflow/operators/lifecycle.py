@@ -79,3 +79,10 @@ def renamed_session(sessions: DataFrame, session_id: str, title: str, now: Colum
 def without_sessions(gone: DataFrame, *tables: DataFrame, key: str = "session_id") -> list[DataFrame]:
     """Each of the tables (sessions, messages, whatever hangs on them) without the rows of sessions that are gone."""
     return [t.join(gone.select(key).distinct(), key, "left_anti") for t in tables]
+
+
+def distinct_in_order(rows: DataFrame, group: str, value: str, order: list[str]) -> DataFrame:
+    """(group, values): a group's distinct values in the order of their first rows. Values are made distinct before a group's meet; null ones are left out."""
+    first = rows.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.min(F.struct(*order)).alias("_first"))
+    per = first.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("_first", value))).alias("_v"))
+    return per.select(group, F.transform("_v", lambda x: x[value]).alias("values"))

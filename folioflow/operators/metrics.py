@@ -104,3 +104,10 @@ def storage_stats(files: DataFrame) -> DataFrame:
 def cleaning_stats(before: Column, after: Column) -> dict[str, Column]:
     n, m = F.length(before), F.length(after)
     return {"original_length": n, "cleaned_length": m, "reduction_ratio": F.when(n > 0, F.round(1 - m / n, 3)).otherwise(F.lit(0.0))}
+
+
+def soak_rates(responses: DataFrame, group: str, ts: str, value: Column, high: Column) -> DataFrame:
+    """Per group the responses, the mean of a value, the share of responses with a property, and responses a minute between the first and the last."""
+    seconds = F.greatest(F.unix_micros(F.max(ts).cast("timestamp")) - F.unix_micros(F.min(ts).cast("timestamp")), F.lit(1_000_000)) / 1e6
+    n = F.count(F.lit(1))
+    return responses.groupBy(group).agg(n.alias("n"), F.round(F.avg(value), 6).alias("mean_value"), F.round(F.count_if(high) / n, 6).alias("high_rate"), F.round(n * 60 / seconds, 6).alias("per_minute"))

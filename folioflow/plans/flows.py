@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.functions import folds, rules, text
+from folioflow.index.bm25 import Bm25Index
 from folioflow.operators import answer, fusion, lexical, library, segment, vector
 from folioflow.operators.metrics import cleaning_stats
-from folioflow.sources import connectors, sinks
+from folioflow.sources import connectors, sinks, store
 
 
 def clean_paper(c: Column | str) -> Column:
@@ -57,17 +60,36 @@ def ingest(files: DataFrame, parser: connectors.Parser, embedder: connectors.Emb
     return parsed.join(per_paper, "paper_id", "left").select("paper_id", F.coalesce("chunks", F.lit(0)).alias("chunks"), "parts", "failed", status.alias("status"))
 
 
-def search(spark: SparkSession, index: str, questions: DataFrame, embedder: connectors.Embedder, gone: DataFrame | None = None, k: int = 20, final: int = 10) -> DataFrame:
-    """Questions (query_id, text) against an index from ingest: both legs, fused, with contents. Papers in ``gone`` (paper_id) are left out of results, not of statistics."""
+def leg(find: Callable[[], DataFrame], empty: str) -> tuple[DataFrame, str | None]:
+    """A leg's rows, found and written, and no error; or no rows of the schema ``empty`` and what went wrong, so that a search goes on with the other leg."""
+    try:
+        return store.stored(find(), "leg"), None
+    except Exception as e:
+        return SparkSession.active().createDataFrame([], empty), f"{type(e).__name__}: {str(e).strip().splitlines()[-1] if str(e).strip() else ''}"
+
+
+def search(spark: SparkSession, index: str, questions: DataFrame, embedder: connectors.Embedder, gone: DataFrame | None = None, k: int = 20, final: int = 10, failed: dict | None = None) -> DataFrame:
+    """Questions (query_id, text) against an index from ingest: both legs, fused, with contents. Papers in ``gone`` (paper_id) are left out of results, not of statistics.
+
+    A leg that fails counts as one that found nothing; ``failed`` is told its name and error. Where both fail, nothing is found.
+    """
     chunks = spark.read.parquet(f"{index}/vectors")
-    posted = spark.read.parquet(f"{index}/postings").drop("paper_id")
-    asked = connectors.embedded(questions, embedder, "text").select("query_id", F.col("embedding").alias("query_vec"))
     live = chunks if gone is None else chunks.join(gone.select("paper_id").distinct(), "paper_id", "left_anti")
-    dense = vector.knn(live, asked, k, id_col="row_id")
-    lengths = lexical.doc_stats(chunks, "row_id", "content").withColumnRenamed("row_id", "chunk_id")
-    terms = lexical.query_terms(questions, "query_id", "text")
-    scored = lexical.bm25(posted, lengths, terms, 2**31 - 1, id_col="chunk_id").drop("rank").withColumnRenamed("chunk_id", "row_id")
-    sparse = lexical.top(scored.join(live.select("row_id"), "row_id", "left_semi"), "query_id", "score", "row_id", k)
+
+    def by_vector() -> DataFrame:
+        asked = connectors.embedded(questions, embedder, "text").select("query_id", F.col("embedding").alias("query_vec"))
+        return vector.knn(live, asked, k, id_col="row_id")
+
+    def by_words() -> DataFrame:
+        terms = lexical.query_terms(questions, "query_id", "text")
+        found = Bm25Index(spark, f"{index}/postings").search(terms, k, None if gone is None else live.select(F.col("row_id").alias("id")))
+        return found.withColumnRenamed("id", "row_id")
+
+    query_id = questions.schema["query_id"].dataType.simpleString()
+    dense, wrong = leg(by_vector, f"query_id {query_id}, row_id string, distance double, rank int")
+    sparse, other = leg(by_words, f"query_id {query_id}, row_id string, score double, rank int")
+    if failed is not None:
+        failed |= {name: e for name, e in (("dense", wrong), ("sparse", other)) if e}
     fused = fusion.rrf(dense, sparse, final, "row_id")
     return fusion.with_content(fused, chunks.select("row_id", "paper_id", "chunk_index", "section_title", "content"), "row_id")
 

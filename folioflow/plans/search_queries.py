@@ -459,3 +459,29 @@ def document_counts(t: Tables) -> DataFrame:
 @query("SELECT count(DISTINCT source) AS documents, round(sum(n_chars) / 1048576, 6) AS size_mb FROM documents")
 def storage_stats(t: Tables) -> DataFrame:
     return metrics.storage_stats(t.documents.select(F.col("source").alias("paper_id"), F.col("n_chars").alias("length")))
+
+
+@query("""WITH s AS (SELECT source AS paper_id, split_part(text, ' ', 1) AS section FROM documents)
+SELECT paper_id, count(*) AS chunks, count(DISTINCT section) AS n_sections, md5(string_agg(DISTINCT section, '|' ORDER BY section)) AS sections FROM s GROUP BY paper_id""")
+def paper_sections(t: Tables) -> DataFrame:
+    """Chunks and distinct section titles of each paper, a text's first word standing for its section."""
+    chunks = t.documents.select(F.col("source").alias("paper_id"), F.split_part("text", F.lit(" "), F.lit(1)).alias("section_title"))
+    return library.sections(chunks).select("paper_id", "chunks", F.size("sections").cast("long").alias("n_sections"), F.md5(F.array_join("sections", "|")).alias("sections"))
+
+
+@query(f"SELECT item_id, import_time FROM {ITEMS_SQL} WHERE deleted_at IS NULL ORDER BY import_time DESC, item_id LIMIT 25 OFFSET 50")
+def library_page(t: Tables) -> DataFrame:
+    return library.page(items(t).where("deleted_at IS NULL"), F.col("import_time").desc(), "item_id", 25, 50).select("item_id", "import_time")
+
+
+@query("SELECT user_id, array_to_string(list(event_type ORDER BY first), ',') AS kinds FROM (SELECT user_id, event_type, min((ts, event_id)) AS first FROM events GROUP BY ALL) GROUP BY user_id")
+def distinct_in_order(t: Tables) -> DataFrame:
+    """A user's kinds of event in the order in which they first came."""
+    rows = lifecycle.distinct_in_order(t.events, "user_id", "event_type", ["ts", "event_id"])
+    return rows.select("user_id", F.array_join("values", ",").alias("kinds"))
+
+
+@query("""SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean_value, round(count(*) FILTER (value > 20) / count(*), 6) AS high_rate, round(count(*) * 60 / greatest(epoch(max(ts) - min(ts)), 1), 6) AS per_minute FROM events GROUP BY event_type""")
+def soak_rates(t: Tables) -> DataFrame:
+    """Averages over responses, the share of those with a property, and requests a minute."""
+    return metrics.soak_rates(t.events, "event_type", "ts", F.col("value"), F.col("value") > 20)

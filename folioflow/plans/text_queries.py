@@ -379,3 +379,24 @@ def highlight(t: Tables) -> DataFrame:
 def described_images(t: Tables) -> DataFrame:
     made = rows(t, "id int, text string", FIGURE_ROWS).withColumn("described", F.array(F.struct(F.lit("images/arch.png").alias("path"), F.lit("a diagram").alias("description"))))
     return segment.described(made).select("id", "text")
+
+
+ZH_NOISE = "分类号：TP391\n单位代码：10200\n作者：张三\n2019年5月\n第 3 页 共 90 页\n来源 中国知网 www.cnki.net 下载\n正文在此。作者简介：李四，教授\n"
+_ZH = "|".join(re2(p) for r in rules.ZH_LINE_RULES if not r.full and r.limit is None for p in r.patterns)
+_ZH_REGEX = "text"
+for _r in rules.ZH_REGEX_RULES:
+    _ZH_REGEX = f"regexp_replace({_ZH_REGEX}, {literal(re2(_r.pattern))}, '', 'g')"
+
+
+@query(f"""SELECT doc_id, md5(array_to_string(kept, chr(10))) AS cleaned, len(lines) - len(kept) AS removed FROM (
+  SELECT doc_id, lines, list_filter(lines, lambda l: {STRIP('l')} = '' OR NOT regexp_matches({STRIP('l')}, {literal(_ZH)})) AS kept
+  FROM (SELECT doc_id, string_split({literal(ZH_NOISE)} || text, chr(10)) AS lines FROM documents))""")
+def clean_zh_lines(t: Tables) -> DataFrame:
+    noisy = F.concat(F.lit(ZH_NOISE), "text")
+    kept = text.filter_lines(noisy, rules.ZH_LINE_RULES)
+    return t.documents.select("doc_id", F.md5(kept).alias("cleaned"), (F.size(F.split(noisy, "\n", -1)) - F.size(F.split(kept, "\n", -1))).alias("removed"))
+
+
+@query(f"SELECT doc_id, md5({_ZH_REGEX}) AS cleaned FROM (SELECT doc_id, {literal(ZH_NOISE)} || text AS text FROM documents)")
+def clean_zh_patterns(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", F.md5(text.substitute(F.concat(F.lit(ZH_NOISE), "text"), rules.ZH_REGEX_RULES)).alias("cleaned"))

@@ -14,12 +14,14 @@ def write_vectors(chunks: DataFrame, path: str) -> None:
 
 
 def write_postings(chunks: DataFrame, path: str) -> None:
-    """Postings of papers in their own partitions; statistics are counted from all postings when they are read."""
-    from folioflow.operators.lexical import postings
-
-    named = chunks.select("paper_id", F.concat_ws("_", "paper_id", F.col("chunk_index").cast("string")).alias("chunk_id"), "content")
-    posted = postings(named, "chunk_id", "content").join(named.select("chunk_id", "paper_id"), "chunk_id")
-    replace_partition(posted, path)
+    """Chunks into the keyword index under ``path``: one more part of it, which takes away all chunks that its papers had before."""
+    from folioflow.index.bm25 import Bm25Index
+
+    index = Bm25Index(chunks.sparkSession, path)
+    named = chunks.select("paper_id", F.concat_ws("_", "paper_id", F.col("chunk_index").cast("string")).alias("id"), "content")
+    known = index.documents().select("id", F.regexp_replace("id", r"_\d+\z", "").alias("paper_id"))
+    gone = known.join(named.select("paper_id").distinct(), "paper_id", "left_semi").select("id") if index.store.parts() else None
+    index.put(named, "id", "content", gone)
 
 
 def index_rows(chunks: DataFrame) -> DataFrame:

@@ -30,3 +30,25 @@ def test_from_files_to_answers(spark, tmp_path):
     assert told[1].source_ids[0] == "src_deep_0" and told[1].blocks[0]["type"] in ("paragraph", "heading")
     flows.ingest(files.where("path like '%cook%'"), connectors.TextParser(), connectors.HashEmbedder(32), out)
     assert spark.read.parquet(out + "/vectors").select("paper_id").distinct().count() == 3
+
+
+def test_a_failing_leg_is_an_empty_one(spark, tmp_path):
+    out = str(tmp_path / "index")
+    files = spark.createDataFrame([("cook.pdf", bytearray(b"# Soup\nBoil onions. Add salt."), 1), ("math.pdf", bytearray(b"# Sums\nAdd two numbers."), 1)], "path string, content binary, page_count int")
+    flows.ingest(files, connectors.TextParser(), connectors.HashEmbedder(32), out).collect()
+    questions = spark.createDataFrame([(1, "onions")], "query_id int, text string")
+
+    class Down:
+        window = 8000
+
+        def embed(self, texts):
+            raise ConnectionError("no model")
+
+    failed: dict = {}
+    found = flows.search(spark, out, questions, Down(), failed=failed).collect()
+    assert [r.paper_id for r in found] == ["cook"] and list(failed) == ["dense"]
+    import shutil
+
+    shutil.rmtree(f"{out}/postings")
+    failed = {}
+    assert flows.search(spark, out, questions, connectors.HashEmbedder(32), failed=failed).count() == 2 and not failed  # an index without parts finds nothing
