@@ -400,3 +400,19 @@ def clean_zh_lines(t: Tables) -> DataFrame:
 @query(f"SELECT doc_id, md5({_ZH_REGEX}) AS cleaned FROM (SELECT doc_id, {literal(ZH_NOISE)} || text AS text FROM documents)")
 def clean_zh_patterns(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.md5(text.substitute(F.concat(F.lit(ZH_NOISE), "text"), rules.ZH_REGEX_RULES)).alias("cleaned"))
+
+
+#: Letters as characters of a script without blanks, for texts in which words must be found.
+_AS_CJK = "".join(chr(0x4E00 + 37 * k) for k in range(26))
+
+
+@query()
+def cjk_words(t: Tables) -> DataFrame:
+    """Texts with their letters as CJK characters and no blanks between, cut into words by a dictionary counted from all texts."""
+    from folioflow.functions import lattice
+
+    made = t.documents.select("doc_id", F.translate(F.lower("text"), "abcdefghijklmnopqrstuvwxyz", _AS_CJK).alias("text"))
+    counts = made.select(F.explode(F.regexp_extract_all("text", F.lit(r"[\x{4E00}-\x{9FFF}]+"), F.lit(0))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    known = lattice.dictionary(counts)
+    found = made.select("doc_id", lattice.words(F.replace("text", F.lit(" "), F.lit("")), known).alias("words"))
+    return found.select("doc_id", F.size("words").alias("n_words"), F.md5(F.array_join("words", " ")).alias("words"))
