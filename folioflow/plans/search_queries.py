@@ -14,7 +14,7 @@ from folioflow.index.ivf import VectorIndex
 from folioflow.operators import answer, fusion, lexical, library, lifecycle, metrics, vector
 from folioflow.plans.registry import Tables, query, values
 from folioflow.plans.text_queries import TOKENS, rows
-from folioflow.sources.store import shared_dir
+from folioflow.sources.store import shared_dir, stored
 from folioflow.streaming.progress import debounced
 
 K = 20
@@ -485,3 +485,16 @@ def distinct_in_order(t: Tables) -> DataFrame:
 def soak_rates(t: Tables) -> DataFrame:
     """Averages over responses, the share of those with a property, and requests a minute."""
     return metrics.soak_rates(t.events, "event_type", "ts", F.col("value"), F.col("value") > 20)
+
+
+@query("""WITH a AS (SELECT * FROM documents WHERE NOT coalesce(n_chars < 300, false)), b AS (SELECT * FROM a WHERE lang <> 'de')
+SELECT 'short' AS stage, (SELECT count(*) FROM documents) AS rows_in, (SELECT count(*) FROM documents) - (SELECT count(*) FROM a) AS rejected, (SELECT count(*) FROM a) AS rows_out
+UNION ALL SELECT 'language', (SELECT count(*) FROM a), (SELECT count(*) FROM a) - (SELECT count(*) FROM b), (SELECT count(*) FROM b)""")
+def stage_counts(t: Tables) -> DataFrame:
+    """Rows into, out of and rejected by two stages, told by the one job that writes what is left."""
+    from folioflow.operators.observed import Stages
+
+    stages = Stages()
+    kept = stages.stage(stages.stage(t.documents, "short", F.col("n_chars") < 300), "language", F.col("lang") == "de")
+    stored(kept.select("doc_id"), "kept")
+    return stages.frame(t.spark)
