@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioflow.functions.text import strip
+
 BLOCK = "struct<type:string,text:string,level:int,ordered:boolean,items:array<string>,headers:array<string>,rows:array<array<string>>,language:string,citations:array<struct<offset:int,source_id:string>>>"
 FIELDS = ("type", "text", "level", "ordered", "items", "headers", "rows", "language", "citations")
 _HEADING, _DIVIDER, _ROW = re.compile(r"(#{1,6})\s+(.+)"), re.compile(r"---+"), re.compile(r"\|(.+)\|\s*")
@@ -163,3 +165,33 @@ def stored_blocks(c: Column | str) -> Column:
 def render(parts: Iterator[str]) -> str:
     """A token stream put together."""
     return "".join(parts)
+
+
+#: What a user is told of an error. Message, code, whether another try may help, what to do.
+USER_ERRORS = {
+    "rate_limit": ("当前请求量较大，请稍后再试", True, "请稍后重试"),
+    "connection": ("无法连接到 AI 服务，请检查网络后重试", True, "请检查网络"),
+    "server_error": ("AI 服务暂时不可用，请稍后再试", True, None),
+    "client_error": ("请求被拒绝（状态码 {}）", False, None),
+    "timeout": ("请求超时，请稍后再试", True, "请稍后重试"),
+    "unknown": ("处理请求时出现错误，请稍后再试", False, None),
+}
+NO_PROMPT = "请提供问题或内容"
+
+
+def user_error(kind: Column, status: Column) -> Column:
+    """(message, code, retryable, suggested_action) of an error of a kind (rate_limit, connection, status, timeout, any other) and, for ``status``, an HTTP status."""
+
+    def told(code: str) -> Column:
+        message, again, action = USER_ERRORS[code]
+        parts = [F.lit(x) for x in message.split("{}")]
+        return F.struct((F.concat(parts[0], status.cast("string"), parts[1]) if len(parts) > 1 else parts[0]).alias("message"), F.lit(code).alias("code"), F.lit(again).alias("retryable"), F.lit(action).cast("string").alias("suggested_action"))
+
+    known = F.when(kind == "rate_limit", told("rate_limit")).when(kind == "connection", told("connection"))
+    known = known.when((kind == "status") & (status >= 500), told("server_error")).when((kind == "status") & status.isNotNull(), told("client_error"))
+    return known.when(kind == "timeout", told("timeout")).otherwise(told("unknown"))
+
+
+def asked(requests: DataFrame, prompt: str = "prompt") -> DataFrame:
+    """Requests with ``refused``: what is told where the prompt is missing or blank, else null."""
+    return requests.withColumn("refused", F.when(F.coalesce(strip(prompt), F.lit("")) == "", NO_PROMPT))

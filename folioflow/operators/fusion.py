@@ -126,3 +126,13 @@ def evidence_loop(retrieve, judge, rewrite, query: str, k: int = 20, rounds: int
             break
         results = retrieve(query, k)
     return results, verdict, used
+
+
+def without(metadata: Column | str, *keys: str) -> Column:
+    """A map without these keys, as a search result's fields go beside its content."""
+    return F.map_filter(metadata, lambda k, _: ~k.isin(*keys))
+
+
+def in_order(answers: DataFrame, group: str, index: str, value: str) -> DataFrame:
+    """(group, values): what came back for one request, by the index that each answer carries, since answers may come in any order. A request is one batch, so its list is short."""
+    return answers.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct(index, value))), lambda x: x[value]).alias("values"))

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.functions.text import fold_accents, strip
+from folioflow.functions.text import ACCENTED, UNACCENTED, fold_accents, strip
 
 AUTHOR_SEPARATORS = "[,;、]"
 
@@ -66,21 +66,75 @@ def ordered(items: DataFrame, mode: str = "time") -> DataFrame:
     return items.orderBy(*keys, "item_id")
 
 
+#: Characters of a needle at most for nearest_run(): a bit of a 64-bit number for each, and two to spare.
+NEEDLE = 62
+
+
+def nearest_run(c: Column | str, needle: str) -> Column:
+    """The least edit distance of the needle (up to 62 characters) to any run of the text, the empty one included; case and accents do not matter.
+
+    Bit-parallel (Myers 1999): a column of the distance table is two numbers, a bit for each of the needle's characters, so each character of the text costs a few operations.
+    """
+    m = len(needle)
+    if not 0 < m <= NEEDLE:
+        raise ValueError(f"needle of {m} characters")
+    c = fold_accents(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")))
+    every, last, zero = F.lit((1 << m) - 1), F.lit(1 << (m - 1)), F.lit(0).cast("long")
+    chars = F.split(c, "")  # a null or empty text has one empty character, which equals nothing
+    folded = needle.lower().translate(str.maketrans(ACCENTED, UNACCENTED))
+    places = {ch: sum(1 << i for i, x in enumerate(folded) if x == ch) for ch in dict.fromkeys(folded)}
+
+    def step(s: Column, ch: Column) -> Column:
+        equal = zero
+        for x, bits in places.items():
+            equal = F.when(ch == x, F.lit(bits)).otherwise(equal)
+        # each name is a field of a nested struct, so that nothing is computed twice
+        a = F.struct(s["up"].alias("up"), s["down"].alias("down"), s["score"].alias("score"), s["best"].alias("best"), equal.alias("eq"))
+        return F.get(F.transform(F.array(a), step_of), 0)
+
+    def step_of(s: Column) -> Column:
+        across = (((s["eq"].bitwiseAND(s["up"])) + s["up"]).bitwiseXOR(s["up"])).bitwiseOR(s["eq"])
+        return F.get(F.transform(F.array(F.struct(s.alias("s"), across.alias("x"))), shifted), 0)
+
+    def shifted(t: Column) -> Column:
+        s, x = t["s"], t["x"]
+        more = s["down"].bitwiseOR(F.bitwise_not(x.bitwiseOR(s["up"])).bitwiseAND(every))
+        less = s["up"].bitwiseAND(x)
+        return F.get(F.transform(F.array(F.struct(s.alias("s"), more.alias("more"), less.alias("less"))), settled), 0)
+
+    def settled(t: Column) -> Column:
+        s, high = t["s"], lambda b: F.when(b.bitwiseAND(last) != 0, 1).otherwise(0)
+        score = s["score"] + high(t["more"]) - high(t["less"])
+        more, less = (F.shiftleft(t[b], 1).bitwiseAND(every) for b in ("more", "less"))
+        both = s["eq"].bitwiseOR(s["down"])
+        up = less.bitwiseOR(F.bitwise_not(both.bitwiseOR(more)).bitwiseAND(every))
+        return F.struct(up.alias("up"), more.bitwiseAND(both).alias("down"), score.alias("score"), F.least(s["best"], score).alias("best"))
+
+    first = F.struct(every.cast("long").alias("up"), zero.alias("down"), F.lit(m).alias("score"), F.lit(m).alias("best"))
+    return F.aggregate(chars, first, step, lambda s: s["best"])
+
+
 def fuzzy_distance(c: Column | str, needle: str) -> Column:
     """The least edit distance of the needle to a run of as many characters of the text, as a share of its length; case, accents and place do not matter."""
     c = fold_accents(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")))
     n = len(needle)
-    starts = F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1)))
-    runs = F.transform(starts, lambda i: F.levenshtein(F.substr(c, i, F.lit(n)), fold_accents(F.lit(needle))))
+    chars = F.split(c, "")
+    starts = F.sequence(F.lit(1), F.greatest(F.size(chars) - n + 1, F.lit(1)))
+    runs = F.transform(starts, lambda i: F.levenshtein(F.array_join(F.slice(chars, i, n), ""), fold_accents(F.lit(needle))))
     return F.array_min(runs) / F.lit(float(n))
 
 
 def fuzzy_search(items: DataFrame, needle: str, weights: dict[str, float] | None = None, threshold: float = 0.4) -> DataFrame:
-    """Items where some field is within the threshold, by the weighted mean of the fields' distances (own measure, of the kind that search boxes use)."""
+    """Items where some field is within the threshold, by the weighted mean of the fields' distances (own measure, of the kind that search boxes use).
+
+    A run of any length is no farther than one of the needle's length, so one pass by nearest_run() rules most items out; the others are measured.
+    """
     weights = weights or {"title": 0.5, "authors": 0.3, "keywords": 0.2}
     needle = needle.strip()
     if not needle:
         return items.limit(0).withColumn("score", F.lit(0.0))
+    if len(needle) <= NEEDLE:
+        items = items.where(F.least(*[nearest_run(c, needle) for c in weights], F.lit(NEEDLE)) <= threshold * len(needle) + 1e-9)
     far = {c: F.least(fuzzy_distance(c, needle), F.lit(1.0)) for c in weights}
     near = F.least(*far.values()) if len(far) > 1 else next(iter(far.values()))
     score = sum(far[c] * w for c, w in weights.items()) / sum(weights.values())
@@ -167,14 +221,21 @@ def document_route(scan: Column, formulas: Column, forms: Column, tables: Column
 
 
 def probe(pages: DataFrame) -> DataFrame:
-    """Features of documents from pages (paper_id, page, n_chars, formula_score, table_score, n_images, n_fields): scores are means over the first ten pages."""
+    """Features of documents from pages (paper_id, page, n_chars, formula_score, table_score, n_images, n_fields), and by them a route and how complex a document is.
+
+    Scores are means over the first ten pages, and images are counted there; characters and form fields over all.
+    """
     early = F.col("page") <= 10
+    score = lambda c: F.coalesce(F.round(F.avg(F.when(early, F.least(c, F.lit(1.0)))), 9), F.lit(0.0))
     rows = pages.groupBy("paper_id").agg(
-        F.count(F.lit(1)).alias("n_pages"), F.avg("n_chars").alias("density"), F.avg(F.when(early, F.least("formula_score", F.lit(1.0)))).alias("formula"),
-        F.avg(F.when(early, F.least("table_score", F.lit(1.0)))).alias("tables"), F.sum("n_images").alias("images"), F.sum("n_fields").alias("fields"),
+        F.count(F.lit(1)).alias("n_pages"), F.avg("n_chars").alias("density"), (F.sum("n_chars") > 100).alias("has_text"), score("formula_score").alias("formula"),
+        score("table_score").alias("tables"), F.coalesce(F.sum(F.when(early, F.col("n_images"))), F.lit(0)).alias("images"), F.sum("n_fields").alias("fields"),
     )
-    scan = (F.col("density") < 50) & (F.col("n_pages") > 2)
-    return rows.withColumn("route", document_route(scan, F.col("formula") > 0.1, F.col("fields") > 0, F.col("tables") > 0.1, F.col("images") > 0))
+    scan, formulas, tables = (F.col("density") < 50) & (F.col("n_pages") > 2), F.col("formula") > 0.1, F.col("tables") > 0.1
+    forms, images = F.col("fields") > 0, F.col("images") > 0
+    weight = sum(F.when(c, n).otherwise(0) for c, n in ((scan, 3), (formulas, 2), (tables, 1), (forms, 1), (images, 1)))
+    complexity = F.when(weight >= 4, "complex").when(weight >= 2, "moderate").otherwise("simple")
+    return rows.withColumns({"route": document_route(scan, formulas, forms, tables, images), "complexity": complexity})
 
 
 def sections(chunks: DataFrame, paper: str = "paper_id", title: str = "section_title") -> DataFrame:
@@ -187,3 +248,27 @@ def sections(chunks: DataFrame, paper: str = "paper_id", title: str = "section_t
 def page(items: DataFrame, order: Column, tie: str, limit: int, offset: int = 0) -> DataFrame:
     """Rows ``offset`` to ``offset + limit`` in the order; each task keeps the first ``offset + limit`` of its rows, so no more are moved."""
     return items.orderBy(order, F.col(tie)).offset(offset).limit(limit)
+
+
+#: A record's fields and the names under which they come, the first that has a value counts. Fixed values.
+ALIASES = {"item_id": ("item_id", "library_item_id", "paper_id"), "title": ("title",), "authors": ("authors",), "kind": ("file_type", "kind"), "file_hash": ("file_hash",), "import_time": ("import_time",)}
+COUNTS = {"pages": ("page_count", "total_pages"), "chunk_count": ("chunk_count",)}
+STATUSES = ("ready", "failed")
+
+
+def records(raw: DataFrame, column: str) -> DataFrame:
+    """JSON objects as library records: each field by the first of its names with a value, blank strings and counts of 0 being none; a status that is not known is ``ready``.
+
+    Fields are added to the row. Rows whose JSON is broken or that have no id are marked in ``rejected``, not lost.
+    """
+    names = [n for group in (*ALIASES.values(), *COUNTS.values(), ("status", "year")) for n in group]
+    types = {n: "bigint" for n in (*COUNTS["pages"], *COUNTS["chunk_count"], "year")}
+    r = F.from_json(column, ", ".join(f"{n} {types.get(n, 'string')}" for n in dict.fromkeys(names)) + ", keywords array<string>, _broken string", {"columnNameOfCorruptRecord": "_broken"})
+    rows = raw.withColumn("_r", r)
+    blank = lambda n: F.nullif(strip(F.col(f"_r.{n}")), F.lit(""))
+    out = {k: F.coalesce(*map(blank, group), *([] if k == "item_id" else [F.lit("")])) for k, group in ALIASES.items()}
+    out |= {k: F.coalesce(*[F.nullif(F.col(f"_r.{n}"), F.lit(0)) for n in group], F.lit(0)) for k, group in COUNTS.items()}
+    out |= {"status": F.when(F.col("_r.status").isin(*STATUSES), F.col("_r.status")).otherwise("ready"), "year": F.col("_r.year")}
+    out |= {"keywords": F.coalesce("_r.keywords", F.array().cast("array<string>"))}
+    out |= {"rejected": F.when(F.col("_r").isNull() | F.col("_r._broken").isNotNull(), "broken").when(out["item_id"].isNull(), "no id")}
+    return rows.withColumns(out).drop("_r")

@@ -9,7 +9,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions.text import pdf_year
@@ -146,3 +146,43 @@ def content_blocks(c: Column | str) -> Column:
 
 def shift_pages(blocks: Column, by: Column) -> Column:
     return F.transform(blocks, lambda b: b.withField("page_idx", b["page_idx"] + by))
+
+
+def merged_parts(parts: DataFrame, key: str = "path") -> DataFrame:
+    """Parsed page ranges (key, part, page_count, markdown, content_list) as one document each: markdown two new lines apart, blocks in one list, their pages moved by those of the parts before.
+
+    A part whose markdown is null has failed: its pages count, its text and blocks are left out. Blocks that are no JSON are left out.
+    """
+    before = F.coalesce(F.sum("page_count").over(Window.partitionBy(key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
+    failed = F.col("markdown").isNull()
+    blocks = F.coalesce(shift_pages(content_blocks(F.col("content_list")), F.col("_before")), content_blocks(F.lit("[]")))
+    rows = parts.withColumn("_before", before)
+    kept = F.array_sort(F.collect_list(F.when(~failed, F.struct("part", "markdown", blocks.alias("blocks")))))
+    merged = rows.groupBy(key).agg(kept.alias("_kept"), F.sum("page_count").alias("page_count"), F.count(F.lit(1)).alias("parts"), F.count(F.when(failed, 1)).alias("failed"))
+    text = F.array_join(F.transform("_kept", lambda x: x["markdown"]), "\n\n")
+    return merged.select(key, text.alias("markdown"), F.flatten(F.transform("_kept", lambda x: x["blocks"])).alias("content_list"), "page_count", "parts", "failed")
+
+
+def first_file(files: DataFrame, key: str = "paper_id", suffixes: tuple[str, ...] = (".pdf",)) -> DataFrame:
+    """(key, path): the first file by name of each document that has one of the suffixes, in any case."""
+    from folioflow.functions.text import suffix
+
+    return files.where(suffix("path").isin(*suffixes)).groupBy(key).agg(F.min("path").alias("path"))
+
+
+def artifacts(rows: DataFrame) -> DataFrame:
+    """What a document's JSON files (columns markdown, structured, report; null: no such file) tell: sizes, keys, section names in order; a file that is broken tells nothing, a value it lacks is 0 or none."""
+    broken = {"columnNameOfCorruptRecord": "_broken"}
+    md = F.from_json("markdown", "markdown string, metadata map<string,string>, _broken string", broken)
+    st = F.from_json("structured", "chunks array<struct<section_title:string>>, _broken string", broken)
+    rp = F.from_json("report", "total_chunks bigint, total_chars bigint, stages map<string,string>, _broken string", broken)
+    whole = lambda c, x: F.when(c.isNotNull() & c["_broken"].isNull(), x)
+    no_names = F.array().cast("array<string>")
+    titles = F.filter(F.transform(st["chunks"], lambda x: x["section_title"]), lambda x: F.coalesce(x, F.lit("")) != "")
+    out = {
+        "char_count": whole(md, F.coalesce(F.length(md["markdown"]), F.lit(0))), "metadata_keys": whole(md, F.coalesce(F.array_sort(F.map_keys(md["metadata"])), no_names)),
+        "chunk_count": whole(st, F.coalesce(F.size(st["chunks"]), F.lit(0))), "sections": whole(st, F.coalesce(F.array_sort(F.array_distinct(titles)), no_names)),
+        "total_chunks": whole(rp, F.coalesce(rp["total_chunks"], F.lit(0))), "total_chars": whole(rp, F.coalesce(rp["total_chars"], F.lit(0))),
+        "stages": whole(rp, F.coalesce(F.array_sort(F.map_keys(rp["stages"])), no_names)),
+    }
+    return rows.withColumns(out).drop("markdown", "structured", "report")

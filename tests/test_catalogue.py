@@ -1,6 +1,7 @@
 import pytest
 from compare import duck_rows, spark_rows
 
+import folioflow.plans.ingest_queries
 import folioflow.plans.search_queries
 import folioflow.plans.stream_queries
 import folioflow.plans.text_queries  # noqa: F401
