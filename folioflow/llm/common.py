@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable
 
@@ -56,7 +57,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_paths: dict[str, str] = {}
+_local = threading.local()
+
+
+def _paths() -> set[str]:
+    """Tables that this thread has written and not removed; other threads' runs in the same driver have their own."""
+    if not hasattr(_local, "paths"):
+        _local.paths = set()
+    return _local.paths
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -71,7 +79,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     fs.deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)
     out._table = path
-    _paths[path] = name
+    _paths().add(path)
     return out
 
 
@@ -89,7 +97,7 @@ def dropped(*frames: DataFrame) -> None:
 def _remove(spark: SparkSession, path: str) -> None:
     fs, where = _at(spark, path)
     fs.delete(where, True)
-    _paths.pop(path, None)
+    _paths().discard(path)
 
 
 def tidied(spark: SparkSession) -> None:
@@ -100,14 +108,14 @@ def tidied(spark: SparkSession) -> None:
 
 
 class Scratch:
-    """Tables that are written while it is open; settled() writes a result and removes all others."""
+    """Tables that its thread writes while it is open; settled() writes a result and removes all others."""
 
     def __init__(self) -> None:
-        self.before = set(_paths)
+        self.before = set(_paths())
 
     def settled(self, df: DataFrame, name: str) -> DataFrame:
         out = written(df, name)
-        for path in set(_paths) - self.before - {out._table}:
+        for path in _paths() - self.before - {out._table}:
             _remove(df.sparkSession, path)
         return out
 

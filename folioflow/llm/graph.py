@@ -33,7 +33,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     now = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
     told = None
     while True:
-        mark = now.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long"))).first()
+        # edges are distinct, so their number and two 64-bit marks of the set tell whether a step has changed it
+        mark = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").cast("decimal(20,0)"))).first()
         if tuple(mark) == told or not mark[0]:
             break
         told = tuple(mark)

@@ -14,6 +14,9 @@ MAX_ROWS = 8000
 #: Bytes of text that are collected for training at most; documents beyond are left out, never cut.
 MAX_BYTES = 64 << 20
 
+#: Parts in which a share of the rows is drawn by the first of two hashes.
+SCALE = 1_000_000
+
 
 def held_out(doc_id: str = "doc_id") -> Column:
     """True for the fold that is never learned from: crc32 of doc_id as text, mod 5, is 0. A null id counts as empty text, so held out."""
@@ -22,7 +25,6 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def _drawn(rows: DataFrame, label: str, shares: dict | None, max_rows: int) -> DataFrame:
     """About ``max_rows`` of the rows, drawn by a hash of doc_id; ``shares`` of them by label, or as many of each, however many labels there are."""
-    scale = 1_000_000
     counts = rows.groupBy(label).count()
     if shares:
         share = F.lit(0.0)
@@ -30,9 +32,14 @@ def _drawn(rows: DataFrame, label: str, shares: dict | None, max_rows: int) -> D
             share = F.when(F.col(label) == value, float(part)).otherwise(share)
     else:
         share = F.lit(1 / max(1, counts.count()))
-    bound = F.when(share > 0, F.greatest(F.lit(1), F.floor(F.least(F.lit(1.0), share * max_rows / F.col("count")) * scale))).otherwise(0)
-    bounds = counts.select(label, bound.alias("_bound"))  # a row for each label
-    return rows.join(F.broadcast(bounds), label).where(F.pmod(F.xxhash64(F.col("doc_id")), F.lit(scale)) < F.col("_bound")).select(*rows.columns)
+    part = F.least(F.lit(1.0), share * max_rows / F.col("count")) * SCALE
+    bound = F.when(share > 0, F.greatest(F.lit(1), F.floor(part))).otherwise(0)
+    # a share below one in ``SCALE`` is drawn again by a second hash, so that the sample is as small however many rows there are
+    fine = F.floor(F.least(F.lit(1.0), part) * float(1 << 53))
+    bounds = counts.select(label, bound.alias("_bound"), fine.alias("_fine"))  # a row for each label
+    first = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(SCALE)) < F.col("_bound")
+    second = F.shiftrightunsigned(F.xxhash64(F.lit("second"), F.col("doc_id")), 11) < F.col("_fine")
+    return rows.join(F.broadcast(bounds), label).where(first & second).select(*rows.columns)
 
 
 def _collected(docs: DataFrame, drawn: DataFrame) -> tuple[pa.Array, list]:

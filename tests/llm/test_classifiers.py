@@ -127,6 +127,14 @@ def test_every_label_is_drawn(spark, monkeypatch):
     assert set(labels) == {"low", "high"} and sum(len(t) for t in texts.to_pylist()) <= 20_000
 
 
+def test_samples_are_bounded_at_any_row_count(spark, monkeypatch):
+    rows = spark.range(40_000).selectExpr("id AS doc_id", "'l' || id % 2 AS lang")
+    whole = learn._drawn(rows, "lang", None, 400).count()
+    monkeypatch.setattr(learn, "SCALE", 4)  # shares of one in two hundred, far below one in SCALE
+    assert 300 < learn._drawn(rows, "lang", None, 400).count() < 500 and 300 < whole < 500
+    assert learn._drawn(rows, "lang", None, 80_000).count() == 40_000
+
+
 def test_a_hundred_languages(spark):
     """Each language has letters of its own; one of them has nine tenths of all rows."""
     rng = random.Random(8)

@@ -96,3 +96,18 @@ def test_chunks_are_whole_texts(limit):
     got = [data[a:b].tobytes().decode() for _, data, off in kernels.chunks([batch.slice(1), batch.slice(0, 0)], "text", limit) for a, b in zip(off[:-1], off[1:], strict=True)]
     assert got == ["", "", "c" * 50, "dé"]
     assert np.array_equal(kernels.mix(np.array([1], np.uint64)), kernels.mix(np.array([1], np.uint64)))
+
+
+def test_scratch_keeps_the_tables_of_other_threads(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(1) as other:
+        scratch = common.Scratch()
+        theirs = other.submit(common.written, spark.range(3).toDF("n"), "theirs").result()
+        ours = common.written(spark.range(2).toDF("n"), "ours")
+        out = scratch.settled(ours.selectExpr("n + 1 AS n"), "out")
+        assert theirs.count() == 3 and sorted(r.n for r in out.collect()) == [1, 2]
+        with pytest.raises(Exception, match="(?i)not exist|cannot be found|not found"):
+            ours.count()
+        other.submit(common.dropped, theirs).result()
+        common.dropped(out)
