@@ -52,7 +52,11 @@ def clean_control_chars(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.md5(text.substitute(F.replace("text", F.lit("th"), F.lit("\x01th\x7f")), [rules.CONTROL])).alias("cleaned"))
 
 
-@query()
+@query(r"""WITH c AS (SELECT doc_id, unnest(string_split(text || repeat('z', 60), '')) AS c, generate_subscripts(string_split(text || repeat('z', 60), ''), 1) AS i FROM documents),
+r AS (SELECT doc_id, i, c, c IS DISTINCT FROM lag(c) OVER o AS starts, count(*) OVER (PARTITION BY doc_id) AS n FROM c WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+k AS (SELECT doc_id, i, c, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i), n + 1) - i AS times FROM r WHERE starts),
+t AS (SELECT doc_id, string_agg(repeat(c, CASE WHEN times > 50 AND NOT regexp_matches(c, '[\s\pZ\-.=*|_~#]') THEN 3 ELSE times END), '' ORDER BY i) AS cleaned FROM k GROUP BY doc_id)
+SELECT doc_id, length(cleaned)::INTEGER AS n, md5(cleaned) AS cleaned FROM documents LEFT JOIN t USING (doc_id)""")
 def clean_repeated_chars(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", text.substitute(F.concat("text", F.repeat(F.lit("z"), 60)), [rules.REPEATED]).alias("cleaned")).select("doc_id", F.length("cleaned").alias("n"), F.md5("cleaned").alias("cleaned"))
 
@@ -76,14 +80,21 @@ def rstrip_lines(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.md5(text.rstrip_lines(F.concat(F.replace("text", F.lit("\n"), F.lit(" \t\n")), F.lit("  ")))).alias("cleaned"))
 
 
-@query("""WITH l AS (SELECT doc_id, i - 1 AS idx, 1 + length(lines[i]) % 6 AS level FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents), unnest(range(1, len(lines) + 1)) AS u(i))
-SELECT doc_id, idx, level, (idx + 1 + min(level - idx - 1) OVER (PARTITION BY doc_id ORDER BY idx ROWS UNBOUNDED PRECEDING))::INTEGER AS new_level FROM l""")
+HEADINGS = """WITH l AS (SELECT doc_id, i - 1 AS idx, 1 + length(lines[i]) % 6 AS level FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents), unnest(range(1, len(lines) + 1)) AS u(i))
+SELECT doc_id, idx, level, (idx + 1 + min(level - idx - 1) OVER (PARTITION BY doc_id ORDER BY idx ROWS UNBOUNDED PRECEDING))::INTEGER AS new_level FROM l"""
+
+
+@query(HEADINGS)
 def heading_normalize(t: Tables) -> DataFrame:
     lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("idx", "line")).select("doc_id", "idx", (1 + F.length("line") % 6).alias("level"))
     return segment.normalize_headings(lines, "doc_id", "idx", "level")
 
 
-@query()
+@query(f"""WITH RECURSIVE h AS ({HEADINGS}),
+r AS (SELECT doc_id, idx, ['h' || idx] AS stack, []::VARCHAR[] AS path FROM h WHERE idx = 0
+  UNION ALL
+  SELECT h.doc_id, h.idx, list_append(r.stack[1:h.new_level - 1], 'h' || h.idx), r.stack[1:h.new_level - 1] FROM r JOIN h ON h.doc_id = r.doc_id AND h.idx = r.idx + 1)
+SELECT doc_id, list(path ORDER BY idx) AS paths FROM r GROUP BY doc_id""")
 def heading_path(t: Tables) -> DataFrame:
     head = F.struct("idx", F.concat(F.lit("h"), F.col("idx").cast("string")).alias("title"), F.col("new_level").alias("level"))
     return heading_normalize(t).groupBy("doc_id").agg(F.array_sort(F.collect_list(head)).alias("heads")).select("doc_id", segment.heading_paths(F.col("heads")).alias("paths"))
@@ -124,7 +135,15 @@ def ocr_cjk_spaces(t: Tables) -> DataFrame:
     return rows(t, CJK_COLUMNS, CJK_ROWS).select("id", text.join_cjk("t").alias("t"))
 
 
-@query()
+_BLANK = r"\s\pZ\x0b\x1c-\x1f\x{85}"
+_LINK = rf"https?://[^{_BLANK}]*[{_BLANK}]+[^{_BLANK}]+"
+
+
+@query(f"""WITH RECURSIVE u AS (SELECT doc_id, 'see https://example.org/a b' || chr(10) || text AS t, 0 AS step FROM documents
+  UNION ALL
+  SELECT doc_id, now, step + 1 FROM (SELECT doc_id, t, step, p[1] || coalesce(list_aggregate(list_transform(range(1, len(m) + 1), lambda i: replace(m[i], ' ', '') || p[i + 1]), 'string_agg', ''), '') AS now
+    FROM (SELECT *, regexp_extract_all(t, '{_LINK}') AS m, string_split_regex(t, '{_LINK}') AS p FROM u)) WHERE now <> t)
+SELECT doc_id, md5(arg_max(t, step)) AS cleaned FROM u GROUP BY doc_id""")
 def url_space_fix(t: Tables) -> DataFrame:
     made = F.concat(F.lit("see https://example.org/a b\n"), F.col("text"))
     return t.documents.select("doc_id", F.md5(folds.on_column(folds.join_urls)(made)).alias("cleaned"))
