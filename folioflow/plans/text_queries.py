@@ -290,10 +290,18 @@ def citation_extract(t: Tables) -> DataFrame:
     return marked.select("conv_id", "turn", F.inline(answer.citations("t")))
 
 
-@query()
+@query(r"""WITH l AS (SELECT conv_id, turn, i, trim(lines[i], ' ' || chr(9) || chr(13)) AS line FROM (SELECT conv_id, turn, string_split('a[1] b[9] ' || text || '[2]', chr(10)) AS lines FROM conversations), unnest(range(1, len(lines) + 1)) AS u(i)
+  WHERE NOT regexp_full_match(lines[i], '#{1,6}\s+.+|---+|\|.+\|\s*|[-*]\s+.+|\d+\.\s+.+')),
+p AS (SELECT *, string_split_regex(line, '\[\d+\]') AS parts, list_transform(regexp_extract_all(line, '\[(\d+)\]', 1), lambda x: x::HUGEINT) AS numbers FROM l),
+c AS (SELECT conv_id, turn, i, k, length(list_aggregate(parts[1:k], 'string_agg', '')) || ':' || ['src_a', 'src_b'][numbers[k]::BIGINT] AS cited FROM p, unnest(range(1, len(numbers) + 1)) AS u(k) WHERE numbers[k] BETWEEN 1 AND 2),
+g AS (SELECT conv_id, turn, list(cited ORDER BY i, k) AS citations FROM c GROUP BY conv_id, turn)
+SELECT conv_id, turn, coalesce(g.citations, []) AS citations FROM conversations LEFT JOIN g USING (conv_id, turn)""".replace("\\\\", "\\"))
 def citation_inject(t: Tables) -> DataFrame:
+    """Offsets and sources of citations as ``offset:source``, by paragraph; lines of other kinds cite nothing."""
     marked = t.conversations.select("conv_id", "turn", F.concat(F.lit("a[1] b[9] "), F.col("text"), F.lit("[2]")).alias("text"), F.array(F.lit("src_a"), F.lit("src_b")).alias("sources"))
-    return answer.blocks(marked, "text", "sources").select("conv_id", "turn", F.flatten(F.transform("blocks", lambda b: F.coalesce(b["citations"], F.expr("cast(array() as array<struct<offset:int,source_id:string>>)")))).alias("citations"))
+    cited = F.filter(F.col("blocks"), lambda b: b["citations"].isNotNull())
+    told = F.flatten(F.transform(cited, lambda b: F.transform(b["citations"], lambda c: F.concat_ws(":", c["offset"].cast("string"), c["source_id"]))))
+    return answer.blocks(marked, "text", "sources").select("conv_id", "turn", told.alias("citations"))
 
 
 @query()
