@@ -220,7 +220,23 @@ def rule_boundaries(t: Tables) -> DataFrame:
     return per_doc.select("doc_id", segment.rule_boundaries(F.col("items")).alias("cuts")).where(F.size("cuts") > 0)
 
 
-@query()
+# A step is one cut of a chunk over the bound: it may reach so far, and ends after the last mark beyond the least place.
+PIECES = f"""{CHUNKS},
+w AS (SELECT doc_id, chunk_index, content, length(content) AS size, -1 AS step, 0 AS start, 0 AS stop, 0 AS after, '' AS said FROM c WHERE {TOKENS('content')} > {segment.MAX_TOKENS}
+  UNION ALL
+  SELECT doc_id, chunk_index, content, size, step, start, stop, CASE WHEN said <> '' AND stop < size THEN stop - {segment.OVERLAP_CHARS} ELSE stop END, said FROM (
+    SELECT *, {STRIP('substr(content, start + 1, stop - start)')} AS said FROM (
+      SELECT *, CASE WHEN reach < size AND marked > 0 THEN least_stop + marked + 1 ELSE reach END AS stop FROM (
+        SELECT *, length(regexp_extract(substr(content, least_stop + 2, reach - least_stop), '(?s)^.*[。！？.!?;]')) AS marked FROM (
+          SELECT *, greatest(start + {segment.CUT_CHARS // 2}, reach - {segment.LOOK_BACK}) AS least_stop FROM (
+            SELECT doc_id, chunk_index, content, size, step + 1 AS step, after AS start, least(after + {segment.CUT_CHARS}, size) AS reach FROM w WHERE after < size))))))"""
+
+
+@query(f"""{PIECES},
+p AS (SELECT doc_id, chunk_index AS parent_index, row_number() OVER (PARTITION BY doc_id, chunk_index ORDER BY step) - 1 AS piece, start AS char_start, stop AS char_end, {TOKENS('said')} AS token_count, true AS was_cut FROM w WHERE said <> ''
+  UNION ALL SELECT doc_id, chunk_index, 0, 0, length(content), {TOKENS('content')}, false FROM c WHERE {TOKENS('content')} <= {segment.MAX_TOKENS}),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY parent_index, piece) - 1 AS number FROM p)
+SELECT doc_id, number::INTEGER AS chunk_index, parent_index, piece::INTEGER AS piece, char_start::INTEGER AS char_start, char_end::INTEGER AS char_end, token_count, was_cut, 'chunk_' || lpad(number::VARCHAR, 4, '0') AS chunk_id FROM n""")
 def oversize_rechunk(t: Tables) -> DataFrame:
     return segment.rechunk(segment.chunks(t.documents)).select("doc_id", "chunk_index", "parent_index", "piece", "char_start", "char_end", "token_count", "was_cut", "chunk_id")
 
