@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioflow.operators.sized import MOST_TERMS, is_small
+
 K1, B, EPSILON = 1.5, 0.75, 0.25
 WORD = r"[\p{L}\p{N}]+"
 
@@ -40,14 +42,15 @@ def bm25(posted: DataFrame, lengths: DataFrame, queries: DataFrame, k: int, allo
 
     ``queries`` is (query_id, token, times). The documents are ``lengths``, so statistics count those without a token.
     ``allowed`` (id, or query_id and id) restricts results after scoring, so statistics stay those of all documents.
-    Queries are a stated set, so their terms go to the postings, and only matching postings are shuffled.
+    Up to ``sized.MOST_TERMS`` terms of queries go to the postings, and only matching postings are shuffled; more terms are joined by shuffles.
     """
     n, avgdl = lengths.agg(F.count(F.lit(1)), F.avg("dl")).first()
-    asked = F.broadcast(queries.select("token").distinct())
+    sent = F.broadcast if is_small(queries, MOST_TERMS) else lambda df: df
+    asked = sent(queries.select("token").distinct())
     idf = term_stats(posted, n).join(asked, "token")
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(float(avgdl or 1))))
     # the semi-join goes below the counting of postings, so other terms are never shuffled
-    met = posted.join(asked, "token", "left_semi").join(F.broadcast(queries), "token").join(F.broadcast(idf), "token").join(lengths, id_col)
+    met = posted.join(asked, "token", "left_semi").join(sent(queries), "token").join(sent(idf), "token").join(lengths, id_col)
     scored = met.groupBy("query_id", id_col).agg(F.round(F.sum(part), 6).alias("score"))
     if allowed is not None:
         scored = scored.join(allowed, [c for c in ("query_id", id_col) if c in allowed.columns], "left_semi")

@@ -112,7 +112,7 @@ def rechunk(chunked: DataFrame, id_col: str = "doc_id") -> DataFrame:
     many = chunked.where(big).select(id_col, F.col("chunk_index").alias("parent_index"), "section_title", F.lit(True).alias("was_cut"), cut("content").alias("pieces"))
     rows = few.unionByName(many).select(id_col, "parent_index", "section_title", "was_cut", F.posexplode("pieces").alias("piece", "_p"))
     number = F.row_number().over(Window.partitionBy(id_col).orderBy("parent_index", "piece")) - 1
-    return rows.select(id_col, number.alias("chunk_index"), "parent_index", "piece", F.col("_p.start").alias("char_start"), F.col("_p.end").alias("char_end"), F.col("_p.content").alias("content"), estimate_tokens("_p.content").alias("token_count"), "section_title", "was_cut", F.concat(F.lit("chunk_"), F.lpad(number.cast("string"), 4, "0")).alias("chunk_id"))
+    return rows.select(id_col, number.alias("chunk_index"), "parent_index", "piece", F.col("_p.start").alias("char_start"), F.col("_p.end").alias("char_end"), F.col("_p.content").alias("content"), estimate_tokens("_p.content").alias("token_count"), "section_title", "was_cut", F.format_string("chunk_%04d", number).alias("chunk_id"))
 
 
 def embedding_boundaries(vectors: DataFrame, group: str, order: str, similarity: str = "similarity", window: int = 3, drop: float = 0.3) -> DataFrame:

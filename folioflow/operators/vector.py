@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.operators.lexical import top
+from folioflow.operators.sized import QUERY_BLOCK, blocks
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -29,15 +32,15 @@ def euclidean(a: Column, b: Column) -> Column:
 def knn(vectors: DataFrame, queries: DataFrame, k: int, allowed: list | None = None, id_col: str = "vec_id", vec_col: str = "embedding", filter_col: str | None = None) -> DataFrame:
     """(query_id, id, distance, rank): the k nearest rows of each query by 1 - cosine, ties by id.
 
-    ``queries`` (query_id, query_vec) is a stated set and goes to the scan; ``allowed`` values of ``filter_col``
-    are a predicate on the scan, before any distance. Norms are worked out once a row.
+    ``queries`` (query_id, query_vec) is a stated set and goes to the scan, ``sized.QUERY_BLOCK`` vectors for each pass;
+    ``allowed`` values of ``filter_col`` are a predicate on the scan, before any distance. Norms are worked out once a row.
     """
     rows = vectors if allowed is None else vectors.where(F.col(filter_col or id_col).isin(allowed))
     rows = rows.select(id_col, F.col(vec_col).alias("_v"), norm(F.col(vec_col)).alias("_n"))
     asked = queries.select("query_id", F.col("query_vec"), norm(F.col("query_vec")).alias("_q"))
     distance = F.round(1 - F.when(F.col("_n") * F.col("_q") == 0, F.lit(0.0)).otherwise(dot(F.col("_v"), F.col("query_vec")) / (F.col("_n") * F.col("_q"))), 9)
-    met = rows.join(F.broadcast(asked)).select("query_id", id_col, distance.alias("distance"))
-    return top(met, "query_id", "distance", id_col, k, descending=False)
+    met = [rows.join(F.broadcast(part)).select("query_id", id_col, distance.alias("distance")) for part in blocks(asked, "query_id", QUERY_BLOCK)]
+    return top(reduce(DataFrame.unionByName, met), "query_id", "distance", id_col, k, descending=False)
 
 
 def dense_score(distance: Column, most: float = 2.0) -> Column:

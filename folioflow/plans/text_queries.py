@@ -236,7 +236,7 @@ w AS (SELECT doc_id, chunk_index, content, length(content) AS size, -1 AS step,
 p AS (SELECT doc_id, chunk_index AS parent_index, row_number() OVER (PARTITION BY doc_id, chunk_index ORDER BY step) - 1 AS piece, start AS char_start, stop AS char_end, {TOKENS('said')} AS token_count, true AS was_cut FROM w WHERE said <> ''
   UNION ALL SELECT doc_id, chunk_index, 0, 0, length(content), {TOKENS('content')}, false FROM c WHERE {TOKENS('content')} <= {segment.MAX_TOKENS}),
 n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY parent_index, piece) - 1 AS number FROM p)
-SELECT doc_id, number::INTEGER AS chunk_index, parent_index, piece::INTEGER AS piece, char_start::INTEGER AS char_start, char_end::INTEGER AS char_end, token_count, was_cut, 'chunk_' || lpad(number::VARCHAR, 4, '0') AS chunk_id FROM n""")
+SELECT doc_id, number::INTEGER AS chunk_index, parent_index, piece::INTEGER AS piece, char_start::INTEGER AS char_start, char_end::INTEGER AS char_end, token_count, was_cut, format('chunk_{{:04d}}', number) AS chunk_id FROM n""")
 def oversize_rechunk(t: Tables) -> DataFrame:
     return segment.rechunk(segment.chunks(t.documents)).select("doc_id", "chunk_index", "parent_index", "piece", "char_start", "char_end", "token_count", "was_cut", "chunk_id")
 

@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from hypothesis import given, settings
@@ -218,3 +219,24 @@ def test_blocks_of_odd_lines():
     assert told("| a |\nx\n| b | c |\n|---|---|") == [("paragraph", "a"), ("paragraph", "x"), ("table", ["b", "c"])]
     assert told("```\na\n```\n```\nb", code=True) == [("code", "a"), ("code", "b")] and told("```", code=True) == [("code", None)]
     assert told("") == told("\n \n") == [] and told("> q\n> r", code=True) == [("quote", "q"), ("quote", "r")] and told("> q") == [("paragraph", "> q")]
+
+
+def test_chunk_numbers_of_more_than_four_digits(spark):
+    chunked = spark.range(10_050).selectExpr("1 as doc_id", "cast(id as int) as chunk_index", "'' as section_title", "'a word' as content", "4L as token_count")
+    ids = [r.chunk_id for r in segment.rechunk(chunked).select("chunk_id").collect()]
+    assert len(set(ids)) == 10_050 and {"chunk_0000", "chunk_9999", "chunk_10049"} <= set(ids)
+
+
+def test_searches_over_the_bounds_of_what_is_sent(spark, monkeypatch):
+    rng = random.Random(4)
+    vectors = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(80)], "vec_id long, embedding array<float>")
+    asked = vectors.where("vec_id % 7 = 0").selectExpr("vec_id as query_id", "embedding as query_vec")
+    docs = spark.createDataFrame([(i, " ".join(rng.choices("abcdefgh", k=12))) for i in range(60)], "doc_id long, text string")
+    terms = lexical.query_terms(docs.where("doc_id % 9 = 0"), "doc_id", "text")
+    near = lambda: sorted(vector.knn(vectors, asked, 3).collect())
+    best = lambda: sorted(lexical.bm25(lexical.postings(docs), lexical.doc_stats(docs), terms, 4).collect())
+    want = near(), best()
+    monkeypatch.setattr(vector, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(lexical, "MOST_TERMS", 2)
+    assert (near(), best()) == want
+    assert vector.knn(vectors, asked.limit(0), 3).count() == 0
