@@ -44,7 +44,9 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """The frame with a broadcast hint if it has at most so many rows, else as it is."""
     from pyspark.sql import functions as F
 
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    from folioflow.operators.sized import is_small
+
+    return F.broadcast(df) if is_small(df, rows) else df
 
 
 def _file_system(spark: SparkSession, path: str) -> tuple:
