@@ -189,14 +189,24 @@ def anchor_blocks(anchors: DataFrame, blocks: DataFrame, group: str, order: str)
     return found.select(*anchors.columns, F.when(F.col("char_start") < F.col("_held.end"), F.col("_held.order")).alias("block_order"))
 
 
-def nearest_anchor(visuals: DataFrame, anchors: DataFrame, group: str) -> DataFrame:
-    """Each visual block with the anchor of its document and page (0: any) that is nearest by the distance of their boxes; without boxes 0 on the same page, else 9999; first anchor on ties."""
-    a = anchors.select(group, F.col("anchor_id"), F.col("anchor_order"), F.col("page").alias("_page"), F.col("bbox").alias("_bbox"))
+def nearest_anchor(visuals: DataFrame, anchors: DataFrame, group: str, salts: int = 16) -> DataFrame:
+    """Each visual block with the anchor of its document and page (0: any) that is nearest by the distance of their boxes; without boxes 0 on the same page, else 9999; first anchor on ties.
+
+    Distances are those of distinct boxes: of anchors with the same page and box only the first can win, and visual blocks with the same page and box have
+    the same nearest anchor. So pairs go by the kinds of boxes on a document's pages and not by rows; those of one document are dealt to ``salts`` tasks.
+    """
+    place = (group, "page", "bbox")
+    first = anchors.groupBy(*place).agg(F.min_by("anchor_id", F.struct("anchor_order", "anchor_id")).alias("anchor_id"), F.min("anchor_order").alias("anchor_order"))
+    a = first.select(F.col(group), F.col("anchor_id"), F.col("anchor_order"), F.col("page").alias("_page"), F.col("bbox").alias("_bbox"), F.explode(F.array(*map(F.lit, range(salts)))).alias("_salt"))
+    kinds = visuals.select(*place).distinct().withColumn("_salt", F.pmod(F.xxhash64(*place), F.lit(salts)).cast("int"))
     boxes = (F.size("bbox") == 4) & (F.size("_bbox") == 4)
     far = F.sqrt(F.aggregate(F.zip_with("bbox", "_bbox", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
     distance = F.when(boxes, far).when(F.col("page") == F.col("_page"), 0.0).otherwise(9999.0)
-    met = visuals.join(a, group).where((F.col("page") == 0) | (F.col("_page") == 0) | (F.col("page") == F.col("_page"))).withColumn("distance", distance)
-    return met.groupBy(*visuals.columns).agg(F.min_by(F.struct("anchor_id", "distance"), F.struct("distance", "anchor_order")).alias("_a")).select(*visuals.columns, "_a.*")
+    met = kinds.join(a, [group, "_salt"]).where((F.col("page") == 0) | (F.col("_page") == 0) | (F.col("page") == F.col("_page"))).withColumn("distance", distance)
+    best = met.groupBy(*place).agg(F.min_by(F.struct("anchor_id", "distance"), F.struct("distance", "anchor_order", "anchor_id")).alias("_a"))
+    best = best.select(F.col(group).alias("_g"), F.col("page").alias("_p"), F.col("bbox").alias("_b"), "_a")
+    same = (F.col(group) == F.col("_g")) & F.col("page").eqNullSafe(F.col("_p")) & F.col("bbox").eqNullSafe(F.col("_b"))
+    return visuals.distinct().join(best, same).select(*visuals.columns, "_a.*")
 
 
 def figures(c: Column | str) -> Column:

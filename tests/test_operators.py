@@ -1,5 +1,6 @@
 import math
 import random
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -240,3 +241,17 @@ def test_searches_over_the_bounds_of_what_is_sent(spark, monkeypatch):
     monkeypatch.setattr(lexical, "MOST_TERMS", 2)
     assert (near(), best()) == want
     assert vector.knn(vectors, asked.limit(0), 3).count() == 0
+
+
+def test_nearest_anchor_by_kinds_of_boxes(spark):
+    """Rows with the same page and box are compared once: 900 million pairs of rows here, a few hundred of boxes. Ties go to the first anchor."""
+    started = time.monotonic()
+    box = lambda n: F.array(F.lit(0.0), F.lit(0.0), F.lit(1.0), (F.col("id") % n).cast("double"))
+    visuals = spark.range(30_000).select(F.col("id").alias("v"), F.lit(1).alias("doc"), (F.col("id") % 2).alias("page"), box(7).alias("bbox"))
+    anchors = spark.range(30_000).select(F.col("id").alias("anchor_id"), (-F.col("id")).alias("anchor_order"), F.lit(1).alias("doc"), F.lit(1).alias("page"), box(5).alias("bbox"))
+    got = segment.nearest_anchor(visuals, anchors, "doc").groupBy(F.col("v") % 7, "anchor_id", "distance").count().collect()
+    assert sorted(tuple(r)[:3] for r in got) == [(k, 29_995 + min(k, 4), float(max(0, k - 4))) for k in range(7)]
+    assert time.monotonic() - started < 60
+    odd = spark.createDataFrame([(1, 1, 2, None), (2, 1, None, [1.0]), (3, 2, 1, None)], "v int, doc int, page int, bbox array<double>")
+    known = spark.createDataFrame([(5, 0, 1, 2, None), (6, 1, 1, 0, None)], "anchor_id int, anchor_order int, doc int, page int, bbox array<double>")
+    assert sorted(tuple(r) for r in segment.nearest_anchor(odd, known, "doc").drop("bbox").collect()) == [(1, 1, 2, 5, 0.0), (2, 1, None, 6, 9999.0)]
