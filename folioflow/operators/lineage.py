@@ -1,12 +1,13 @@
 """Chunks that know where they come from: sentences, headings and figures with their places in the text, kept through cuts.
 
-A text's sentences are found once, as places and not as strings, and stay in one row with it until chunks are cut, so nothing is shuffled. Every
-anchor's slice of the text is its content.
+A text's sentences are found once, in one pass that takes their contents along (to slice a text by places means to count from its start each time), and
+stay in one row until chunks are cut, so nothing is shuffled. Every anchor's slice of the text is its content.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -21,7 +22,9 @@ _HEADING = re.compile(f"#{{1,6}}(?=[{_WS}])")
 _END = re.compile(f"[。！？；]|[.!?;](?=[{_WS}]|\\Z)")
 _BLANK_START, _BLANK_END = re.compile(f"[{_WS}]*"), re.compile(f"[{_WS}]*\\Z")
 _FIGURE = re.compile(r"!\[([^\]]*)\]\(([^)]+)\)")
-ITEMS = "array<struct<start:int,end:int,is_heading:boolean,heading_level:int,figures:array<struct<start:int,end:int,description:string,path:string>>>>"
+#: Texts whose sentences a Python worker holds at once.
+AT_ONCE = 64
+ITEMS = "array<struct<start:int,end:int,is_heading:boolean,heading_level:int,n_headings:int,content:string,figures:array<struct<start:int,end:int,description:string,path:string>>>>"
 
 
 def sentence_places(text: str) -> list[tuple[int, int, int]]:
@@ -51,61 +54,61 @@ def sentence_places(text: str) -> list[tuple[int, int, int]]:
 
 
 def _items(text: str | None) -> list[dict]:
-    found = []
+    found, headings = [], 0
     for start, end, level in sentence_places(text or ""):
-        figures = [{"start": start + m.start(), "end": start + m.end(), "description": m[1], "path": m[2]} for m in _FIGURE.finditer(text[start:end])]
-        found.append({"start": start, "end": end, "is_heading": level > 0, "heading_level": level, "figures": figures})
+        content, headings = text[start:end], headings + (level > 0)
+        figures = [{"start": start + m.start(), "end": start + m.end(), "description": m[1], "path": m[2]} for m in _FIGURE.finditer(content)]
+        found.append({"start": start, "end": end, "is_heading": level > 0, "heading_level": level, "n_headings": headings, "content": content, "figures": figures})
     return found
 
 
 def places(c: Column | str) -> Column:
-    """The sentences of a text as places, with the figures in them."""
+    """The sentences of a text with their places, how many headings there are up to each, and the figures in them."""
 
     @F.pandas_udf(ITEMS)
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(_items)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            for at in range(0, len(texts), AT_ONCE):  # sentences take many times the room of their text
+                yield texts.iloc[at : at + AT_ONCE].map(_items)
 
     return run(c)
 
 
-def _slice(text: Column, x: Column) -> Column:
-    return F.substr(text, x["start"] + 1, x["end"] - x["start"])
-
-
 def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, chunk_index, chunk_id, char_start, char_end, content, token_count, section_title, section_level, heading_path, has_image, anchors) by rule boundaries.
 
     ``anchors`` are the chunk's sentences (anchor_id, kind, start, end, content, figures); a heading path is that of the last heading up to the chunk's
     first sentence, itself included. Null texts and texts without a sentence have no chunks.
     """
-    t = F.col("_text")
-    rows = docs.select(id_col, F.col(text_col).alias("_text"), places(text_col).alias("_items"))
+    # no filter on the sentences before the parts are cut: it would be pushed below them and find them a second time
+    rows = docs.select(id_col, places(text_col).alias("_items"))
 
     def item(x: Column, i: Column) -> Column:
-        content = _slice(t, x)
-        return F.struct(i.alias("idx"), x["start"].alias("start"), x["end"].alias("end"), x["is_heading"].alias("is_heading"), x["heading_level"].alias("heading_level"), content.alias("content"), estimate_tokens(content).alias("tokens"), x["figures"].alias("figures"))
+        same = (x[c].alias(c) for c in ("start", "end", "is_heading", "heading_level", "n_headings", "content", "figures"))
+        return F.struct(i.alias("idx"), *same, estimate_tokens(x["content"]).alias("tokens"))
 
-    rows = rows.select(id_col, F.transform("_items", item).alias("items")).where(F.size("items") > 0)
+    rows = rows.select(id_col, F.transform("_items", item).alias("items"))
     heads = F.filter("items", lambda x: x["is_heading"])
     title = lambda x: F.regexp_replace(x["content"], r"(?U)\A#+\s*", "")
     titled = F.transform(heads, lambda x: F.struct(title(x).alias("title"), x["heading_level"].alias("level")))
-    rows = rows.select(id_col, "items", rule_boundaries(F.col("items")).alias("cuts"), F.transform(heads, lambda x: F.struct(x["idx"].alias("idx"), title(x).alias("title"))).alias("heads"), heading_paths(titled).alias("paths"))
+    rows = rows.select(id_col, "items", rule_boundaries(F.col("items")).alias("cuts"), F.transform(heads, title).alias("titles"), heading_paths(titled).alias("paths"))
     last = F.size("items") - 1
     ends = F.array_sort(F.array_union(F.filter("cuts", lambda c: c < last), F.array(last)))
     starts = F.concat(F.array(F.lit(0)), F.transform(F.slice(ends, 1, F.size(ends) - 1), lambda e: e + 1))
 
     def part(a: Column, b: Column) -> Column:
-        before = F.size(F.filter("heads", lambda h: h["idx"] <= a))
-        path = F.when(before > 0, F.concat(F.get("paths", before - 1), F.array(F.get("heads", before - 1)["title"]))).otherwise(F.array().cast("array<string>"))
+        before = F.get("items", a)["n_headings"]
+        path = F.when(before > 0, F.concat(F.get("paths", before - 1), F.array(F.get("titles", before - 1)))).otherwise(F.array().cast("array<string>"))
         return F.struct(F.slice("items", a + 1, b - a + 1).alias("items"), path.alias("path"))
 
     out = rows.select(id_col, F.posexplode(F.zip_with(starts, ends, part)).alias("chunk_index", "_p")).select(id_col, "chunk_index", "_p.*").where(F.size("items") > 0)
     head = F.get(F.filter("items", lambda x: x["is_heading"]), F.lit(0))
-    content = F.array_join(F.transform("items", lambda x: x["content"]), "\n")
+    out = out.withColumn("content", F.array_join(F.transform("items", lambda x: x["content"]), "\n"))
+    content = F.col("content")
     chunk_id = F.concat_ws("_", F.col(id_col).cast("string"), F.col("chunk_index").cast("string"))
     anchor = lambda x: F.struct(F.concat(chunk_id, F.lit("_"), x["idx"].cast("string")).alias("anchor_id"), F.when(x["is_heading"], "heading").otherwise("sentence").alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["content"].alias("content"), x["figures"].alias("figures"))
     return out.select(
-        id_col, "chunk_index", chunk_id.alias("chunk_id"), F.get("items", F.lit(0))["start"].alias("char_start"), F.element_at("items", -1)["end"].alias("char_end"), content.alias("content"), estimate_tokens(content).alias("token_count"),
+        id_col, "chunk_index", chunk_id.alias("chunk_id"), F.get("items", F.lit(0))["start"].alias("char_start"), F.element_at("items", -1)["end"].alias("char_end"), "content", estimate_tokens(content).alias("token_count"),
         F.coalesce(title(head), F.lit("")).alias("section_title"), F.coalesce(head["heading_level"], F.lit(0)).alias("section_level"), F.col("path").alias("heading_path"),
         F.exists("items", lambda x: F.size(x["figures"]) > 0).alias("has_image"), content_hash(content).alias("content_hash"), F.transform("items", anchor).alias("anchors"),
     )
@@ -124,10 +127,13 @@ def cut_places(sizes: list[int], content: str) -> list[dict]:
     return out
 
 
-def _cut(sizes: Column, contents: str) -> Column:
+def _cut(sizes: Column, contents: Column) -> Column:
     @F.pandas_udf("array<struct<content:string,held:array<struct<item:int,start:int,end:int>>>>")
-    def run(sizes: pd.Series, contents: pd.Series) -> pd.Series:
-        return pd.Series([cut_places(list(s), c) for s, c in zip(sizes, contents, strict=True)])
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for sizes, contents in batches:
+            for at in range(0, len(sizes), AT_ONCE):
+                rows = zip(sizes.iloc[at : at + AT_ONCE], contents.iloc[at : at + AT_ONCE], strict=True)
+                yield pd.Series([None if c is None else cut_places(list(s), c) for s, c in rows], dtype=object)
 
     return run(sizes, contents)
 
@@ -137,10 +143,10 @@ def pieces(chunked: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
     A piece has the anchors of the sentences that it holds a part of, narrowed to that part. ``parent_id`` is the chunk that was cut.
     """
-    big = F.col("token_count") > MAX_TOKENS
-    few = chunked.where(~big).select(id_col, "chunk_index", F.lit(0).alias("piece"), "chunk_id", F.lit(None).cast("string").alias("parent_id"), "content", "token_count", "anchors")
-    sizes = F.transform("anchors", lambda x: F.length(x["content"]))
-    many = chunked.where(big).select(id_col, "chunk_index", "chunk_id", "anchors", F.posexplode(_cut(sizes, "content")).alias("piece", "_p"))
+    big = F.col("token_count") > MAX_TOKENS  # a null count too is not big
+    # chunks come to be once: a union of the cut and the others would make them twice
+    sizes = F.when(big, F.transform("anchors", lambda x: F.length(x["content"])))
+    cut = chunked.withColumn("_cut", _cut(sizes, F.when(big, F.col("content"))))
 
     def narrowed(h: Column) -> Column:
         x = F.get("anchors", h["item"])
@@ -148,18 +154,26 @@ def pieces(chunked: DataFrame, id_col: str = "doc_id") -> DataFrame:
         inside = F.filter(x["figures"], lambda f: (f["start"] >= start) & (f["end"] <= end))
         return F.struct(x["anchor_id"].alias("anchor_id"), x["kind"].alias("kind"), start.alias("start"), end.alias("end"), F.substr(x["content"], h["start"] + 1, h["end"] - h["start"]).alias("content"), inside.alias("figures"))
 
-    many = many.select(
-        id_col, "chunk_index", "piece", F.concat("chunk_id", F.lit("."), F.col("piece").cast("string")).alias("chunk_id"), F.col("chunk_id").alias("parent_id"), F.col("_p.content").alias("content"),
-        estimate_tokens("_p.content").alias("token_count"), F.transform("_p.held", narrowed).alias("anchors"),
+    whole = F.struct(F.col("content").alias("content"), F.col("anchors").alias("anchors"))
+    parts = F.when(F.col("_cut").isNull(), F.array(whole)).otherwise(F.transform("_cut", lambda p: F.struct(p["content"].alias("content"), F.transform(p["held"], narrowed).alias("anchors"))))
+    was_cut = F.col("_was_cut")
+    rows = cut.select(id_col, "chunk_index", F.col("chunk_id").alias("_id"), F.col("_cut").isNotNull().alias("_was_cut"), F.posexplode(parts).alias("piece", "_p"))
+    return rows.select(
+        id_col, "chunk_index", "piece", F.when(was_cut, F.concat("_id", F.lit("."), F.col("piece").cast("string"))).otherwise(F.col("_id")).alias("chunk_id"), F.when(was_cut, F.col("_id")).alias("parent_id"),
+        F.col("_p.content").alias("content"), estimate_tokens("_p.content").alias("token_count"), F.col("_p.anchors").alias("anchors"),
     )
-    return few.unionByName(many)
 
 
 def anchors(chunked: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id, chunk_id, anchor_id, parent_id, kind, char_start, char_end, content): a row for each anchor, and one for each figure in it, whose parent the anchor is."""
-    a = chunked.select(id_col, "chunk_id", F.explode("anchors").alias("a")).select(id_col, "chunk_id", "a.*")
-    own = a.select(id_col, "chunk_id", "anchor_id", F.lit(None).cast("string").alias("parent_id"), "kind", F.col("start").alias("char_start"), F.col("end").alias("char_end"), "content")
-    f = a.select(id_col, "chunk_id", "anchor_id", "start", "content", F.posexplode("figures").alias("at", "f"))
-    figure = F.substr(F.col("content"), F.col("f.start") - F.col("start") + 1, F.col("f.end") - F.col("f.start"))
-    children = f.select(id_col, "chunk_id", F.concat("anchor_id", F.lit("_fig"), F.col("at").cast("string")).alias("anchor_id"), F.col("anchor_id").alias("parent_id"), F.lit("figure").alias("kind"), F.col("f.start").alias("char_start"), F.col("f.end").alias("char_end"), figure.alias("content"))
-    return own.unionByName(children)
+
+    def row(anchor_id: Column, parent: Column, kind: Column, start: Column, end: Column, content: Column) -> Column:
+        return F.struct(anchor_id.alias("anchor_id"), parent.alias("parent_id"), kind.alias("kind"), start.alias("char_start"), end.alias("char_end"), content.alias("content"))
+
+    def family(a: Column) -> Column:
+        own = row(a["anchor_id"], F.lit(None).cast("string"), a["kind"], a["start"], a["end"], a["content"])
+        slice_of = lambda f: F.substr(a["content"], f["start"] - a["start"] + 1, f["end"] - f["start"])
+        children = F.transform(a["figures"], lambda f, at: row(F.concat(a["anchor_id"], F.lit("_fig"), at.cast("string")), a["anchor_id"], F.lit("figure"), f["start"], f["end"], slice_of(f)))
+        return F.concat(F.array(own), children)
+
+    return chunked.select(id_col, "chunk_id", F.explode("anchors").alias("a")).select(id_col, "chunk_id", F.inline(family(F.col("a"))))

@@ -53,3 +53,16 @@ def test_every_slice_is_its_content(spark):
     assert paths == [["One"], ["One", "Two"], ["One", "Two", "Three"], ["One", "Four"]]
     assert [by_place[k].has_image for k in sorted(by_place)] == [False, True, False, False]
     assert "Exchange" not in chunked._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sentences_are_found_once(spark):
+    """Texts go to Python once for their sentences and once for their cuts, and no content is sliced from a whole text again; texts without a sentence have no chunk."""
+    docs = spark.createDataFrame([(1, "# A\n![f](x.png) One. " + "word " * 900 + "end."), (2, None), (3, " \n ")], "doc_id long, text string")
+    found = lineage.anchors(lineage.chunks(docs))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "substr(text" not in plan and "substr(_text" not in plan
+    assert {r.doc_id for r in found.collect()} == {1}
+    assert [(r.anchor_id, r.parent_id, r.content) for r in found.where("kind = 'figure'").collect()] == [("1_0_1_fig0", "1_0_1", "![f](x.png)")]
+    cut = lineage.anchors(lineage.pieces(lineage.chunks(docs)))
+    assert cut._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 2
+    assert cut.select("chunk_id").distinct().count() > 1
