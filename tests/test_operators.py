@@ -255,3 +255,23 @@ def test_nearest_anchor_by_kinds_of_boxes(spark):
     odd = spark.createDataFrame([(1, 1, 2, None), (2, 1, None, [1.0]), (3, 2, 1, None)], "v int, doc int, page int, bbox array<double>")
     known = spark.createDataFrame([(5, 0, 1, 2, None), (6, 1, 1, 0, None)], "anchor_id int, anchor_order int, doc int, page int, bbox array<double>")
     assert sorted(tuple(r) for r in segment.nearest_anchor(odd, known, "doc").drop("bbox").collect()) == [(1, 1, 2, 5, 0.0), (2, 1, None, 6, 9999.0)]
+
+
+def test_knn_passes_on_the_nearest_of_each_task(spark):
+    """Copies tie by id, a zero vector is at distance 1, null vectors and those of another width are left out, and a task passes on no more than k rows for each query."""
+    rng = random.Random(3)
+    data = [(f"v{i:04}", [rng.randint(-2, 2) / 2 for _ in range(4)]) for i in range(1500)] + [("zero", [0.0] * 4), ("none", None), ("wide", [1.0] * 5)]
+    vectors = spark.createDataFrame(data, "vec_id string, embedding array<float>")
+    asked = [(q, data[q][1]) for q in range(0, 1500, 100)]
+    queries = spark.createDataFrame(asked, "query_id long, query_vec array<float>")
+
+    def distance(a, b):
+        size = math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b))
+        return round(1 - (sum(x * y for x, y in zip(a, b, strict=True)) / size if size else 0), 9) + 0.0
+
+    for k in (1, 7, 2000):
+        got = sorted((r.query_id, r["rank"], r.vec_id, round(r.distance, 8)) for r in vector.knn(vectors, queries, k).collect())
+        want = [(q, i + 1, v, round(d, 8)) for q, x in asked for i, (d, v) in enumerate(sorted((distance(x, y), v) for v, y in data[:1501])[:k])]
+        assert got == want
+    near = vector._near(vectors.repartition(3), queries, 7, "vec_id", "embedding")
+    assert near.count() <= 3 * len(asked) * 7
