@@ -21,12 +21,13 @@ _CITATION = re.compile(r"\[(\d+)\]")
 
 def source_cards(results: DataFrame, group: str = "query_id", order: str = "rank", longest: int = 220) -> DataFrame:
     """Results as cards: source_id ``src_{paper}_{chunk}``, a repeated one with its place behind; content cut with an ellipsis."""
+    # cut before rows move: a window's sort takes the cards' texts along, not the documents'
+    cut = F.when(F.length("content") > longest, F.concat(F.substring("content", 1, longest), F.lit("…"))).otherwise(F.nullif(F.col("content"), F.lit("")))
     place = F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1
-    rows = results.withColumn("_place", place)
+    rows = results.withColumn("content", cut).withColumn("_place", place)
     rows = rows.withColumn("_id", F.concat_ws("_", F.lit("src"), F.coalesce(F.col("paper_id").cast("string"), F.lit("")), F.coalesce(F.col("chunk_id").cast("string"), F.col("_place").cast("string"))))
     again = F.row_number().over(Window.partitionBy(group, "_id").orderBy("_place")) > 1
-    cut = F.when(F.length("content") > longest, F.concat(F.substring("content", 1, longest), F.lit("…"))).otherwise(F.nullif(F.col("content"), F.lit("")))
-    return rows.withColumns({"source_id": F.when(again, F.concat_ws("_", "_id", F.col("_place").cast("string"))).otherwise(F.col("_id")), "content": cut}).drop("_place", "_id")
+    return rows.withColumn("source_id", F.when(again, F.concat_ws("_", "_id", F.col("_place").cast("string"))).otherwise(F.col("_id"))).drop("_place", "_id")
 
 
 def citations(c: Column | str) -> Column:

@@ -275,3 +275,11 @@ def test_knn_passes_on_the_nearest_of_each_task(spark):
         assert got == want
     near = vector._near(vectors.repartition(3), queries, 7, "vec_id", "embedding")
     assert near.count() <= 3 * len(asked) * 7
+
+
+def test_source_cards_are_cut_before_rows_move(spark):
+    rows = spark.createDataFrame([("q", 1, "p", 0, "x" * 300), ("q", 2, "p", 0, "y"), ("q", 3, None, None, "")], "query_id string, rank int, paper_id string, chunk_id int, content string")
+    cards = answer.source_cards(rows)
+    plan = cards._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rfind("substring") > plan.rfind("Window")  # below it in the tree
+    assert [(r.source_id, r.content) for r in cards.orderBy("rank").collect()] == [("src_p_0", "x" * 220 + "…"), ("src_p_0_1", "y"), ("src__2", None)]
