@@ -66,3 +66,14 @@ def test_sentences_are_found_once(spark):
     cut = lineage.anchors(lineage.pieces(lineage.chunks(docs)))
     assert cut._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 2
     assert cut.select("chunk_id").distinct().count() > 1
+
+
+def test_workers_get_bounded_batches(spark):
+    """Whatever a session had set: texts by thousands in one batch make a worker's memory grow with the table until batches are full."""
+    from folioflow.session import ship
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    ship(spark)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 2000
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20
