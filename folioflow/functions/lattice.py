@@ -9,10 +9,11 @@ from __future__ import annotations
 import math
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioflow.functions.folds import by_text
+
 CJK = "一-鿿"
 _PART = re.compile(f"[{CJK}]+|[^\\W_{CJK}]+")
 #: Words of a dictionary at most, since it is sent to every task; and characters of a word.
@@ -39,7 +40,8 @@ def best_path(run: str, words: dict[str, float], unknown: float, longest: int =
 def dictionary(counts: DataFrame, word: str = "word", n: str = "n", most: int = MAX_WORDS) -> dict[str, int]:
     """The commonest words of counts (word, n), at most ``most`` of at most ``LONGEST`` characters."""
     rows = counts.where((F.length(word) <= LONGEST) & (F.length(word) > 0) & (F.col(n) > 0)).orderBy(F.col(n).desc(), word).limit(most)
-    return {r[word]: r[n] for r in rows.select(word, n).toArrow().to_pylist()}
+    found = rows.select(word, n).toArrow()
+    return dict(zip(found[word].to_pylist(), found[n].to_pylist(), strict=True))
 
 
 def words(c: Column | str, known: dict[str, int]) -> Column:
@@ -49,14 +51,10 @@ def words(c: Column | str, known: dict[str, int]) -> Column:
     total = math.log(max(1, sum(known.values())))
     weights = {w: math.log(n) - total for w, n in known.items()}
 
-    @F.pandas_udf("array<string>")
-    def run(texts: pd.Series) -> pd.Series:
-        def one(text: str | None) -> list[str]:
-            out: list[str] = []
-            for m in _PART.finditer(text or ""):
-                out += best_path(m[0], weights, -total) if "一" <= m[0][0] <= "鿿" else [m[0]]
-            return out
-
-        return texts.map(one)
+    def one(text: str) -> list[str]:
+        out: list[str] = []
+        for m in _PART.finditer(text):
+            out += best_path(m[0], weights, -total) if "一" <= m[0][0] <= "鿿" else [m[0]]
+        return out
 
-    return run(c)
+    return by_text(one, "array<string>", [])(c)
