@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from folioflow.llm.common import ship
 from folioflow.llm.kernels import LOWER, buffers, chunks, release
-from folioflow.llm.learn import MAX_ROWS, Adagrad, column_sample, held_out, temperature
+from folioflow.llm.learn import MAX_ROWS, PIECES, Adagrad, column_sample, held_out, merged, pieces, temperature
 
 BUCKETS, DIM = 1 << 15, 16
 _rng = np.random.default_rng(7)
@@ -129,6 +129,44 @@ def train(texts: pa.Array, labels: list[str], epochs: int = 4, batch: int = 32,
     return model
 
 
+#: Languages whose counts a task holds before it sends them.
+LANGS_HELD = 64
+
+
+def counted(docs: DataFrame) -> Model:
+    """A model of the subword counts of every text outside the held-out fold whose lang is not null: the mean log-likelihood, equal ones by how common a language is.
+
+    Counts are summed by tasks; the driver gets one vector of ``BUCKETS`` numbers for each language.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = {}
+        for batch, data, off in chunks(batches, "text"):
+            sub = subwords(data, off)
+            coded = batch.column(1).dictionary_encode()
+            of = np.repeat(coded.indices.to_numpy(), np.diff(off))
+            for k, lang in enumerate(coded.dictionary.to_pylist()):
+                held = sums.setdefault((lang, 0), np.zeros(BUCKETS, np.int64))
+                held += np.bincount(sub[:, of == k].ravel(), minlength=BUCKETS)
+            if len(sums) >= LANGS_HELD:
+                yield from pieces(sums)
+                sums = {}
+        yield from pieces(sums)
+
+    rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out()).select("text", F.col("lang").cast("string").alias("lang"))
+    counts = {lang: v for (lang, _), v in merged(rows.mapInArrow(run, PIECES), "int64").items()}
+    langs = sorted(counts)
+    if len(langs) < 2:
+        return Model(langs, np.zeros((BUCKETS, max(1, len(langs))), np.float32), np.zeros(max(1, len(langs)), np.float32), 1.0, 0.0)
+    logits, sizes = np.zeros((BUCKETS, len(langs)), np.float32), np.zeros(len(langs))
+    for k, lang in enumerate(langs):
+        n = counts[lang].astype(float)
+        n[0] = 0
+        sizes[k] = n.sum() + 1
+        logits[1:, k] = np.log((n[1:] + 0.5) / (n.sum() + 0.5 * (BUCKETS - 1)))
+    return Model(langs, logits, (1e-6 * np.log(sizes / sizes.sum())).astype(np.float32), 1.0, 0.0)
+
+
 def identify(docs: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     """Per document: held_out, lang_pred, score and accepted.
 

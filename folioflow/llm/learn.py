@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import tidied
+from folioflow.llm.common import fetched, tidied
 
 #: Rows of a training sample at most (about; they are drawn by a hash of doc_id). The documented bound of every classifier here.
 MAX_ROWS = 8000
@@ -93,6 +95,44 @@ def column_sample(docs: DataFrame, label: str, max_rows: int = MAX_ROWS) -> tupl
     return _collected(docs, _drawn(known, "label", None, max_rows))
 
 
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, values: list) -> DataFrame:
+    """(doc_id, text, label) of every document outside the held-out fold that has a text and one of these values; the least where a doc_id has several."""
+    known = labels.select("doc_id", F.col(label).alias("label")).where(F.col("label").isin(values) & F.col("doc_id").isNotNull() & ~held_out())
+    return fetched(docs.where(F.col("text").isNotNull()).select("doc_id", "text"), known.groupBy("doc_id").agg(F.min("label").alias("label")))
+
+
+#: What tasks send to merged(): a piece of a vector under its key and number; ``task`` only orders it.
+PIECES = "key string, part int, task int, vector binary"
+
+
+def pieces(vectors: dict[tuple[str, int], np.ndarray], task: int = 0) -> Iterator[pa.RecordBatch]:
+    """A row of each vector that is not all zero."""
+    for (key, part), v in vectors.items():
+        if v.any():
+            yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([part], pa.int32()), pa.array([task], pa.int32()), pa.array([v.tobytes()], pa.binary())], names=["key", "part", "task", "vector"])
+
+
+def merged(rows: DataFrame, dtype: str, mean: bool = False) -> dict[tuple[str, int], np.ndarray]:
+    """The sum of the vectors (PIECES) of each key and part, added up by tasks in the order of ``task``; or each component's mean over those vectors where it is not zero."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, total, count = None, None, None
+        for batch in batches:
+            for key, part, vector in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3), strict=True):
+                v = np.frombuffer(vector.as_buffer(), dtype)
+                if at != (key, part):
+                    if at is not None:
+                        yield from pieces({at: (total / np.maximum(count, 1) if mean else total).astype(dtype)})
+                    at, total, count = (key, part), np.zeros(len(v), np.float64 if mean else dtype), np.zeros(len(v), np.int32)
+                total += v
+                count += v != 0
+        if at is not None:
+            yield from pieces({at: (total / np.maximum(count, 1) if mean else total).astype(dtype)})
+
+    found = rows.repartition("key", "part").sortWithinPartitions("key", "part", "task").mapInArrow(run, PIECES).toArrow()
+    return {(k, p): np.frombuffer(v.as_buffer(), dtype) for k, p, v in zip(found["key"].to_pylist(), found["part"].to_pylist(), found["vector"], strict=True)}
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 

@@ -205,6 +205,40 @@ def test_toxicity_equals_brute_force(spark, tables):
     assert all(r.flagged == (r.score >= cuts.get(r.lang_told, 0.5)) for r in rows)
 
 
+def test_every_labelled_row_is_learned_from(spark):
+    """Words that tell the label are in two documents each, so that a network which leaves rows out does not know them."""
+    rng = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = ["".join(rng.choice(letters) for _ in range(9)) for _ in range(6000)]
+    rows = [(i, f"some plain text {words[i // 2]} and more", "aa", i // 2 % 2) for i in range(12000)]
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, toxic int")
+    got = toxicity.classify(docs, labels).where("not held_out").join(labels, "doc_id").select((F.col("predicted") == F.col("toxic")).cast("int").alias("ok")).agg(F.avg("ok")).first()[0]
+    assert got > 0.93
+
+
+def test_training_and_thresholds_take_all_rows(spark, tables, monkeypatch):
+    docs, labels = tables
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 100)
+    got = toxicity.classify(docs, labels)
+    assert accuracy(got, labels, "toxic") > 0.93
+    one, two = (toxicity.fitted(d, labels) for d in (docs, docs.repartition(3, "text")))
+    assert (one[0].embed == two[0].embed).all() and one[0].base == two[0].base and (one[1].logits == two[1].logits).all() and one[2] == two[2]
+    rows = learn.labelled_rows(docs, labels, "toxic", [0, 1])
+    texts = [(r.text, r.label) for r in rows.collect()]
+    known = {r.doc_id for r in labels.where("toxic is not null and doc_id is not null").collect()}
+    want = docs.where(~learn.held_out() & F.col("text").isNotNull() & F.col("doc_id").isin(list(known))).count()
+    assert len(texts) == want > 400
+    counts = toxicity.bucket_counts(rows.repartition(5))
+    for word in ("vile", "the", "ungsch"):
+        at = toxicity.word_ids(*buffers(pa.array([word])))[0][0, 0]
+        for label in range(2):
+            assert counts[label, 0, at] == sum(y == label and at in toxicity.word_ids(*buffers(pa.array([t])))[0][0] for t, y in texts)
+    sums = sum(np.bincount(langid.subwords(*buffers(pa.array([r.text]))).ravel(), minlength=langid.BUCKETS) for r in docs.where(~learn.held_out() & F.expr("lang = 'bb' and text is not null")).collect())
+    n = sums[1:].astype(float)
+    assert np.allclose(one[1].logits[1:, one[1].langs.index("bb")], np.log((n + 0.5) / (n.sum() + 0.5 * len(n))), atol=1e-4)
+
+
 def test_quality_equals_brute_force(spark, tables):
     docs, labels = tables
     m = quality.fitted(docs, labels)
