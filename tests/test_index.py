@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from folioflow.index import bm25
 from folioflow.index.bm25 import Bm25Index
 from folioflow.index.ivf import NOWHERE, VectorIndex
 from folioflow.operators import lexical, vector
@@ -65,6 +66,23 @@ def test_buckets_without_a_rare_term_are_skipped(spark, tmp_path):
     assert results(index.search(queries, 2, first=1)) == by_scan(spark, rows, queries, 2)
 
 
+def test_tasks_grow_with_the_tokens(spark, tmp_path, monkeypatch):
+    """What one task counts is bounded: no file of postings holds more than its share, and terms are counted exactly without bringing them together."""
+    monkeypatch.setattr(bm25, "TASK_TOKENS", 200)
+    rows = [(f"d{i}", f"common same x{i} x{i} y{i % 7} " * 3) for i in range(200)] + [("null", None), ("empty", " ")]
+    index = Bm25Index(spark, str(tmp_path / "i"), buckets=2)
+    index.put(docs_of(spark, rows))
+    path = f"{index.store.part(index.store.parts()[0])}/postings"
+    files = [r["count"] for r in spark.read.parquet(path).groupBy(F.input_file_name()).count().collect()]
+    assert len(files) > 10 and max(files) <= 200 and sum(files) == index.postings().count() == 800
+    assert {(r.token, r.tf) for r in index.postings().where("id = 'd9'").collect()} == {("common", 3), ("same", 3), ("x9", 6), ("y2", 3)}
+    assert index.term_stats().rdd.getNumPartitions() > 10
+    index.remove(spark.createDataFrame([(f"d{i}",) for i in range(150)], "id string"))
+    assert index.term_count() == index.term_stats().count() == 50 + 2 + 7
+    index.compact()
+    assert index.term_count() == index.term_stats().count() == 50 + 2 + 7
+
+
 def test_an_index_of_nothing(spark, tmp_path):
     index = Bm25Index(spark, str(tmp_path / "i"))
     index.put(docs_of(spark, []))
