@@ -238,9 +238,9 @@ def probe(pages: DataFrame) -> DataFrame:
     return rows.withColumns({"route": document_route(scan, formulas, forms, tables, images), "complexity": complexity})
 
 
-def sections(chunks: DataFrame, paper: str = "paper_id", title: str = "section_title") -> DataFrame:
-    """(paper, chunks, sections): how many chunks a paper has, and its distinct section titles in order; blank ones do not count."""
-    named = F.when(F.coalesce(F.col(title), F.lit("")) != "", F.col(title))
+def sections(chunks: DataFrame, paper: str = "paper_id", title: str = "section_title", blank: bool = False) -> DataFrame:
+    """(paper, chunks, sections): how many chunks a paper has, and its distinct section titles in order; blank ones do not count unless ``blank``, nulls never do."""
+    named = F.col(title) if blank else F.when(F.coalesce(F.col(title), F.lit("")) != "", F.col(title))
     per = chunks.groupBy(paper, named.alias("_t")).agg(F.count(F.lit(1)).alias("_n"))  # titles are made distinct before a paper's meet
     return per.groupBy(paper).agg(F.sum("_n").alias("chunks"), F.array_sort(F.collect_list("_t")).alias("sections"))
 

@@ -5,7 +5,7 @@ from pathlib import Path
 import pytest
 from compare import duck_rows, spark_rows
 
-from folioflow.plans import text_queries  # noqa: F401
+from folioflow.plans import search_queries, text_queries  # noqa: F401
 from folioflow.plans.registry import ORACLES, QUERIES
 from folioflow.session import TABLES
 
@@ -25,6 +25,6 @@ def odd_dir(spark, sf_dir, tmp_path_factory):
     return str(into)
 
 
-@pytest.mark.parametrize("name", ["paper_id_gen"])
+@pytest.mark.parametrize("name", ["paper_id_gen", "paper_sections"])
 def test_odd_documents(spark, odd_dir, name):
     assert spark_rows(QUERIES[name](spark, odd_dir)) == duck_rows(ORACLES[name], odd_dir)
