@@ -19,15 +19,23 @@ _BULLET, _NUMBER, _FENCE, _QUOTE = re.compile(r"[-*]\s+(.+)"), re.compile(r"(\d+
 _CITATION = re.compile(r"\[(\d+)\]")
 
 
-def source_cards(results: DataFrame, group: str = "query_id", order: str = "rank", longest: int = 220) -> DataFrame:
-    """Results as cards: source_id ``src_{paper}_{chunk}``, a repeated one with its place behind; content cut with an ellipsis."""
+def source_cards(results: DataFrame, group: str = "query_id", order: Column | str = "rank", longest: int = 220, stand_ins: bool = True) -> DataFrame:
+    """Results as cards: source_id ``src_{paper}_{chunk}``, a repeated one with its place behind; content cut with an ellipsis.
+
+    An unknown chunk has its place for a stand-in, an unknown paper an empty name, and an empty content is null. Without ``stand_ins`` a card
+    that lacks either has no source_id, and contents stay as they are.
+    """
     # cut before rows move: a window's sort takes the cards' texts along, not the documents'
-    cut = F.when(F.length("content") > longest, F.concat(F.substring("content", 1, longest), F.lit("…"))).otherwise(F.nullif(F.col("content"), F.lit("")))
+    whole = F.nullif(F.col("content"), F.lit("")) if stand_ins else F.col("content")
+    cut = F.when(F.length("content") > longest, F.concat(F.substring("content", 1, longest), F.lit("…"))).otherwise(whole)
     place = F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1
     rows = results.withColumn("content", cut).withColumn("_place", place)
-    rows = rows.withColumn("_id", F.concat_ws("_", F.lit("src"), F.coalesce(F.col("paper_id").cast("string"), F.lit("")), F.coalesce(F.col("chunk_id").cast("string"), F.col("_place").cast("string"))))
+    paper, chunk, at = (F.col(c).cast("string") for c in ("paper_id", "chunk_id", "_place"))
+    if stand_ins:
+        paper, chunk = F.coalesce(paper, F.lit("")), F.coalesce(chunk, at)
+    rows = rows.withColumn("_id", F.concat(F.lit("src_"), paper, F.lit("_"), chunk))
     again = F.row_number().over(Window.partitionBy(group, "_id").orderBy("_place")) > 1
-    return rows.withColumn("source_id", F.when(again, F.concat_ws("_", "_id", F.col("_place").cast("string"))).otherwise(F.col("_id"))).drop("_place", "_id")
+    return rows.withColumn("source_id", F.when(again, F.concat("_id", F.lit("_"), at)).otherwise(F.col("_id"))).drop("_place", "_id")
 
 
 def citations(c: Column | str) -> Column:

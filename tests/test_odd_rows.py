@@ -25,6 +25,6 @@ def odd_dir(spark, sf_dir, tmp_path_factory):
     return str(into)
 
 
-@pytest.mark.parametrize("name", ["paper_id_gen", "paper_sections"])
+@pytest.mark.parametrize("name", ["paper_id_gen", "paper_sections", "source_cards"])
 def test_odd_documents(spark, odd_dir, name):
     assert spark_rows(QUERIES[name](spark, odd_dir)) == duck_rows(ORACLES[name], odd_dir)
