@@ -25,7 +25,7 @@ MAX_WORDS, LONGEST = 500_000, 8
 #: Bytes of text and characters of runs in hand at the same time; runs of over LONG characters of which there are fewer than FEW are cut one by one.
 TEXT_BYTES, RUN_CHARS, FEW, LONG = 1 << 19, 1 << 18, 16, 128
 #: Places of a table of nodes by characters at most.
-DENSE = 1 << 22
+DENSE = 1 << 24
 _NONE, _CJK, _OTHER = 1, 2, 3
 #: What a code point is: no part of a word, CJK, or another letter or digit; 0 until it is asked for.
 _kinds = np.zeros(0x110000, np.uint8)
